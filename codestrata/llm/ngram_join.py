@@ -6,7 +6,9 @@ small groups by minimum hash, and the matrix holds, for each group, the union of
 its members' rare tokens (token, group). A class opens a group only if enough of
 its own rare tokens are in that union: two sets that link share at least
 ``need`` of their ``n - ceil(t * n) + need`` rarest tokens, so no link is lost.
-Rarity is read from a fixed-size sketch that counts all tokens of all texts.
+Rarity is read from a fixed-size sketch that counts all tokens of all texts. In an
+open group, tokens counted by ``SLOTS`` hash slots bound every overlap from above,
+and only sets that pass are read again and intersected.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ SKETCH_BITS = 17
 #: Shared rare tokens that open a group.
 NEED = 4
 GROUP_ROWS = 64
-_K = mix(np.arange(11, 14, dtype=np.uint64))
+SLOTS = 64
+#: Up to so many keys of sets to read again are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 400_000
 
 
 def shingle_sets(block: Block, words: int = 3) -> list[np.ndarray]:
@@ -80,29 +84,27 @@ def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
 def _profile_rows(sketch, bits: int, num: int, den: int, need: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = np.minimum(sketch.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
-        seeds = mix(np.array([101, 202], np.uint64))
         for batch in batches:
             for block in blocks(batch.column("text")):
-                n, s1, s2, m1, m2, prefix = [], [], [], [], [], []
+                n, s1, s2, slots, prefix = [], [], [], [], []
                 for one in shingle_sets(block):
                     n.append(len(one))
+                    slots.append(np.minimum(np.bincount((one & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS), 65_535).astype(np.uint16).tobytes())
                     if not len(one):
-                        s1.append(0), s2.append(0), m1.append(0), m2.append(0), prefix.append(one)
+                        s1.append(0), s2.append(0), prefix.append(one)
                         continue
                     sign = np.frombuffer(hashlib.blake2b(one.tobytes(), digest_size=16).digest(), np.int64)
                     s1.append(sign[0]), s2.append(sign[1])
-                    m1.append(mix(one ^ seeds[0]).min()), m2.append(mix(one ^ seeds[1]).min())
                     least = -(-num * len(one) // den)
                     size = len(one) - least + min(need, least)
                     order = rarity[(one >> np.uint64(64 - bits)).astype(np.int64)] | (one >> np.uint64(24))
                     prefix.append(one[np.argsort(order, kind="stable")[:size]])
                 owner = np.repeat(np.arange(len(prefix)), [len(p) for p in prefix])
                 tokens = np.concatenate(prefix).view(np.int64) if prefix else np.zeros(0, np.int64)
-                rows = slice(block.first_row, block.first_row + block.rows)
-                longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (m1, m2)]
-                signs = [pa.array(np.array(x, np.int64)) for x in (s1, s2)]
-                doc, key = (batch.column(c).slice(rows.start, block.rows) for c in ("doc_id", "tkey"))
-                yield pa.RecordBatch.from_arrays([doc, key, pa.array(np.array(n, np.int64)), *signs, *longs, grouped_lists(tokens, owner, len(prefix))], ["doc_id", "tkey", "n", "s1", "s2", "m1", "m2", "prefix"])
+                numbers = [pa.array(np.array(x, np.int64)) for x in (n, s1, s2)]
+                doc, key = (batch.column(c).slice(block.first_row, block.rows) for c in ("doc_id", "tkey"))
+                data = [doc, key, *numbers, pa.array(slots, pa.binary()), grouped_lists(tokens, owner, len(prefix))]
+                yield pa.RecordBatch.from_arrays(data, ["doc_id", "tkey", "n", "s1", "s2", "slots", "prefix"])
 
     return profile
 
@@ -168,11 +170,42 @@ def _linker(num: int, den: int):
     return link
 
 
-def _linked(rows: DataFrame, num: int, den: int, per_call: int = 768) -> DataFrame:
-    """Edges found inside each bounded ``part`` of ``rows (part, cls, tokens)``; several parts share a call."""
-    calls = max(1, rows.count() // per_call)
-    packed = rows.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(calls)))
-    return packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long")
+def _bounder(num: int, den: int):
+    def bound(frame: pd.DataFrame) -> pd.DataFrame:
+        out = [frame[["part", "cls"]].iloc[:0]]
+        for _, part in frame.groupby("part", sort=False):
+            part = part.drop_duplicates("cls")
+            if len(part) < 2:
+                continue
+            counts = np.stack([np.frombuffer(x, np.uint16) for x in part["slots"]]).astype(np.int32)
+            size = part["n"].to_numpy()
+            # The sets differ in as many tokens at least as their slot counts do.
+            apart = np.stack([np.abs(counts - one).sum(1) for one in counts])
+            may = (den + num) * apart <= (den - num) * (size[:, None] + size[None, :])
+            np.fill_diagonal(may, False)
+            out.append(part.loc[may.any(1), ["part", "cls"]])
+        return pd.concat(out)
+
+    return bound
+
+
+def _by_call(rows: DataFrame, per_call: int) -> DataFrame:
+    """``rows`` with ``call``: several bounded parts that go through one call."""
+    return rows.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(max(1, rows.count() // per_call))))
+
+
+def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+    """Edges inside each bounded part of ``rows (part, c)``: bound all pairs, then intersect the sets that pass."""
+    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "n", "slots"), "bounds"), 4000)
+    passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long"), "passed")
+    keys = stored(active.join(passed.select(F.col("cls").alias("p")).distinct(), F.col("cls") == F.col("p")).select("cls", "carrier.*"), "keys")
+    side = keys.select("cls", F.col("tkey").alias("k"), F.col("doc_id").alias("d"))
+    side = F.broadcast(side) if keys.count() <= BROADCAST_KEYS else side
+    read = texts.join(side, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
+    sets = stored(read.mapInArrow(_set_rows, "cls long, tokens array<long>"), "sets")
+    members = _by_call(passed.withColumnRenamed("cls", "c"), 768)
+    packed = members.join(sets, F.col("c") == F.col("cls")).select("call", "part", "cls", "tokens")
+    return stored(packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long"), "links")
 
 
 def _parts(rows: DataFrame, by: str, key: str, size: int, seed: int) -> DataFrame:
@@ -191,39 +224,37 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     id. Equal sets always link. Repeated rows are equal sets. Other columns of
     ``docs`` are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    sketch = spark.sparkContext.broadcast(token_sketch(docs, bits))
-    profiles = texts.mapInArrow(_profile_rows(sketch, bits, num, den, need), "doc_id long, tkey long, n long, s1 long, s2 long, m1 long, m2 long, prefix array<long>")
-    profiles = stored(profiles, "profiles")
-    classes = profiles.where("n > 0").groupBy("s1", "s2").agg(
-        F.first("n").alias("n"), F.first("m1").alias("m1"), F.first("m2").alias("m2"), F.first("prefix").alias("prefix"), F.min("tkey").alias("tkey")
-    )
+    sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(docs, bits))
+    schema = "doc_id long, tkey long, n long, s1 long, s2 long, slots binary, prefix array<long>"
+    profiles = stored(texts.mapInArrow(_profile_rows(sketch, bits, num, den, need), schema), "profiles")
+    firsts = [F.first(c).alias(c) for c in ("n", "slots", "prefix")]
+    classes = profiles.where("n > 0").groupBy("s1", "s2").agg(*firsts, F.min(F.struct("tkey", "doc_id")).alias("carrier"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    least = lambda n: F.ceil(F.lit(num) * F.col(n) / F.lit(den))
-    enough = lambda n: F.least(F.lit(need), least(n))
+    least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
+    enough = F.least(F.lit(need), least)
 
     # Rare tokens that more than one class has; a class needs enough of them to link at all.
     rare = classes.select("cls", "n", F.explode("prefix").alias("token"))
     shared = stored(rare.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t")), "shared-tokens")
     rare = stored(rare.join(shared, F.col("token") == F.col("t")).drop("t"), "rare-tokens")
-    active = rare.groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("k")).where(F.col("k") >= enough("n")).select(F.col("cls").alias("c"))
-    active = stored(classes.join(active, F.col("cls") == F.col("c")).select("cls", "n", "m1", "m2", F.col("tkey").alias("k")), "active")
-    with_text = texts.select("tkey", "text").join(active.select("cls", "k"), F.col("tkey") == F.col("k")).select("cls", "text")
-    sets = stored(with_text.mapInArrow(_set_rows, "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    active = rare.groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.min("token").alias("g1"), F.max("token").alias("g2"))
+    active = active.where(F.col("k") >= enough).select(F.col("cls").alias("c"), "g1", "g2")
+    active = stored(active.join(classes, F.col("c") == F.col("cls")).select("cls", "n", "g1", "g2", "slots", "carrier"), "active")
 
     # Two groupings of similar classes, verified inside bounded parts.
-    grouped = {m: stored(_parts(active.select("cls", "n", m), m, "cls", group_rows, seed).select("part", "cls", "n"), "groups") for seed, m in enumerate(("m1", "m2"))}
+    grouped = [stored(_parts(active.select("cls", "n", g), g, "cls", group_rows, seed).select("part", "cls", "n"), "groups") for seed, g in enumerate(("g1", "g2"))]
     edges = None
-    for parts in grouped.values():
+    for parts in grouped:
         several = parts.groupBy("part").count().where("count > 1").select(F.col("part").alias("p"))
         members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"))
-        found = stored(_linked(members.join(sets, F.col("c") == F.col("cls")).select("part", "cls", "tokens"), num, den), "links")
+        found = _linked(members, active, texts, num, den)
         edges = found if edges is None else edges.unionByName(found)
     known = components(edges)
 
     # The matrix: which group has which rare token. Classes open groups that hold another component.
-    groups = stored(grouped["m1"].join(known, F.col("cls") == F.col("node"), "left").select("part", "cls", "n", F.coalesce("component", "cls").alias("comp")), "members")
+    groups = grouped[0].join(known, F.col("cls") == F.col("node"), "left")
+    groups = stored(groups.select("part", "cls", "n", F.coalesce("component", "cls").alias("comp")), "members")
     tokens = stored(rare.select("token", F.col("cls").alias("c")).join(groups, F.col("c") == F.col("cls")).drop("c"), "member-tokens")
     mixed = stored(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t")), "mixed-tokens")
     tokens = stored(tokens.join(mixed, F.col("token") == F.col("t")).drop("t"), "open-tokens")
@@ -232,13 +263,12 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     fits = (F.lit(den) * F.col("n_hi") >= F.lit(num) * F.col("n")) & (F.lit(num) * F.col("n_lo") <= F.lit(den) * F.col("n"))
     other = (F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))
     hits = tokens.join(matrix, (F.col("token") == F.col("t")) & fits & other & (F.col("part") != F.col("group")))
-    opened = hits.groupBy("cls", "group").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough("n")).select("cls", "group")
+    opened = hits.groupBy("cls", "group").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough).select("cls", "group")
     opened = stored(_parts(stored(opened, "opened"), "group", "cls", 4 * group_rows, 9).select("part", "cls", "group"), "queries")
     hosts = opened.select("part", "group").distinct()
     hosts = hosts.join(groups.select(F.col("part").alias("g"), F.col("cls").alias("c")), F.col("group") == F.col("g")).select("part", "c")
     both = stored(hosts.union(opened.select("part", "cls")).distinct(), "opened-rows")
-    late = _linked(both.join(sets, F.col("c") == F.col("cls")).select("part", "cls", "tokens"), num, den)
-    final = components(edges.unionByName(stored(late, "links")))
+    final = components(edges.unionByName(_linked(both, active, texts, num, den)))
 
     ids = classes.select("s1", "s2", "cls").join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
     ids = stored(ids, "class-components")
