@@ -52,7 +52,11 @@ def _shingles(words: str) -> Column:
 
 def _signature(shingles: str) -> Column:
     """The least hash of the shingles under each of ``BANDS`` seeds."""
-    return F.array(*[F.array_min(F.transform(F.col(shingles), lambda s, k=k: F.xxhash64(s, F.lit(k)))) for k in range(BANDS)])
+
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(F.col(shingles), lambda s: F.xxhash64(s, F.lit(seed))))
+
+    return F.array(*[least(seed) for seed in range(BANDS)])
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -71,17 +75,18 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     every = F.array(*[F.lit(s) for s in sorted({s for _, shingles, _ in _template_rows(templates) for s in shingles})])
 
     words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)).alias("words"))
-    near = words.withColumn("shingles", _shingles("words")).where(F.arrays_overlap("shingles", every)).select("doc_id", "key", "shingles")
+    # A generator, not a filter: Spark would push a filter below the words and split the text anew for each of them.
+    near = words.select("doc_id", "key", F.explode(F.filter(F.array(_shingles("words")), lambda s: F.arrays_overlap(s, every))).alias("shingles"))
     parts = []
     for span in spans:
         width, stride = -(-3 * span // 2) - WORDS + 1, max(1, span // 2)
         starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(stride))
         window = near.select("doc_id", "key", F.explode(starts).alias("first_word"), "shingles")
-        parts.append(window.select("doc_id", "key", "first_word", F.lit(span).alias("span"), F.slice("shingles", F.col("first_word") + 1, F.lit(width)).alias("window")))
+        parts.append(window.select("doc_id", "key", "first_word", F.lit(span).alias("span"), F.explode(F.filter(F.array(F.slice("shingles", F.col("first_word") + 1, F.lit(width))), lambda s: F.arrays_overlap(s, every))).alias("window")))
     windows = parts[0]
     for part in parts[1:]:
         windows = windows.unionByName(part)
-    signed = windows.where(F.arrays_overlap("window", every)).withColumn("sign", _signature("window"))
+    signed = windows.select("doc_id", "key", "first_word", "span", "window", _signature("window").alias("sign"))
     signed = signed.select("doc_id", "key", "first_word", "span", "window", F.posexplode("sign").alias("band", "value"))
     met = signed.join(F.broadcast(bands), (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")) & (F.col("span") == F.col("t_words")))
     share = F.size(F.array_intersect("template", "window")) / F.size("template")

@@ -4,14 +4,16 @@ A document longer than the longest sequence is cut into full sequences and a
 rest. Pieces are dealt at random (by hash) into bounded shards; in a shard they
 are placed from the longest to the shortest. A piece goes to the open bin with
 the least room that still holds it. If none does, a bin opens with the size
-whose cost for what it will hold is least: its unused room, counting what the
-shorter pieces still to come can fill. At the end a bin is cut down to the
+that costs least for each word it can hold: its cost (by default one for each
+place and one for each pair of places, weighted) over the piece and what pieces
+still to come that fit its room can add. At the end a bin is cut down to the
 smallest permitted length that holds its contents.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,24 +26,30 @@ SIZES = (512, 1024, 2048, 4096)
 SHARD_PIECES = 20_000
 
 
-def pack_pieces(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> tuple[list[int], list[int], list[int]]:
+def sequence_cost(size: int) -> float:
+    """Places of a sequence and, at a weight that counts as much at 16 K places, pairs of places."""
+    return size + size * size / 16_384
+
+
+def pack_pieces(lengths: list[int], sizes: tuple[int, ...] = SIZES, cost=sequence_cost) -> tuple[list[int], list[int], list[int]]:
     """For each piece its bin and offset, and for each bin its final size. ``lengths`` must fall; none exceeds ``sizes[-1]``."""
+    rising = lengths[::-1]
+    sums = [0, *accumulate(rising)]
     room: list[tuple[int, int]] = []  # of bins that are open, least room first
     used: list[int] = []
-    limit: list[int] = []
     bins, offsets = [], []
-    to_come = sum(lengths)
-    for length in lengths:
-        to_come -= length
+    for nth, length in enumerate(lengths):
         at = bisect_left(room, (length, -1))
         if at < len(room):
             left, number = room.pop(at)
         else:
-            number = len(used)
-            # Unused room after what can still come, then the larger size, which later pieces find more useful.
-            size = min((s for s in sizes if s >= length), key=lambda s: (max(0, s - length - to_come), -s))
-            used.append(0), limit.append(size)
-            left = size
+
+            def per_word(size: int) -> float:
+                fit = min(bisect_left(rising, size - length + 1), len(lengths) - nth - 1)
+                return cost(size) / (length + min(size - length, sums[fit]))
+
+            number, left = len(used), min((s for s in sizes if s >= length), key=per_word)
+            used.append(0)
         bins.append(number), offsets.append(used[number])
         used[number] += length
         if left > length:

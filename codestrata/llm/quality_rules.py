@@ -120,3 +120,11 @@ def apply_rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHO
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Both scans: count n-grams over all texts, then judge every text."""
     return apply_rules(docs, log_ratios(docs, trusted_ids(labels)), threshold)
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns of ``docs``."""
+    judged = apply_rules(docs, log_ratios(docs, trusted_ids(labels)), threshold)
+    # A generator, not a filter: Spark would push a filter below the words and split the text anew for each of them.
+    chosen = judged.select(F.explode(F.filter(F.array(F.struct(*docs.columns, F.col("kept").alias("__kept"))), lambda r: r["__kept"])).alias("r"))
+    return chosen.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])

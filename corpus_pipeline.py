@@ -4,26 +4,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import mixing, quality_rules
+from codestrata.llm import mixing, ngram_join, packing, quality_rules, suffix_dedup
+from codestrata.llm.shared import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_rules.quality(docs, labels).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, labels)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that the n-gram join links."""
+    return ngram_join.one_of_each(docs)
+
+
+def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that occur more than once."""
+    return suffix_dedup.stripped_documents(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each as often as it is taken."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("source_mixing", mixing_stage)]
-#: The mix draws by a hash that DuckDB does not have; tests hold the pipeline against a plain Python version.
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("suffix_dedup", repeated_text_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
+#: The stages hash as DuckDB cannot; tests hold the pipeline against a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from codestrata.llm.shared import stored
-
+    """All stages over ``documents``, each written and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
