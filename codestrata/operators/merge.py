@@ -48,7 +48,7 @@ def weighted_edges(pairs: DataFrame, source: str = "src", target: str = "dst", d
 
 def number_within(rows: DataFrame, owner: list[str], order: list, name: str = "ordinal") -> DataFrame:
     """Zero-based place of each row in its owner."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*owner).orderBy(*order)) - 1)
+    return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*owner).orderBy(*order)) - 1).cast("long"))
 
 
 def in_batches(rows: DataFrame, group: list[str], order: list, size: int = 500, name: str = "batch") -> DataFrame:
