@@ -147,18 +147,18 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``."""
     plan = mix(docs, **options).where("copies > 0")
-    total = plan.groupBy("key", F.col("doc_id").alias("id"), F.col("source").alias("src")).agg(F.sum("copies").alias("times"), F.max("n_alike").alias("alike"))
+    total = plan.groupBy(F.col("key").alias("__k"), F.col("doc_id").alias("__id"), F.col("source").alias("__src"))
+    total = total.agg(F.sum("copies").alias("__times"), F.max("n_alike").alias("__alike"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    on = (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id")) & F.col("source").eqNullSafe(F.col("src"))
-    # Rows alike each stand for their share of the copies; one of them for the remainder.
-    share = F.floor(F.col("times") / F.col("alike"))
-    spare = F.col("times") - share * F.col("alike")
-    first = F.col("alike") == 1
+    on = (F.col("__key") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
     joined = keyed.join(total, on)
-    if joined.where("alike > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("key", "id", "src").orderBy("key"))
-        several = joined.where(~first).withColumn("__nth", nth)
-        several = several.withColumn("times", (share + F.when(F.col("__nth") <= spare, 1).otherwise(0)).cast("long")).drop("__nth")
-        joined = joined.where(first).unionByName(several)
-    joined = joined.where("times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    if total.where("__alike > 1").limit(1).count():
+        # Rows alike each stand for their share of the copies; the first of them for the remainder.
+        share = F.floor(F.col("__times") / F.col("__alike"))
+        nth = F.row_number().over(Window.partitionBy("__k", "__id", "__src").orderBy("__k"))
+        several = joined.where("__alike > 1").withColumn("__nth", nth)
+        spare = F.when(F.col("__nth") <= F.col("__times") - share * F.col("__alike"), 1).otherwise(0)
+        several = several.withColumn("__times", (share + spare).cast("long")).drop("__nth")
+        joined = joined.where("__alike = 1").unionByName(several)
+    joined = joined.where("__times > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
     return joined.select(*docs.columns)

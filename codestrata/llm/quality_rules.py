@@ -28,11 +28,8 @@ def _bucket(*parts: Column) -> Column:
 
 
 def _ngram_buckets(tokens: str) -> Column:
-    def at(x: Column, i: Column) -> Column:
-        after = F.get(F.col(tokens), i + 1)
-        return F.when(after.isNull(), F.array(_bucket(x))).otherwise(F.array(_bucket(x), _bucket(x, after)))
-
-    return F.flatten(F.transform(F.col(tokens), at))
+    every, pairs = F.col(tokens), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
+    return F.concat(F.transform(every, lambda x: _bucket(x)), F.transform(pairs, lambda x, i: _bucket(x, F.get(every, i + 1))))
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
@@ -114,7 +111,9 @@ def apply_rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHO
     out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
-    return out.select(*names, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    # Through a generator: Spark would push a caller's filter below the words and split the text anew for each of them.
+    found = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
+    return out.select(*names, F.explode(F.array(found)).alias("__found")).select(*names, "__found.*")
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,7 +123,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 def kept_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    judged = apply_rules(docs, log_ratios(docs, trusted_ids(labels)), threshold)
-    # A generator, not a filter: Spark would push a filter below the words and split the text anew for each of them.
-    chosen = judged.select(F.explode(F.filter(F.array(F.struct(*docs.columns, F.col("kept").alias("__kept"))), lambda r: r["__kept"])).alias("r"))
-    return chosen.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns])
+    return apply_rules(docs, log_ratios(docs, trusted_ids(labels)), threshold).where("kept").select(*docs.columns)
