@@ -3,11 +3,10 @@
 Sets of distinct word shingles link when their Jaccard similarity reaches a
 threshold. Sets that are equal become one class. Similar classes are put into
 small groups by minimum hash, and the matrix holds, for each group, the union of
-its members' rare tokens (token, group). A class opens a group only if enough of
-its own rare tokens are in that union: two sets that link share at least
-``need`` of their ``n - ceil(t * n) + need`` rarest tokens, so no link is lost.
-Rarity is read from a fixed-size sketch that counts all tokens of all texts. In an
-open group, tokens counted by ``SLOTS`` hash slots bound every overlap from above,
+its members' rare tokens (token, group). Groups are opened to each other only if
+their unions share enough tokens: two sets that link share at least ``need`` of
+their ``n - ceil(t * n) + need`` rarest tokens, so no link is lost. Rarity is read
+from a fixed-size sketch that counts all tokens of all texts. In an open group, tokens counted by ``SLOTS`` hash slots bound every overlap from above,
 and only sets that pass are read again and intersected.
 """
 
@@ -29,7 +28,7 @@ from .text_arrays import Block, blocks, grouped_lists, mix
 SKETCH_BITS = 17
 #: Shared rare tokens that open a group.
 NEED = 4
-GROUP_ROWS = 64
+GROUP_ROWS = 256
 SLOTS = 64
 #: Up to so many keys of sets to read again are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 400_000
@@ -182,7 +181,8 @@ def _bounder(num: int, den: int):
             # The sets differ in as many tokens at least as their slot counts do.
             apart = np.stack([np.abs(counts - one).sum(1) for one in counts])
             may = (den + num) * apart <= (den - num) * (size[:, None] + size[None, :])
-            np.fill_diagonal(may, False)
+            comp = part["comp"].to_numpy()
+            may &= comp[:, None] != comp[None, :]
             out.append(part.loc[may.any(1), ["part", "cls"]])
         return pd.concat(out)
 
@@ -195,8 +195,8 @@ def _by_call(rows: DataFrame, per_call: int) -> DataFrame:
 
 
 def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges inside each bounded part of ``rows (part, c)``: bound all pairs, then intersect the sets that pass."""
-    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "n", "slots"), "bounds"), 4000)
+    """Edges between components in each bounded part of ``rows (part, c, comp)``: bound all pairs, then intersect the sets that pass."""
+    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "n", "slots"), "bounds"), 4000)
     passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long"), "passed")
     keys = stored(active.join(passed.select(F.col("cls").alias("p")).distinct(), F.col("cls") == F.col("p")).select("cls", "carrier.*"), "keys")
     side = keys.select("cls", F.col("tkey").alias("k"), F.col("doc_id").alias("d"))
@@ -247,27 +247,29 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     edges = None
     for parts in grouped:
         several = parts.groupBy("part").count().where("count > 1").select(F.col("part").alias("p"))
-        members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"))
+        members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"), F.col("cls").alias("comp"))
         found = _linked(members, active, texts, num, den)
         edges = found if edges is None else edges.unionByName(found)
     known = components(edges)
 
-    # The matrix: which group has which rare token. Classes open groups that hold another component.
+    # The matrix: which group has which rare token. Two groups are opened to each other if their unions share
+    # enough tokens and they are not of one component already.
     groups = grouped[0].join(known, F.col("cls") == F.col("node"), "left")
     groups = stored(groups.select("part", "cls", "n", F.coalesce("component", "cls").alias("comp")), "members")
     tokens = stored(rare.select("token", F.col("cls").alias("c")).join(groups, F.col("c") == F.col("cls")).drop("c"), "member-tokens")
-    mixed = stored(tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("token").alias("t")), "mixed-tokens")
-    tokens = stored(tokens.join(mixed, F.col("token") == F.col("t")).drop("t"), "open-tokens")
-    matrix = tokens.groupBy("token", "part").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
-    matrix = stored(matrix.withColumnRenamed("token", "t").withColumnRenamed("part", "group"), "matrix")
-    fits = (F.lit(den) * F.col("n_hi") >= F.lit(num) * F.col("n")) & (F.lit(num) * F.col("n_lo") <= F.lit(den) * F.col("n"))
-    other = (F.col("c_lo") != F.col("comp")) | (F.col("c_hi") != F.col("comp"))
-    hits = tokens.join(matrix, (F.col("token") == F.col("t")) & fits & other & (F.col("part") != F.col("group")))
-    opened = hits.groupBy("cls", "group").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= enough).select("cls", "group")
-    opened = stored(_parts(stored(opened, "opened"), "group", "cls", 4 * group_rows, 9).select("part", "cls", "group"), "queries")
-    hosts = opened.select("part", "group").distinct()
-    hosts = hosts.join(groups.select(F.col("part").alias("g"), F.col("cls").alias("c")), F.col("group") == F.col("g")).select("part", "c")
-    both = stored(hosts.union(opened.select("part", "cls")).distinct(), "opened-rows")
+    mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("part").alias("p_lo"), F.max("part").alias("p_hi"))
+    mixed = stored(mixed.where("lo < hi and p_lo < p_hi").select(F.col("token").alias("t")), "mixed-tokens")
+    tokens = tokens.join(mixed, F.col("token") == F.col("t")).drop("t")
+    matrix = tokens.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
+    matrix = stored(matrix, "matrix")
+    other = matrix.toDF("t", "group", "g_n", "g_hi", "g_lo_c", "g_hi_c")
+    fits = (F.lit(den) * F.col("g_hi") >= F.lit(num) * F.col("n")) & (F.lit(den) * F.col("n_hi") >= F.lit(num) * F.col("g_n"))
+    apart = (F.col("c_lo") != F.col("g_hi_c")) | (F.col("c_hi") != F.col("g_lo_c"))
+    hits = matrix.join(other, (F.col("token") == F.col("t")) & (F.col("part") < F.col("group")) & fits & apart)
+    opened = hits.groupBy("part", "group").agg(F.count("*").alias("k"), F.min(F.least("n", "g_n")).alias("n")).where(F.col("k") >= enough)
+    opened = stored(opened.select(F.xxhash64("part", "group").alias("pair"), F.array("part", "group").alias("sides")), "opened")
+    sides = opened.select(F.col("pair").alias("part"), F.explode("sides").alias("side"))
+    both = sides.join(groups.select(F.col("part").alias("g"), F.col("cls").alias("c"), "comp"), F.col("side") == F.col("g")).select("part", "c", "comp")
     final = components(edges.unionByName(_linked(both, active, texts, num, den)))
 
     ids = classes.select("s1", "s2", "cls").join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
@@ -287,9 +289,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """
     found = jaccard_components(docs, **options)
     # eqNullSafe: a component of null ids has a null id, and the least text hash stands for it.
-    best = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy(F.col("component_id").alias("id")).agg(F.min("tkey").alias("key"))
+    best = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy(F.col("component_id").alias("__id")).agg(F.min("tkey").alias("__best"))
     empty = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.withColumn("__key", F.xxhash64("text")).where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    kept = rows.join(best, (F.col("__key") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("id"))).select(*docs.columns)
+    kept = rows.join(best, (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
     repeated = kept.groupBy(F.col("doc_id").alias("d")).count().where("count > 1").limit(1).count()
     return (kept.dropDuplicates(["doc_id", "text"]) if repeated else kept).unionByName(empty)
