@@ -11,8 +11,6 @@ chance below ``0.75 ** BANDS`` (under 2e-6).
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,18 +34,14 @@ CONTAINMENT = 0.8
 _TOKEN = "[a-z0-9]+"
 
 
-def _template_rows(templates: dict[str, str]) -> list[tuple[str, list[str], int]]:
-    rows = []
-    for name, text in templates.items():
-        words = re.findall(_TOKEN, text.lower())
-        rows.append((name, sorted({" ".join(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}), len(words)))
-    return rows
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
 def _shingles(words: str) -> Column:
-    at = lambda i, k: F.get(F.col(words), i + k)
+    """A 64-bit hash of every five consecutive words."""
     whole = F.slice(words, 1, F.greatest(F.size(words) - (WORDS - 1), F.lit(0)))
-    return F.transform(whole, lambda w, i: F.concat_ws(" ", w, *[at(i, k) for k in range(1, WORDS)]))
+    return F.transform(whole, lambda w, i: F.xxhash64(w, *[F.get(F.col(words), i + k) for k in range(1, WORDS)]))
 
 
 def _signature(shingles: str) -> Column:
@@ -65,29 +59,29 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
     ``containment`` is the largest share of the template's shingles in one
     window, ``first_word`` the first word of the first window that reaches the
     threshold. Null and empty texts have no rows. Rows alike in id and text give
-    one row. Templates are a parameter; their table, not the documents, is
-    broadcast.
+    one row. Templates of fewer than five words cannot be found. One scan of the
+    texts; the table of templates is broadcast, never that of documents.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(_template_rows(templates), "license string, template array<string>, words int").cache()
-    bands = known.withColumn("sign", _signature("template")).select("license", "template", F.col("words").alias("t_words"), F.posexplode("sign").alias("t_band", "t_value"))
-    spans = sorted({words for _, _, words in _template_rows(templates)})
-    every = F.array(*[F.lit(s) for s in sorted({s for _, shingles, _ in _template_rows(templates) for s in shingles})])
+    known = spark.createDataFrame(list(templates.items()), "license string, notice string").withColumn("words", _words(F.col("notice")))
+    known = known.select("license", F.size("words").alias("t_words"), F.array_distinct(_shingles("words")).alias("template")).where(F.size("template") > 0)
+    rows = known.collect()
+    every = F.array(*[F.lit(s) for s in sorted({s for r in rows for s in r["template"]})]).cast("array<bigint>")
+    bands = known.withColumn("sign", _signature("template")).select("license", "t_words", "template", F.posexplode("sign").alias("t_band", "t_value"))
 
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", F.xxhash64("text").alias("key"), _words(F.col("text")).alias("words"))
     # A generator, not a filter: Spark would push a filter below the words and split the text anew for each of them.
     near = words.select("doc_id", "key", F.explode(F.filter(F.array(_shingles("words")), lambda s: F.arrays_overlap(s, every))).alias("shingles"))
-    parts = []
-    for span in spans:
-        width, stride = -(-3 * span // 2) - WORDS + 1, max(1, span // 2)
-        starts = F.sequence(F.lit(0), F.greatest(F.size("shingles") - 1, F.lit(0)), F.lit(stride))
-        window = near.select("doc_id", "key", F.explode(starts).alias("first_word"), "shingles")
-        parts.append(window.select("doc_id", "key", "first_word", F.lit(span).alias("span"), F.explode(F.filter(F.array(F.slice("shingles", F.col("first_word") + 1, F.lit(width))), lambda s: F.arrays_overlap(s, every))).alias("window")))
-    windows = parts[0]
-    for part in parts[1:]:
-        windows = windows.unionByName(part)
-    signed = windows.select("doc_id", "key", "first_word", "span", "window", _signature("window").alias("sign"))
-    signed = signed.select("doc_id", "key", "first_word", "span", "window", F.posexplode("sign").alias("band", "value"))
+
+    def windows(span: int) -> Column:
+        width, stride = max(1, -(-3 * span // 2) - WORDS + 1), max(1, span // 2)
+        starts = F.sequence(F.lit(0), F.size("shingles") - 1, F.lit(stride))
+        cut = F.transform(starts, lambda s: F.struct(s.alias("first_word"), F.lit(span).alias("span"), F.slice("shingles", s + 1, F.lit(width)).alias("window")))
+        return F.filter(cut, lambda w: F.arrays_overlap(w["window"], every))
+
+    spans = sorted({r["t_words"] for r in rows}) or [WORDS]
+    cut = near.select("doc_id", "key", F.explode(F.concat(*[windows(span) for span in spans])).alias("w")).select("doc_id", "key", "w.*")
+    signed = cut.select("doc_id", "key", "first_word", "span", "window", F.posexplode(_signature("window")).alias("band", "value"))
     met = signed.join(F.broadcast(bands), (F.col("band") == F.col("t_band")) & (F.col("value") == F.col("t_value")) & (F.col("span") == F.col("t_words")))
     share = F.size(F.array_intersect("template", "window")) / F.size("template")
     met = met.withColumn("share", share).where(F.col("share") >= containment)
