@@ -24,6 +24,8 @@ class Analysis:
     variables: DataFrame
     call_sites: DataFrame
     call_edges: DataFrame
+    enum_constants: DataFrame
+    record_components: DataFrame
 
 
 def analyze(files: DataFrame, compat: bool = False) -> Analysis:
@@ -72,7 +74,8 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     sites = sites.select("file_key", "type_id", "callable_id", "method_name", "receiver", receiver_type.alias("receiver_type"), "is_constructor_call", F.coalesce(static, F.lit(False)).alias("is_static_call"), "local_id", "line", "col")
     sites = sites.withColumn("crud_operation", rules.crud_operation(compat=compat)).checkpoint()
 
-    return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, call_edges(sites, typed, supers, found))
+    edges = call_edges(sites, typed, supers, found)
+    return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, edges, J.enum_constants(scope, parts, typed), J.record_components(typed))
 
 
 def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: DataFrame) -> DataFrame:
@@ -118,6 +121,10 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     local = a.variables.where("owner = 'local' and callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("#var#"), c("name"), F.lit("@"), c("line")))
     site = a.call_sites.where("callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
     fact = site.where("crud_operation is not null").withColumn("fact", text(c("id"), F.lit("#crudop#0")))
+    owned = a.types.select("type_id", "file_key")
+    constant = a.enum_constants.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#enum#"), c("name")))
+    component = a.record_components.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#rec#"), c("name")))
+    block = a.callables.where("kind = 'initializer'").withColumn("id", text(c("type_id"), F.lit("#init#"), F.regexp_extract("name", r"(\d+)$", 1)))
     note = a.comments.withColumn("id", text(c("file_key"), F.lit("#comment@"), c("line"), F.lit(":"), c("col")))
     marks = listed(a.types, "type_id").toDF("owner", "name", "file_key").unionByName(listed(a.callables, "callable_id").toDF("owner", "name", "file_key"))
     single = a.imports.where("not is_static and not is_wildcard")
@@ -135,6 +142,9 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         node(field, "JField", c("id"), c("name")),
         node(local, "JVariable", c("id"), c("name")),
         node(site, "JCallSite", c("id"), c("method_name")),
+        node(constant, "JEnumConstant", c("id"), c("name")),
+        node(component, "JRecordComponent", c("id"), c("name")),
+        node(block, "JInitializationBlock", c("id"), c("name")),
         node(fact, "JCrudOperation", c("fact"), c("crud_operation")),
         node(note, "JComment", c("id"), c("content")),
     ]
@@ -153,6 +163,9 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         edge(field, "J_HAS_FIELD", c("type_id"), c("id")),
         edge(local, "J_DECLARES_VAR", c("callable_id"), c("id")),
         edge(site, "J_HAS_CALLSITE", c("callable_id"), c("id")),
+        edge(constant, "J_HAS_ENUM_CONSTANT", c("type_id"), c("id")),
+        edge(component, "J_HAS_RECORD_COMPONENT", c("type_id"), c("id")),
+        edge(block, "J_HAS_INIT_BLOCK", c("type_id"), c("id")),
         edge(fact, "J_HAS_CRUD_OPERATION", c("id"), c("fact")),
         edge(note, "J_HAS_COMMENT", c("file_key"), c("id")),
         edge(marks, "J_ANNOTATED_BY", c("owner"), c("name")),

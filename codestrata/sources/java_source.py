@@ -396,3 +396,20 @@ def resolved(spellings: DataFrame, typed: DataFrame, imported: DataFrame, packag
     out = names.join(single, ["file_key", "plain"], "left").join(mine, ["file_key", "plain"], "left").join(near, ["package", "plain"], "left")
     language = F.when(F.col("plain").isin(*JAVA_LANG), F.concat(F.lit("java.lang."), F.col("plain")))
     return out.select("file_key", "spelling", F.coalesce("by_import", "by_file", "by_package", language, F.col("plain")).alias("resolved"))
+
+
+def enum_constants(scope: DataFrame, parts: DataFrame, typed: DataFrame) -> DataFrame:
+    """``type_id, name, arguments, ordinal``: the constants of each enum, up to the first that has a body of its own."""
+    enums = typed.where("kind = 'enum'").select("file_key", F.col("scope").alias("brace"), "type_id")
+    own = parts.join(enums, ["file_key", "brace"]).where(F.col("ends").isin(";", "}", "{"))
+    first = own.groupBy("type_id").agg(F.min_by("body", "first").alias("body"))
+    items = F.split(F.regexp_replace(bare(F.col("body")), r" ,(?=[^()]*\))", "\u0001"), " , ?")
+    rows = first.select("type_id", F.posexplode(items).alias("ordinal", "item"))
+    arguments = F.filter(F.split(F.regexp_extract("item", r"\( (.*) \)$", 1), "\u0001"), lambda x: F.trim(x) != "")
+    return rows.select("type_id", F.regexp_extract("item", r"^ ?([\w$]+)", 1).alias("name"), F.transform(arguments, F.trim).alias("arguments"), "ordinal").where("name != ''")
+
+
+def record_components(typed: DataFrame) -> DataFrame:
+    """``type_id, name, type, is_variadic, ordinal``: the components of each record."""
+    rows = typed.where("kind = 'record'").select("type_id", F.posexplode(_parameters(bare(F.coalesce("components", F.lit(""))))).alias("ordinal", "p"))
+    return rows.select("type_id", "p.*", "ordinal")

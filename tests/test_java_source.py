@@ -135,6 +135,11 @@ def test_property_graph(analysis):
     assert pairs(again[1], "type", "src", "dst") == found
 
 
+def test_enum_constants_and_record_components(analysis):
+    assert pairs(analysis.enum_constants, "type_id", "name", "ordinal") == {("a.User.Kind", "A", 0), ("a.User.Kind", "B", 1)}
+    assert pairs(analysis.record_components, "type_id", "name", "type") == {("a.Point", "x", "int"), ("a.Point", "y", "List<String>")}
+
+
 def test_durable_ids(analysis):
     ids = {r.callable_id: r.can_id for r in durable_ids(analysis, "app").collect()}
     assert ids["a.User#run()"] == "can://java/app/a/User.java/a/User/run()"
