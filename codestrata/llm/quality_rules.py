@@ -66,12 +66,16 @@ def _repeat_words(words: str) -> tuple[dict[str, Column], ...]:
     """
     n = F.size(words).cast("long")
     third = lambda i, k: F.get(F.col(words), i + k)
-    packed = lambda x, i: (lambda h: h - F.pmod(h, n) + i)(F.shiftright(F.xxhash64(x, third(i, 1), third(i, 2)), 1))
+    packed = lambda x, i: (lambda h: h - F.pmod(h, n) + i)(F.shiftright(F.xxhash64(x, third(i, 1), third(i, 2)), 2))
     window = F.sort_array(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), packed))
     group = lambda x: x - F.pmod(x, n)
-    alike = lambda x, i: F.when(
-        (group(x) == group(F.get(F.col("__windows"), i - 1))) | (group(x) == group(F.get(F.col("__windows"), i + 1))), F.pmod(x, n)
-    )
+
+    def alike(x: Column, i: Column) -> Column:
+        before, after = F.get(F.col("__windows"), i - 1), F.get(F.col("__windows"), i + 1)
+        # Numbers that are no nearer than n apart cannot be of one window: that settles most.
+        same = ((x - before < n) & (before >= group(x))) | ((after - x < n) & (after < group(x) + n))
+        return F.when(same, F.pmod(x, n))
+
     places = F.sort_array(F.filter(F.transform(F.col("__windows"), alike), lambda x: x.isNotNull()))
     start = F.struct(F.lit(-9).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate("__places", start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")))
@@ -92,11 +96,9 @@ def apply_rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHO
         out = out.withColumns(step)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
-    def weigh(x: Column, i: Column) -> Column:
-        after = F.get(F.col("__tokens"), i + 1)
-        return F.get(weights, _bucket(x)) + F.when(after.isNull(), F.lit(0.0)).otherwise(F.get(weights, _bucket(x, after)))
-
-    total = F.aggregate(F.transform(F.col("__tokens"), weigh), F.lit(0.0), lambda a, x: a + x)
+    every, pairs = F.col("__tokens"), F.slice("__tokens", 1, F.greatest(F.size("__tokens") - 1, F.lit(0)))
+    add = lambda found: F.aggregate(found, F.lit(0.0), lambda a, x: a + x)
+    total = add(F.transform(every, lambda x: F.get(weights, _bucket(x)))) + add(F.transform(pairs, lambda x, i: F.get(weights, _bucket(x, F.get(every, i + 1)))))
     n_grams = 2 * F.size("__tokens") - 1
     out = out.withColumns(
         {
