@@ -75,5 +75,33 @@ def queries() -> dict[str, Query]:
     return found
 
 
+_REACHED = """reach(a, b) AS (
+    SELECT id, id FROM nodes UNION SELECT r.a, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON r.b = l.x)"""
+_ORACLES = {
+    "op1_projection_forest": f"""
+WITH RECURSIVE valid AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+nodes AS (SELECT vec_id AS id FROM embeddings),
+links AS (SELECT p.vec_id AS x, q.vec_id AS y FROM valid p JOIN valid q ON p.vec_id < q.vec_id AND len(p.v) = len(q.v) AND list_cosine_similarity(p.v, q.v) >= 0.95),
+{_REACHED}
+SELECT id AS vec_id, (SELECT count(*) FROM links WHERE x = id OR y = id) AS n_links, min(b) AS component_id, id = min(b) AS kept
+FROM nodes JOIN reach ON a = id GROUP BY id""",
+    "op8_ngram_join": f"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+nodes AS (SELECT doc_id AS id FROM documents),
+links AS (
+    SELECT p.doc_id AS x, q.doc_id AS y FROM tokens p JOIN tokens q ON p.g = q.g AND p.doc_id < q.doc_id
+    GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+{_REACHED}
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(b) AS component_id FROM sets JOIN reach ON a = doc_id GROUP BY ALL""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
