@@ -20,7 +20,7 @@ import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("codestrata.llm") or name == "corpus_pipeline":
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
 assert e.queries() and not any(k.startswith("op") or k == "pipeline" for k in e.queries())
