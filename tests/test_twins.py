@@ -1,6 +1,7 @@
 """Every registered relational query against its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from codestrata.plans import twins
@@ -21,7 +22,7 @@ def rows(frame):
     columns = sorted(frame.columns)
 
     def plain(x):
-        if x is None or x != x:
+        if pd.isna(x):
             return "null"
         return repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
