@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def closure(edges: DataFrame, parent: str, child: str, max_depth: int = 100) -> DataFrame:
     """``ancestor, descendant, depth`` (the least) over any graph, cycles included.
@@ -17,7 +19,7 @@ def closure(edges: DataFrame, parent: str, child: str, max_depth: int = 100) ->
     reached = fresh
     for depth in range(2, max_depth + 1):
         longer = fresh.join(step, F.col("descendant") == F.col("p")).select("ancestor", F.col("c").alias("descendant"), F.lit(depth).alias("depth")).distinct()
-        fresh = longer.join(reached.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti").checkpoint()
+        fresh = checkpointed(longer.join(reached.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"))
         if fresh.isEmpty():
             break
         reached = reached.unionByName(fresh)

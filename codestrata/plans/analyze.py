@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import durable_id
 from ..operators import closure, gate, joins, merge, rules
+from ..session import checkpointed
 from ..sources import java_source as J
 
 
@@ -34,12 +35,12 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     Tokens are computed once and checkpointed; every later table is a join on
     ``(file_key, brace)`` or on names.
     """
-    all_tokens = J.tokens(files).checkpoint()
-    code = J.enclosed(all_tokens).checkpoint()
-    parts = J.segments(code).checkpoint()
-    scope = J.scopes(code, parts).checkpoint()
+    all_tokens = checkpointed(J.tokens(files))
+    code = checkpointed(J.enclosed(all_tokens))
+    parts = checkpointed(J.segments(code))
+    scope = checkpointed(J.scopes(code, parts))
     package, imported = J.packages(parts), J.imports(parts)
-    typed = J.types(scope, package).checkpoint()
+    typed = checkpointed(J.types(scope, package))
 
     listed = lambda role: typed.select("file_key", "type_id", F.lit(role).alias("role"), F.posexplode(f"{role}_list").alias("ordinal", "spelling"))
     supers = listed("extends").unionByName(listed("implements"))
@@ -51,12 +52,12 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     found = found.join(J.complexity(code, scope).withColumnRenamed("in_callable", "open"), ["file_key", "open"], "left").withColumn("cyclomatic", F.coalesce("cyclomatic", F.lit(1)))
     found = found.withColumn("callable_id", F.concat_ws("#", "type_id", "signature"))
     typed, found = rules.mark_entrypoints(typed, found)
-    typed, found = typed.checkpoint(), found.checkpoint()
+    typed, found = checkpointed(typed), checkpointed(found)
 
     declared = J.variables(scope, parts)
     inside = typed.select("file_key", F.col("scope").alias("in_type"), "type_id")
     own = found.where("open is not null").select("file_key", F.col("open").alias("in_callable"), "callable_id")
-    declared = declared.join(inside, ["file_key", "in_type"], "left").join(own, ["file_key", "in_callable"], "left").checkpoint()
+    declared = checkpointed(declared.join(inside, ["file_key", "in_type"], "left").join(own, ["file_key", "in_callable"], "left"))
 
     sites = J.call_sites(code, scope).join(inside, ["file_key", "in_type"]).join(own, ["file_key", "in_callable"], "left")
     # The receiver's type: a local or parameter of the callable, a field of the type, a type name; this type without one.
@@ -72,7 +73,7 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     receiver_type = F.coalesce("resolved", F.when(bare_call & F.col("created_type").isNull(), F.col("type_id")))
     static = F.col("by_local").isNull() & F.col("by_field").isNull() & F.col("receiver").rlike("^[A-Z]")
     sites = sites.select("file_key", "type_id", "callable_id", "method_name", "receiver", receiver_type.alias("receiver_type"), "is_constructor_call", F.coalesce(static, F.lit(False)).alias("is_static_call"), "local_id", "line", "col")
-    sites = sites.withColumn("crud_operation", rules.crud_operation(compat=compat)).checkpoint()
+    sites = checkpointed(sites.withColumn("crud_operation", rules.crud_operation(compat=compat)))
 
     edges = call_edges(sites, typed, supers, found)
     return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, edges, J.enum_constants(scope, parts, typed), J.record_components(typed))
@@ -151,7 +152,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     rows = parts[0].withColumn("seq", F.lit(0))
     for seq, part in enumerate(parts[1:], 1):
         rows = rows.unionByName(part.withColumn("seq", F.lit(seq)))
-    nodes = merge.merge_nodes(rows, ["merge_label", "key"], "seq", labels="labels").checkpoint()
+    nodes = checkpointed(merge.merge_nodes(rows, ["merge_label", "key"], "seq", labels="labels"))
 
     nested = a.types.where("parent_id is not null")
     sure = [

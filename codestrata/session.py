@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "codestrata", master: str = "local[*]", **conf: str) -> SparkSession:
@@ -18,3 +20,15 @@ def build_session(app: str = "codestrata", master: str = "local[*]", **conf: str
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder, its lineage cut.
+
+    The folder is the one that the session names in ``spark.checkpoint.dir``; only
+    where none is named, as on a laptop, a temporary one is made.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-"))
+    return df.checkpoint()

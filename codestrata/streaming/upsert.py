@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..operators import diff
 from ..plans.analyze import analyze, property_graph
+from ..session import checkpointed
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,7 +42,7 @@ def upsert(files: DataFrame, folder: str, app: str, full_run: bool = True, eager
     status = diff.hash_diff(files, old, "file_key", "content_hash")
     if eager:
         status = status.withColumn("status", F.when(F.col("status") == "same", "changed").otherwise(F.col("status")))
-    status = status.checkpoint()
+    status = checkpointed(status)
     changed = status.where("status != 'same'").select("file_key")
     if changed.isEmpty() and (not full_run or diff.vanished(files, old, "file_key").isEmpty()):
         return status
