@@ -13,10 +13,10 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it."""
-    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    folder = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-"))
+        folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
