@@ -419,6 +419,54 @@ def rta_targets(t):
     return joins.virtual_targets(sites, subtypes, created, declared)
 
 
+def _java_sources(t) -> DataFrame:
+    """A class for each nation with a method for each customer; each method calls the next one's."""
+    from pyspark.sql import Window
+
+    rows = t("customer").join(t("nation").select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.withColumn("next", F.lead("c_custkey").over(Window.partitionBy("n_nationkey").orderBy("c_custkey")))
+    mark = F.when(F.col("c_acctbal") > 0, F.format_string('@GetMapping("/%d") ', "c_custkey")).otherwise("")
+    call = F.when(F.col("next").isNotNull(), F.format_string("if (n > 0) { c%d(n - 1); }", "next")).otherwise("")
+    method = F.concat(F.lit("  "), mark, F.format_string("void c%d(int n) { ", "c_custkey"), call, F.lit(" } // done\n"))
+    body = rows.groupBy("n_regionkey", "n_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_custkey", method.alias("m")))), lambda x: x["m"]), "").alias("body"))
+    source = F.concat(F.format_string("package r%d;\nclass N%d extends Base {\n", "n_regionkey", "n_nationkey"), "body", F.lit("}\n"))
+    return body.select(F.lit("app").alias("app"), F.format_string("r%d/N%d.java", "n_regionkey", "n_nationkey").alias("file_key"), source.alias("source"))
+
+
+@_registered("""
+    SELECT 'r' || n_regionkey || '.N' || n_nationkey AS type_id, count(*) + 1 AS n_callables, count(*) FILTER (c_acctbal > 0) AS n_entrypoints,
+           count(*) - 1 AS n_calls, 2 * count(*) AS complexity
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def java_entrypoints(t):
+    from ..sources import java_source
+    from .analyze import analyze
+
+    found = analyze(java_source.from_rows(_java_sources(t)))
+    callables = found.callables.groupBy("type_id").agg(
+        F.count("*").alias("n_callables"), F.count(F.when(F.col("is_entrypoint"), 1)).alias("n_entrypoints"), F.sum("cyclomatic").cast("long").alias("complexity")
+    )
+    calls = found.call_edges.groupBy(F.substring_index("src", "#", 1).alias("type_id")).agg(F.count("*").alias("n_calls"))
+    return callables.join(calls, "type_id").select("type_id", "n_callables", "n_entrypoints", "n_calls", "complexity")
+
+
+@_registered("""
+    SELECT 'r' || n_regionkey || '/N' || n_nationkey || '.java' AS file_key, CAST(sum(length(CAST(c_custkey AS VARCHAR))) AS BIGINT) AS digits, count(*) AS comments
+    FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
+def java_tokens(t):
+    from ..sources import java_source
+
+    tokens = java_source.tokens(java_source.from_rows(_java_sources(t)))
+    declared = F.when((F.col("kind") == "word") & F.col("text").rlike("^c[0-9]+$") & (F.lag("text").over(_token_order()) == "void"), F.length("text") - 1)
+    rows = tokens.withColumn("digits", declared)
+    return rows.groupBy("file_key").agg(F.sum("digits").cast("long").alias("digits"), F.count(F.when(F.col("kind") == "comment", 1)).alias("comments"))
+
+
+def _token_order():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("file_key").orderBy("n")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
