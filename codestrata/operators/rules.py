@@ -168,3 +168,23 @@ def crud_query(receiver: str = "receiver_type", method: str = "method_name", arg
             (manager & (F.col(method) == "createNamedQuery"), "NAMED"),
         ]
     )
+
+
+#: Data-access rules by framework, in the order in which they are asked; two have none yet.
+CRUD_RULES: dict[str, tuple[Callable[..., Column], Callable[..., Column]]] = {
+    "jakarta": (crud_operation, crud_query),
+    "spring": (lambda **_: F.lit(None).cast("string"), lambda **_: F.lit(None).cast("string")),
+    "jdbc": (lambda **_: F.lit(None).cast("string"), lambda **_: F.lit(None).cast("string")),
+}
+
+
+def crud_rule(kind: str, framework: str, **options) -> Column:
+    """The ``operation`` or ``query`` rule of one framework, by name."""
+    if framework not in CRUD_RULES or kind not in ("operation", "query"):
+        raise ValueError(f"no {kind} rule for {framework!r}")
+    return CRUD_RULES[framework][kind == "query"](**options)
+
+
+def data_access(kind: str, **options) -> Column:
+    """The first framework's verdict that is not null."""
+    return F.coalesce(*[crud_rule(kind, name, **options) for name in CRUD_RULES])

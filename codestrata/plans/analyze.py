@@ -27,6 +27,7 @@ class Analysis:
     call_edges: DataFrame
     enum_constants: DataFrame
     record_components: DataFrame
+    references: DataFrame
 
 
 def analyze(files: DataFrame, compat: bool = False) -> Analysis:
@@ -76,7 +77,14 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     sites = checkpointed(sites.withColumn("crud_operation", rules.crud_operation(compat=compat)))
 
     edges = call_edges(sites, typed, supers, found)
-    return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, edges, J.enum_constants(scope, parts, typed), J.record_components(typed))
+    components = J.record_defaults(J.record_components(typed), scope, parts, typed)
+    # What a callable refers to: types of its variables and creations, and fields of its type.
+    named = declared.where("callable_id is not null").select("file_key", "callable_id", F.col("type").alias("spelling"))
+    named = named.join(J.resolved(named, typed, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
+    made = sites.where("is_constructor_call and callable_id is not null").select("callable_id", F.lit("type").alias("kind"), F.col("receiver_type").alias("target"))
+    used = J.accessed_fields(code, scope, declared).join(own, ["file_key", "in_callable"]).select("callable_id", F.lit("field").alias("kind"), F.col("field_id").alias("target"))
+    references = named.unionByName(made).unionByName(used).where("target is not null").distinct()
+    return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, edges, J.enum_constants(scope, parts, typed), components, references)
 
 
 def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: DataFrame) -> DataFrame:

@@ -413,3 +413,22 @@ def record_components(typed: DataFrame) -> DataFrame:
     """``type_id, name, type, is_variadic, ordinal``: the components of each record."""
     rows = typed.where("kind = 'record'").select("type_id", F.posexplode(_parameters(bare(F.coalesce("components", F.lit(""))))).alias("ordinal", "p"))
     return rows.select("type_id", "p.*", "ordinal")
+
+
+def record_defaults(components: DataFrame, scope: DataFrame, parts: DataFrame, typed: DataFrame) -> DataFrame:
+    """``components`` with ``default_value``: what a constructor of the record assigns to the bare name, the first if several."""
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), F.col("in_type").alias("scope"))
+    shape = r"^([\w$]+) = (.+)$"
+    found = parts.where("ends = ';'").join(places, ["file_key", "brace"]).where(F.col("body").rlike(shape))
+    found = found.join(typed.where("kind = 'record'").select("file_key", "scope", "type_id"), ["file_key", "scope"])
+    values = found.groupBy("type_id", F.regexp_extract("body", shape, 1).alias("name")).agg(F.min_by(F.regexp_extract("body", shape, 2), "first").alias("default_value"))
+    return components.join(values, ["type_id", "name"], "left")
+
+
+def accessed_fields(code: DataFrame, scope: DataFrame, fields: DataFrame) -> DataFrame:
+    """``file_key, in_callable, field_id``: fields of the own type that a callable names, bare or after ``this``."""
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), "in_type", "in_callable")
+    bare_name = (F.col("kind") == "word") & (F.col("after") != "(") & ((F.col("before") != ".") | (F.col("before2") == "this"))
+    used = code.where(bare_name).select("file_key", "brace", F.col("text").alias("name")).join(places, ["file_key", "brace"])
+    own = fields.where("owner = 'field'").select("file_key", "in_type", "name", F.concat_ws(".", "type_id", "name").alias("field_id")).distinct()
+    return used.join(own, ["file_key", "in_type", "name"]).select("file_key", "in_callable", "field_id").distinct()

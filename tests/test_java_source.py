@@ -140,6 +140,12 @@ def test_enum_constants_and_record_components(analysis):
     assert pairs(analysis.record_components, "type_id", "name", "type") == {("a.Point", "x", "int"), ("a.Point", "y", "List<String>")}
 
 
+def test_record_defaults_and_references(analysis):
+    assert pairs(analysis.record_components, "name", "default_value") == {("x", "0"), ("y", None)}
+    found = pairs(analysis.references, "callable_id", "kind", "target")
+    assert {("a.User#<init>(String)", "field", "a.User.name"), ("a.User#names(List, int[])", "type", "a.Helper"), ("b.Ctl#go()", "field", "b.Ctl.u"), ("a.User#run()", "field", "a.User.em")} <= found
+
+
 def test_durable_ids(analysis):
     ids = {r.callable_id: r.can_id for r in durable_ids(analysis, "app").collect()}
     assert ids["a.User#run()"] == "can://java/app/a/User.java/a/User/run()"
