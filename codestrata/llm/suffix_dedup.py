@@ -36,7 +36,7 @@ from .text_arrays import Block, blocks, grouped_lists
 
 LENGTH = 400
 #: Bytes of a symbol and of an anchor; divides LENGTH.
-STEP = 50
+STEP = 80
 HOT_RUNS = 16_000
 PACK_BYTES = 3 << 20
 SHARD_BYTES = 1 << 18
@@ -134,7 +134,7 @@ def _deal(symbol: np.ndarray) -> np.ndarray:
     """Stable order of ``symbol`` (non-negative, below 2**31)."""
     packed = (symbol.astype(np.int64) << 32) | np.arange(len(symbol))
     packed.sort()
-    return packed & 0xFFFFFFFF
+    return (packed & 0xFFFFFFFF).astype(np.int32)
 
 
 def shard_transform(symbol: np.ndarray, begin: np.ndarray, end: np.ndarray, step: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,9 +146,9 @@ def shard_transform(symbol: np.ndarray, begin: np.ndarray, end: np.ndarray, step
     """
     count = end - begin + 1
     owner_begin = np.repeat(begin, count)
-    place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + owner_begin
+    place = (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + owner_begin).astype(np.int32)
     empty = place[place + step > np.repeat(end, count)]
-    first_of = np.zeros(int(end.max()) + 1, np.int64)
+    first_of = np.zeros(int(end.max()) + 1, np.int32)
     first_of[place] = owner_begin
     order = place
     for _ in range(depth):
@@ -162,23 +162,23 @@ def shard_transform(symbol: np.ndarray, begin: np.ndarray, end: np.ndarray, step
 
 def _shard_places(shard: np.ndarray) -> np.ndarray:
     """Where each place of an interleave is in the joined shards: their n-th mention is their n-th suffix."""
-    place = np.empty(len(shard), np.int64)
-    place[np.argsort(shard, kind="stable")] = np.arange(len(shard))
+    place = np.empty(len(shard), np.int32)
+    place[np.argsort(shard, kind="stable")] = np.arange(len(shard), dtype=np.int32)
     return place
 
 
 def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave of the shards in the order of ``depth`` symbols, and the block (common prefix of ``depth``) of each place."""
     sizes = np.array([len(t) for t in transforms])
-    joined = np.concatenate(transforms)
+    joined = np.concatenate(transforms).astype(np.int32)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-    block = np.zeros(len(joined), np.int64)
+    block = np.zeros(len(joined), np.int32)
     for _ in range(depth):
         before = joined[_shard_places(shard)]
         order = _deal(before)
         shard, block, before = shard[order], block[order], before[order]
         border = np.r_[True, (before[1:] != before[:-1]) | (block[1:] != block[:-1])]
-        block = np.cumsum(border) - 1
+        block = np.cumsum(border, dtype=np.int32) - np.int32(1)
     return _shard_places(shard), block
 
 
@@ -190,7 +190,7 @@ def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, step:
     data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     block = Block(data, np.array([0, len(data)]), 0)
     at = np.arange(len(data) - step + 1)
-    symbol = np.zeros(len(data), np.int64)
+    symbol = np.zeros(len(data), np.int32)
     symbol[: len(at)] = np.unique(block.span_hashes(block.prefix_sums(), at, at + step), return_inverse=True)[1]
     depth = length // step
     orders, transforms, first = [], [], 0
