@@ -38,7 +38,7 @@ LENGTH = 400
 #: Bytes of a symbol and of an anchor; divides LENGTH.
 STEP = 80
 HOT_RUNS = 16_000
-PACK_BYTES = 3 << 20
+PACK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
