@@ -216,12 +216,14 @@ def _parts(rows: DataFrame, by: str, key: str, size: int, seed: int) -> DataFram
 
 
 def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need: int = NEED, group_rows: int = GROUP_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
-    """``doc_id, tkey, n_shingles, component_id``, a row for each document.
+    """``doc_id, tkey, n_shingles, component_id, comp``, a row for each document.
 
     A document without words (empty or null text) has an empty set and links
     with nothing. ``component_id`` is the smallest ``doc_id`` that is reachable;
     null ids take part as documents, and a component of only null ids has a null
-    id. Equal sets always link. Repeated rows are equal sets. Other columns of
+    id. ``comp`` tells components apart that are not linked but share a
+    ``component_id`` (null, or an id of several texts); it is null for an empty
+    set. Equal sets always link. Repeated rows are equal sets. Other columns of
     ``docs`` are ignored; an empty table gives an empty result.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
@@ -277,19 +279,21 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     named = profiles.select("doc_id", "tkey", "n", F.col("s1").alias("p1"), F.col("s2").alias("p2")).where("n > 0").join(ids, (F.col("p1") == F.col("s1")) & (F.col("p2") == F.col("s2")))
     named = stored(named.select("doc_id", "tkey", "n", "comp"), "document-components")
     lowest = stored(named.groupBy(F.col("comp").alias("c")).agg(F.min("doc_id").alias("component_id")), "component-ids")
-    linked = named.join(lowest, F.col("comp") == F.col("c")).select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id")
-    alone = profiles.where("n = 0").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    linked = named.join(lowest, F.col("comp") == F.col("c")).select("doc_id", "tkey", F.col("n").alias("n_shingles"), "component_id", "comp")
+    alone = profiles.where("n = 0").select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("comp"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest ``doc_id``.
 
-    Rows alike in id and text are one document. Documents without words stay.
+    Components are told apart by their links, not by ``component_id``, which
+    several share where ids are null or repeated. Rows alike in id and text are
+    one document. Documents without words stay.
     """
     found = jaccard_components(docs, **options)
     # eqNullSafe: a component of null ids has a null id, and the least text hash stands for it.
-    best = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy(F.col("component_id").alias("__id")).agg(F.min("tkey").alias("__best"))
+    best = found.where("n_shingles > 0 and doc_id <=> component_id").groupBy("comp").agg(F.first("component_id").alias("__id"), F.min("tkey").alias("__best")).drop("comp")
     empty = docs.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     rows = docs.withColumn("__key", F.xxhash64("text")).where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     kept = rows.join(best, (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)

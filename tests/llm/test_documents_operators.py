@@ -176,6 +176,22 @@ def test_one_of_each(documents, corpus):
     assert sorted(kept, key=str) == sorted([*groups, *empty], key=str)
 
 
+def test_one_of_each_where_components_share_an_id(documents):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(8)
+    texts = [words(rng, 80, 5000) for _ in range(9)]
+    near = texts[0].rsplit(" ", 1)[0]
+    rows = [(None, t, "a") for t in [*texts[:5], near]] + [(7, texts[5], "a"), (7, texts[6], "b"), (8, texts[6], "b"), (6, texts[7], "c"), (7, texts[7], "c"), (9, texts[8], None), (None, texts[8], None)]
+    kept = collections.Counter((r.doc_id, r.text) for r in ngram_join.one_of_each(documents(rows)).collect())
+    first = [k for k in kept if k[1] in (texts[0], near)]
+    assert len(first) == 1 and first[0][0] is None
+    rest = [(None, t) for t in texts[1:5]] + [(7, texts[5]), (7, texts[6]), (6, texts[7]), (9, texts[8])]
+    assert kept == collections.Counter(first + rest)
+
+
 def test_token_counts_match_the_tokenizer(documents, corpus):
     from tokenizers import Tokenizer, models, normalizers
 
