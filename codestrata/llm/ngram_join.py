@@ -25,6 +25,8 @@ from .components import components
 from .shared import stored
 from .text_arrays import Block, blocks, grouped_lists, mix
 
+#: Words of a shingle, unless the caller names another number.
+WORDS = 3
 SKETCH_BITS = 17
 #: Shared rare tokens that open a group.
 NEED = 4
@@ -34,7 +36,7 @@ SLOTS = 64
 BROADCAST_KEYS = 400_000
 
 
-def shingle_sets(block: Block, words: int = 3) -> list[np.ndarray]:
+def shingle_sets(block: Block, words: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text; fewer words make one shingle, none an empty set."""
     start, end, owner = block.words()
     value = block.span_hashes(block.prefix_sums(fold_case=True), start, end)
@@ -58,12 +60,12 @@ def shingle_sets(block: Block, words: int = 3) -> list[np.ndarray]:
     return sets
 
 
-def _sketch_rows(bits: int):
+def _sketch_rows(bits: int, words: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             for block in blocks(batch.column("text")):
-                for one in shingle_sets(block):
+                for one in shingle_sets(block, words):
                     np.add.at(total, (one >> np.uint64(64 - bits)).astype(np.int64), 1)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
@@ -71,22 +73,22 @@ def _sketch_rows(bits: int):
     return count
 
 
-def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
+def token_sketch(docs: DataFrame, bits: int = SKETCH_BITS, words: int = WORDS) -> np.ndarray:
     """Documents per token bucket, over all documents; ``2 ** bits`` counts reach the driver whatever the input."""
-    rows = docs.select("text").mapInArrow(_sketch_rows(bits), "bucket int, n long")
+    rows = docs.select("text").mapInArrow(_sketch_rows(bits, words), "bucket int, n long")
     out = np.zeros(1 << bits, np.int64)
     for r in rows.groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out
 
 
-def _profile_rows(sketch, bits: int, num: int, den: int, need: int):
+def _profile_rows(sketch, bits: int, num: int, den: int, need: int, words: int):
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = np.minimum(sketch.value, (1 << 24) - 1).astype(np.uint64) << np.uint64(40)
         for batch in batches:
             for block in blocks(batch.column("text")):
                 n, s1, s2, slots, prefix = [], [], [], [], []
-                for one in shingle_sets(block):
+                for one in shingle_sets(block, words):
                     n.append(len(one))
                     slots.append(np.minimum(np.bincount((one & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS), 65_535).astype(np.uint16).tobytes())
                     if not len(one):
@@ -108,13 +110,16 @@ def _profile_rows(sketch, bits: int, num: int, den: int, need: int):
     return profile
 
 
-def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in blocks(batch.column("text")):
-            sets = shingle_sets(block)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            tokens = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("cls").slice(block.first_row, block.rows), grouped_lists(tokens, owner, len(sets))], ["cls", "tokens"])
+def _set_rows(words: int):
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("text")):
+                sets = shingle_sets(block, words)
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                tokens = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("cls").slice(block.first_row, block.rows), grouped_lists(tokens, owner, len(sets))], ["cls", "tokens"])
+
+    return sets_of
 
 
 def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
@@ -194,7 +199,7 @@ def _by_call(rows: DataFrame, per_call: int) -> DataFrame:
     return rows.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(max(1, rows.count() // per_call))))
 
 
-def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int) -> DataFrame:
+def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """Edges between components in each bounded part of ``rows (part, c, comp)``: bound all pairs, then intersect the sets that pass."""
     bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "n", "slots"), "bounds"), 4000)
     passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long"), "passed")
@@ -202,7 +207,7 @@ def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den:
     side = keys.select("cls", F.col("tkey").alias("k"), F.col("doc_id").alias("d"))
     side = F.broadcast(side) if keys.count() <= BROADCAST_KEYS else side
     read = texts.join(side, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
-    sets = stored(read.mapInArrow(_set_rows, "cls long, tokens array<long>"), "sets")
+    sets = stored(read.mapInArrow(_set_rows(words), "cls long, tokens array<long>"), "sets")
     members = _by_call(passed.withColumnRenamed("cls", "c"), 768)
     packed = members.join(sets, F.col("c") == F.col("cls")).select("call", "part", "cls", "tokens")
     return stored(packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long"), "links")
@@ -215,9 +220,10 @@ def _parts(rows: DataFrame, by: str, key: str, size: int, seed: int) -> DataFram
     return rows.join(counts, F.col(by) == F.col("__by")).withColumn("part", F.xxhash64(by, cut)).drop("__by")
 
 
-def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need: int = NEED, group_rows: int = GROUP_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, den: int = 100, need: int = NEED, group_rows: int = GROUP_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
     """``doc_id, tkey, n_shingles, component_id, comp``, a row for each document.
 
+    Sets of shingles of ``words`` words link at a Jaccard similarity of ``num / den``.
     A document without words (empty or null text) has an empty set and links
     with nothing. ``component_id`` is the smallest ``doc_id`` that is reachable;
     null ids take part as documents, and a component of only null ids has a null
@@ -227,9 +233,9 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     ``docs`` are ignored; an empty table gives an empty result.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
-    sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(docs, bits))
+    sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(docs, bits, words))
     schema = "doc_id long, tkey long, n long, s1 long, s2 long, slots binary, prefix array<long>"
-    profiles = stored(texts.mapInArrow(_profile_rows(sketch, bits, num, den, need), schema), "profiles")
+    profiles = stored(texts.mapInArrow(_profile_rows(sketch, bits, num, den, need, words), schema), "profiles")
     firsts = [F.first(c).alias(c) for c in ("n", "slots", "prefix")]
     classes = profiles.where("n > 0").groupBy("s1", "s2").agg(*firsts, F.min(F.struct("tkey", "doc_id")).alias("carrier"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
@@ -250,7 +256,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     for parts in grouped:
         several = parts.groupBy("part").count().where("count > 1").select(F.col("part").alias("p"))
         members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"), F.col("cls").alias("comp"))
-        found = _linked(members, active, texts, num, den)
+        found = _linked(members, active, texts, num, den, words)
         edges = found if edges is None else edges.unionByName(found)
     known = components(edges)
 
@@ -272,7 +278,7 @@ def jaccard_components(docs: DataFrame, *, num: int = 90, den: int = 100, need:
     opened = stored(opened.select(F.xxhash64("part", "group").alias("pair"), F.array("part", "group").alias("sides")), "opened")
     sides = opened.select(F.col("pair").alias("part"), F.explode("sides").alias("side"))
     both = sides.join(groups.select(F.col("part").alias("g"), F.col("cls").alias("c"), "comp"), F.col("side") == F.col("g")).select("part", "c", "comp")
-    final = components(edges.unionByName(_linked(both, active, texts, num, den)))
+    final = components(edges.unionByName(_linked(both, active, texts, num, den, words)))
 
     ids = classes.select("s1", "s2", "cls").join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
     ids = stored(ids, "class-components")

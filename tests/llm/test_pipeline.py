@@ -61,6 +61,28 @@ def test_stages(spark, documents, corpus, tmp_path):
     assert collections.Counter(again) == collections.Counter(out["best_fit_packing"])
 
 
+def test_near_duplicates_at_five_words_and_four_fifths(spark, documents):
+    import random
+
+    from .conftest import words
+
+    rng = random.Random(12)
+    base = words(rng, 100, 5000).split()
+
+    def changed(*places):
+        return " ".join(f"new{k}" if k in places else w for k, w in enumerate(base))
+
+    def shared(a, b, n):
+        a, b = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    # Two edits: 86 of 106 shingles of five words are shared (0.81), 92 of 104 of three (0.88). Three: 81 of 111 (0.73).
+    rows = [(1, " ".join(base), "a"), (2, changed(30, 60), "b"), (3, changed(20, 50, 80), "c")]
+    assert 0.8 <= shared(rows[0][1], rows[1][1], 5) and shared(rows[0][1], rows[1][1], 3) < 0.9
+    assert shared(rows[0][1], rows[2][1], 5) < 0.8 and shared(rows[1][1], rows[2][1], 5) < 0.8
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, documents(rows), "").collect()) == [1, 3]
+
+
 def test_registered_queries_run(spark):
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(names, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
