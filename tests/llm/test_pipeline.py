@@ -83,6 +83,16 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark, documents):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, documents(rows), "").collect()) == [1, 3]
 
 
+def test_repeated_passages_under_400_bytes_go(spark, documents):
+    import random
+
+    rng = random.Random(13)
+    passage = " ".join(f"w{rng.randrange(10_000, 100_000)}" for _ in range(50))  # 349 bytes
+    rows = [(k, f"head {k}\n{passage}\n{k} tail", "a") for k in range(3)] + [(3, passage[:310] + " but shorter", "a")]
+    left = {r.doc_id: r.text for r in corpus_pipeline.repeated_text_stage(spark, documents(rows), "").collect()}
+    assert left == {k: f"head {k}{k} tail" for k in range(3)} | {3: rows[3][1]}
+
+
 def test_registered_queries_run(spark):
     names = list(queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in sorted(names, key=lambda n: int(re.match(r"op(\d+)_", n)[1]))] == list(range(1, 11))
