@@ -4,13 +4,16 @@ Every tree splits the vectors at random directions, again and again; vectors
 near a split go to both sides. Vectors are compared only inside leaves, by
 cosine in double precision. The upper splits are fitted on a bounded sample of
 vectors (``SAMPLE``); a leaf that holds more than ``max_leaf`` of all vectors is
-split further, at the mean of its own projections, until it does not. A pair
-that shares several leaves counts in the first of them only, so links are
-counted without listing pairs.
+split further, at the mean of its own projections, until it does not. A cell that
+hardly spreads against the distance of a link (``TIGHT``) is not split: all its
+pairs are compared, in blocks that are dealt over tasks. A pair that shares
+several leaves counts in the first of them only, so links are counted without
+listing pairs.
 
 Recall: a pair at the threshold is parted by a split with a chance of a few
-hundredths, and has to be parted in every tree to be lost. Tests measure recall
-against brute force.
+hundredths, and has to be parted in every tree to be lost; a cut keeps off
+places where the vectors crowd. Tests measure recall against brute force, also
+where a third of all vectors are alike.
 """
 
 from __future__ import annotations
@@ -34,9 +37,23 @@ TREES = 7
 SPILL = 0.15
 LEAF = 384
 MAX_LEAF = 4096
+#: Cells whose deviation along a direction is under so many times that of a link at the threshold are compared whole.
+TIGHT = 1.4
+#: Vectors of a block of such a cell.
+BLOCK = 2048
+#: Directions that the spread of a cell is read from; the first is the one it is split at.
+PROBES = 8
 
 
-def _fit_tree(sample: np.ndarray, leaf: int, spill: float, seed: int) -> list[tuple]:
+def _sparse_cut(p: np.ndarray, reach: float) -> float:
+    """The median, or a place between the quantiles 0.3 and 0.7 with far fewer values within ``reach``."""
+    p = np.sort(p)
+    places = np.r_[np.median(p), np.quantile(p, np.linspace(0.3, 0.7, 41))]
+    crowd = np.searchsorted(p, places + reach) - np.searchsorted(p, places - reach)
+    return float(places[0] if crowd[0] <= 1.5 * crowd.min() else places[crowd.argmin()])
+
+
+def _fit_tree(sample: np.ndarray, leaf: int, spill: float, seed: int, link: float) -> list[tuple]:
     """Nodes ``(direction, threshold, margin, left, right)``; negative children are leaves -1 - number."""
     rng = np.random.default_rng(seed)
     nodes: list = []
@@ -44,10 +61,12 @@ def _fit_tree(sample: np.ndarray, leaf: int, spill: float, seed: int) -> list[tu
 
     def grow(rows: np.ndarray) -> int:
         nonlocal leaves
-        if len(rows) > leaf:
+        if len(rows) > leaf and np.sqrt(sample[rows].var(0).mean()) >= TIGHT * link:
             direction = rng.standard_normal(sample.shape[1])
             p = sample[rows] @ (direction / np.linalg.norm(direction))
-            cut, margin = float(np.median(p)), spill * float(p.std())
+            sigma = float(p.std())
+            margin = max(spill * sigma, min(link, sigma) / 2)
+            cut = _sparse_cut(p, margin)
             left, right = rows[p < cut + margin], rows[p > cut - margin]
             if max(len(left), len(right)) < len(rows):
                 at = len(nodes)
@@ -98,30 +117,32 @@ def _route_rows(forests):
 
 def _project_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        p = np.zeros(len(frame))
+        p = np.zeros((len(frame), PROBES))
         cells = frame["cell"].to_numpy()
         for cell in np.unique(cells):
             mine = np.flatnonzero(cells == cell)
             x = _unit([frame["vec"].iloc[i] for i in mine])
-            p[mine] = x @ np.random.default_rng(abs(int(cell))).standard_normal(x.shape[1])
-        yield pd.DataFrame({"id": frame["id"], "cell": cells, "p": p})
+            directions = np.random.default_rng(abs(int(cell))).standard_normal((x.shape[1], PROBES))
+            p[mine] = x @ (directions / np.linalg.norm(directions, axis=0))
+        yield pd.DataFrame({"id": frame["id"], "cell": cells, "width": frame["vec"].map(len), **{f"p{k}": p[:, k] for k in range(PROBES)}})
 
 
-def _compare(threshold: float, block: int = 1024):
+def _compare(threshold: float, step: int = 1024):
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         cell = frame["cell"].iloc[0]
         frame = frame.sort_values("id")
         x, ids, copies = _unit(list(frame["vec"])), frame["id"].to_numpy(), frame["copies"].to_numpy()
-        near = [np.zeros((0, 2), np.int64)]
-        for first in range(0, len(x), block):
-            a, b = np.nonzero(x[first : first + block] @ x.T >= threshold)
-            near.append(np.stack([a + first, b], axis=1)[a + first != b])
-        linked = np.unique(np.concatenate(near)[:, 0])
+        link = np.zeros((len(x), len(x)), bool)
+        for first in range(0, len(x), step):
+            link[first : first + step] = x[first : first + step] @ x.T >= threshold
+        np.fill_diagonal(link, False)
+        if frame["lo"].iloc[0] != frame["hi"].iloc[0]:  # two blocks: the pairs inside each are compared elsewhere
+            block = frame["block"].to_numpy()
+            link &= block[:, None] != block[None, :]
+        linked = np.flatnonzero(link.any(1))
         if not len(linked):
             return pd.DataFrame({"id": ids[:0], "links": copies[:0], "root": ids[:0]})
-        link = np.zeros((len(linked), len(linked)), bool)
-        a, b = np.searchsorted(linked, np.concatenate(near)).T
-        link[a, b] = True
+        link = link[np.ix_(linked, linked)]
         # Pairs that also share an earlier cell are counted there.
         cells = [np.asarray(frame["cells"].iloc[i]) for i in linked]
         earlier = [c[c < cell] for c in cells]
@@ -139,7 +160,7 @@ def _compare(threshold: float, block: int = 1024):
 
 
 def near_duplicates(
-    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", *, threshold: float = 0.95, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, max_leaf: int = MAX_LEAF, sample: int = SAMPLE
+    vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", *, threshold: float = 0.95, trees: int = TREES, spill: float = SPILL, leaf: int = LEAF, max_leaf: int = MAX_LEAF, sample: int = SAMPLE, block: int = BLOCK
 ) -> DataFrame:
     """``id, n_links, component_id, kept``, a row for each vector.
 
@@ -162,7 +183,7 @@ def near_duplicates(
     for size, part in taken.groupby(taken["vec"].map(len)) if len(taken) else []:
         x = _unit(list(part["vec"]))
         rows_per_leaf = max(24, leaf * len(taken) // max(total, 1))
-        forests[size] = [_fit_tree(x, rows_per_leaf, spill, seed) for seed in range(trees)]
+        forests[size] = [_fit_tree(x, rows_per_leaf, spill, seed, float(np.sqrt(2 * (1 - threshold) / size))) for seed in range(trees)]
     forest = spark.sparkContext.broadcast(forests)
 
     cells = stored(distinct.select("id", "vec").mapInPandas(_route_rows(forest), "id long, cell long"), "cells")
@@ -175,16 +196,30 @@ def near_duplicates(
         done = cells.join(counts.where(F.col("n") <= max_leaf), F.col("cell") == F.col("c")).select("id", "cell")
         final = done if final is None else final.unionByName(done)
         split = cells.join(large, F.col("cell") == F.col("c")).select(F.col("id").alias("i"), "cell").join(distinct, F.col("i") == F.col("id"))
-        split = stored(split.select("id", "cell", "vec").mapInPandas(_project_rows, "id long, cell long, p double"), "projections")
-        middle = stored(split.groupBy(F.col("cell").alias("c")).agg(F.avg("p").alias("mean"), (F.stddev_pop("p") * spill).alias("margin")), "cell-means")
-        sides = F.filter(F.array(F.when(F.col("p") < F.col("mean") + F.col("margin"), 0), F.when(F.col("p") >= F.col("mean") - F.col("margin"), 1)), lambda s: s.isNotNull())
-        deeper = split.join(middle, F.col("cell") == F.col("c")).withColumn("side", F.explode(sides))
+        probes = [f"p{k}" for k in range(PROBES)]
+        split = stored(split.select("id", "cell", "vec").mapInPandas(_project_rows, "id long, cell long, width int, " + ", ".join(f"{p} double" for p in probes)), "projections")
+        spread = F.sqrt(sum(F.var_pop(p) for p in probes) / PROBES)
+        link = F.sqrt(F.lit(2 * (1 - threshold)) / F.max("width"))
+        sigma = F.stddev_pop("p0")
+        margin = F.greatest(sigma * spill, F.least(link, sigma) / 2)
+        middle = stored(split.groupBy(F.col("cell").alias("c")).agg(F.avg("p0").alias("mean"), margin.alias("margin"), (spread < TIGHT * link).alias("tight")), "cell-means")
+        tight = split.join(middle.where("tight"), F.col("cell") == F.col("c")).select("id", "cell")
+        final = tight if final is None else final.unionByName(tight)
+        sides = F.filter(F.array(F.when(F.col("p0") < F.col("mean") + F.col("margin"), 0), F.when(F.col("p0") >= F.col("mean") - F.col("margin"), 1)), lambda s: s.isNotNull())
+        deeper = split.join(middle.where("not tight"), F.col("cell") == F.col("c")).withColumn("side", F.explode(sides))
         cells = stored(deeper.select("id", F.xxhash64("cell", "side").alias("cell")), "cells")
     cells = cells if final is None else final.unionByName(cells)
 
     own = cells.groupBy(F.col("id").alias("i")).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     routed = distinct.join(own, F.col("id") == F.col("i")).select("id", "vec", "copies", "cells", F.explode("cells").alias("cell"))
-    found = routed.groupBy("cell").applyInPandas(_compare(threshold), "id long, links long, root long")
+    # Cells over ``max_leaf`` are left only where they are tight: every two of their blocks meet in a task of their own.
+    sizes = cells.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > max_leaf)
+    sizes = stored(sizes.select("c", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "whole-cells")
+    routed = routed.join(F.broadcast(sizes), F.col("cell") == F.col("c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    routed = routed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int"))
+    routed = routed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    routed = routed.select("id", "vec", "copies", "cells", "cell", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    found = routed.groupBy("cell", "lo", "hi").applyInPandas(_compare(threshold), "id long, links long, root long")
     found = stored(found, "vector-links")
     links = found.groupBy(F.col("id").alias("i")).agg(F.sum("links").alias("links"))
     linked = components(found.where("id != root").select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -57,6 +57,22 @@ def test_forest(spark, options):
         assert got == wanted
 
 
+def test_forest_with_a_third_alike(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(64)
+    alike = centre / np.linalg.norm(centre) + rng.standard_normal((800, 64)) * 0.225 / 8  # cosines about the threshold
+    x = np.concatenate([alike, rng.standard_normal((1600, 64))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    found = embedding_dedup.near_duplicates(frame, leaf=20, sample=1200, max_leaf=200, block=150).collect()
+    links = np.zeros(len(x), int)
+    for r in found:
+        links[r.vec_id] = r.n_links
+    assert wanted.sum() > 200_000 and (links <= wanted).all()
+    assert links.sum() >= 0.995 * wanted.sum()
+
+
 def test_forest_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(frame).count() == 0
