@@ -6,8 +6,10 @@ small groups by minimum hash, and the matrix holds, for each group, the union of
 its members' rare tokens (token, group). Groups are opened to each other only if
 their unions share enough tokens: two sets that link share at least ``need`` of
 their ``n - ceil(t * n) + need`` rarest tokens, so no link is lost. Rarity is read
-from a fixed-size sketch that counts all tokens of all texts. In an open group, tokens counted by ``SLOTS`` hash slots bound every overlap from above,
-and only sets that pass are read again and intersected.
+from a fixed-size sketch that counts all tokens of all texts. The members of the
+smaller of two open groups go to the larger one, which meets all its guests at
+once: tokens counted by ``SLOTS`` hash slots bound every overlap from above, and
+only sets that pass are read again and intersected.
 """
 
 from __future__ import annotations
@@ -30,7 +32,12 @@ WORDS = 3
 SKETCH_BITS = 17
 #: Shared rare tokens that open a group.
 NEED = 4
-GROUP_ROWS = 256
+GROUP_ROWS = 1024
+#: Members of other groups that one group meets in one block.
+GUESTS = 4096
+#: A group's sets hold about so many tokens at most, and the sets of one call.
+PART_TOKENS = 1 << 20
+CALL_TOKENS = 1 << 21
 SLOTS = 64
 #: Up to so many keys of sets to read again are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 400_000
@@ -122,8 +129,9 @@ def _set_rows(words: int):
     return sets_of
 
 
-def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
-    """Size of the intersection of every two of a bounded group of sets."""
+def overlaps(asked: list[np.ndarray], held: list[np.ndarray], width: int = 2048) -> np.ndarray:
+    """Size of the intersection of each of ``asked`` with each of ``held``, two bounded groups of sets."""
+    sets = [*asked, *held]
     tokens = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(tokens, kind="stable")
@@ -132,12 +140,12 @@ def overlaps(sets: list[np.ndarray], width: int = 4096) -> np.ndarray:
     several = np.bincount(place) > 1
     keep = several[place]
     column, owner = (np.cumsum(several) - 1)[place[keep]], owner[keep]
-    out = np.zeros((len(sets), len(sets)))
+    out = np.zeros((len(asked), len(held)), np.float32)
     for first in range(0, int(several.sum()), width):
         lo, hi = np.searchsorted(column, [first, first + width])
         part = np.zeros((len(sets), width), np.float32)
         part[owner[lo:hi], column[lo:hi] - first] = 1
-        out += part @ part.T
+        out += part[: len(asked)] @ part[len(asked) :].T
     return out
 
 
@@ -152,72 +160,111 @@ def local_roots(near: np.ndarray) -> np.ndarray:
         label = low
 
 
+def _linked_roots(near: np.ndarray, asked: np.ndarray, held: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the nodes ``0..n-1`` that each one reaches, if ``asked[i]`` and ``held[j]`` link where ``near[i, j]``."""
+    label = np.arange(n, dtype=np.int32)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, asked, np.where(near, label[held][None, :], np.int32(n)).min(1))
+        np.minimum.at(low, held, np.where(near, label[asked][:, None], np.int32(n)).min(0))
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _parts_of(frame: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """The parts of a call, and the rows of each that ask and that are held: all rows, where none comes from another group."""
+    frame = frame.sort_values(["part", "cls"], ignore_index=True)
+    part = frame["part"].to_numpy()
+    cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+        guest = frame["guest"].to_numpy()[first:last]
+        held, asked = np.flatnonzero(~guest), np.flatnonzero(guest)
+        if not len(asked):
+            asked = held
+        if last - first > 1 and len(held):
+            yield frame.iloc[first:last], asked, held
+
+
 def _linker(num: int, den: int):
     def link(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, roots = [], []
-        for _, part in frame.groupby("part", sort=False):
-            part = part.drop_duplicates("cls").sort_values("cls")
-            ids = part["cls"].to_numpy()
-            if len(ids) < 2:
-                continue
+        nodes, roots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, asked, held in _parts_of(frame):
             sets = [np.asarray(x, np.int64) for x in part["tokens"]]
             size = np.array([len(s) for s in sets], float)
-            both = overlaps(sets)
-            near = den * both >= num * (size[:, None] + size[None, :] - both)
-            np.fill_diagonal(near, False)
-            root = local_roots(near)
+            both = overlaps([sets[i] for i in asked], [sets[i] for i in held])
+            near = den * both >= num * (size[asked][:, None] + size[held][None, :] - both)
+            ids, place = np.unique(part["cls"].to_numpy(), return_inverse=True)
+            root = _linked_roots(near, place[asked], place[held], len(ids))
             moved = root != np.arange(len(ids))
             nodes.append(ids[moved]), roots.append(ids[root[moved]])
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *nodes]), "b": np.concatenate([none, *roots])})
+        return pd.DataFrame({"a": np.concatenate(nodes), "b": np.concatenate(roots)})
 
     return link
 
 
 def _bounder(num: int, den: int):
     def bound(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [frame[["part", "cls"]].iloc[:0]]
-        for _, part in frame.groupby("part", sort=False):
-            part = part.drop_duplicates("cls")
-            if len(part) < 2:
-                continue
+        out = [frame[["part", "cls", "guest", "n"]].iloc[:0]]
+        for part, asked, held in _parts_of(frame):
             counts = np.stack([np.frombuffer(x, np.uint16) for x in part["slots"]]).astype(np.int32)
-            size = part["n"].to_numpy()
-            # The sets differ in as many tokens at least as their slot counts do.
-            apart = np.stack([np.abs(counts - one).sum(1) for one in counts])
-            may = (den + num) * apart <= (den - num) * (size[:, None] + size[None, :])
-            comp = part["comp"].to_numpy()
-            may &= comp[:, None] != comp[None, :]
-            out.append(part.loc[may.any(1), ["part", "cls"]])
+            size, comp = part["n"].to_numpy(), part["comp"].to_numpy()
+            passed = np.zeros(len(part), bool)
+            for i in asked:
+                # The sets differ in as many tokens at least as their slot counts do.
+                apart = np.abs(counts[held] - counts[i]).sum(1)
+                may = ((den + num) * apart <= (den - num) * (size[held] + size[i])) & (comp[held] != comp[i])
+                passed[held[may]] = True
+                passed[i] |= may.any()
+            out.append(part.loc[passed, ["part", "cls", "guest", "n"]])
         return pd.concat(out)
 
     return bound
 
 
-def _by_call(rows: DataFrame, per_call: int) -> DataFrame:
-    """``rows`` with ``call``: several bounded parts that go through one call."""
-    return rows.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(max(1, rows.count() // per_call))))
+def _by_call(rows: DataFrame, per_call: int, weight: str | None = None) -> DataFrame:
+    """``rows`` with ``call``: several bounded parts that go through one call, of about ``per_call`` rows or of that sum of ``weight``."""
+    total = rows.agg(F.sum(weight) if weight else F.count("*")).first()[0] or 0
+    return rows.withColumn("call", F.pmod(F.xxhash64("part"), F.lit(max(1, total // per_call))))
 
 
 def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """Edges between components in each bounded part of ``rows (part, c, comp)``: bound all pairs, then intersect the sets that pass."""
-    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "n", "slots"), "bounds"), 4000)
-    passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long"), "passed")
+    """Edges between components in each bounded part of ``rows (part, c, comp, guest)``: bound all pairs, then intersect the sets that pass."""
+    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "guest", "n", "slots"), "bounds"), 4000)
+    passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long, guest boolean, n long"), "passed")
     keys = stored(active.join(passed.select(F.col("cls").alias("p")).distinct(), F.col("cls") == F.col("p")).select("cls", "carrier.*"), "keys")
     side = keys.select("cls", F.col("tkey").alias("k"), F.col("doc_id").alias("d"))
     side = F.broadcast(side) if keys.count() <= BROADCAST_KEYS else side
     read = texts.join(side, (F.col("tkey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cls", "text")
-    sets = stored(read.mapInArrow(_set_rows(words), "cls long, tokens array<long>"), "sets")
-    members = _by_call(passed.withColumnRenamed("cls", "c"), 768)
-    packed = members.join(sets, F.col("c") == F.col("cls")).select("call", "part", "cls", "tokens")
+    sets = stored(read.mapInArrow(_set_rows(words), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
+    members = _by_call(passed.withColumnRenamed("cls", "c"), CALL_TOKENS, "n")
+    packed = members.join(sets, F.col("c") == F.col("cls")).select("call", "part", "cls", "guest", "tokens")
     return stored(packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long"), "links")
 
 
 def _parts(rows: DataFrame, by: str, key: str, size: int, seed: int) -> DataFrame:
-    """``rows`` with ``part``: groups of ``by``, large ones dealt into parts of about ``size`` rows by hash of ``key``."""
-    counts = stored(rows.groupBy(F.col(by).alias("__by")).agg(F.count("*").alias("__n")), "part-sizes")
-    cut = F.pmod(F.xxhash64(key, F.lit(seed)), F.ceil(F.col("__n") / F.lit(size)))
-    return rows.join(counts, F.col(by) == F.col("__by")).withColumn("part", F.xxhash64(by, cut)).drop("__by")
+    """``rows`` with ``part``: groups of ``by``, large ones dealt into parts of about ``size`` rows and ``PART_TOKENS`` tokens by hash of ``key``."""
+    needed = F.greatest(F.ceil(F.count("*") / F.lit(size)), F.ceil(F.sum("n") / F.lit(PART_TOKENS)))
+    counts = stored(rows.groupBy(F.col(by).alias("__by")).agg(needed.alias("__n")), "part-sizes")
+    cut = F.pmod(F.xxhash64(key, F.lit(seed)), F.col("__n"))
+    return rows.join(counts, F.col(by) == F.col("__by")).withColumn("part", F.xxhash64(by, cut)).drop("__by", "__n")
+
+
+def _asked(opened: DataFrame, groups: DataFrame) -> DataFrame:
+    """``part, c, comp, guest``: members of the smaller group of each opened pair as guests of the larger one.
+
+    A group meets all its guests, however many groups they come from, in blocks
+    of ``GUESTS``; its own members are repeated once a block, not once a pair.
+    """
+    member = groups.select(F.col("part").alias("g"), F.col("cls").alias("c"), "comp", "n")
+    guests = stored(opened.join(member, F.col("guest") == F.col("g")).select("home", "c", "comp", "n"), "guests")
+    needed = F.greatest(F.ceil(F.count("*") / F.lit(GUESTS)), F.ceil(F.sum("n") / F.lit(CALL_TOKENS)))
+    homes = stored(guests.groupBy(F.col("home").alias("h")).agg(needed.alias("k")), "homes")
+    asking = guests.join(homes, F.col("home") == F.col("h")).select(F.xxhash64("home", F.pmod(F.xxhash64("c"), F.col("k"))).alias("part"), "c", "comp", F.lit(True).alias("guest"))
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))
+    home = member.join(homes, F.col("g") == F.col("h")).select("g", "c", "comp", block.alias("i"))
+    return asking.unionByName(home.select(F.xxhash64("g", "i").alias("part"), "c", "comp", F.lit(False).alias("guest")))
 
 
 def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, den: int = 100, need: int = NEED, group_rows: int = GROUP_ROWS, bits: int = SKETCH_BITS) -> DataFrame:
@@ -255,7 +302,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     edges = None
     for parts in grouped:
         several = parts.groupBy("part").count().where("count > 1").select(F.col("part").alias("p"))
-        members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"), F.col("cls").alias("comp"))
+        members = parts.join(several, F.col("part") == F.col("p")).select("part", F.col("cls").alias("c"), F.col("cls").alias("comp"), F.lit(False).alias("guest"))
         found = _linked(members, active, texts, num, den, words)
         edges = found if edges is None else edges.unionByName(found)
     known = components(edges)
@@ -268,17 +315,18 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("part").alias("p_lo"), F.max("part").alias("p_hi"))
     mixed = stored(mixed.where("lo < hi and p_lo < p_hi").select(F.col("token").alias("t")), "mixed-tokens")
     tokens = tokens.join(mixed, F.col("token") == F.col("t")).drop("t")
+    sizes = stored(groups.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("size")), "group-sizes")
     matrix = tokens.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
-    matrix = stored(matrix, "matrix")
-    other = matrix.toDF("t", "group", "g_n", "g_hi", "g_lo_c", "g_hi_c")
+    matrix = stored(matrix.join(sizes, F.col("part") == F.col("p")).drop("p"), "matrix")
+    other = matrix.toDF("t", "group", "g_n", "g_hi", "g_lo_c", "g_hi_c", "g_size")
     fits = (F.lit(den) * F.col("g_hi") >= F.lit(num) * F.col("n")) & (F.lit(den) * F.col("n_hi") >= F.lit(num) * F.col("g_n"))
     apart = (F.col("c_lo") != F.col("g_hi_c")) | (F.col("c_hi") != F.col("g_lo_c"))
     hits = matrix.join(other, (F.col("token") == F.col("t")) & (F.col("part") < F.col("group")) & fits & apart)
-    opened = hits.groupBy("part", "group").agg(F.count("*").alias("k"), F.min(F.least("n", "g_n")).alias("n")).where(F.col("k") >= enough)
-    opened = stored(opened.select(F.xxhash64("part", "group").alias("pair"), F.array("part", "group").alias("sides")), "opened")
-    sides = opened.select(F.col("pair").alias("part"), F.explode("sides").alias("side"))
-    both = sides.join(groups.select(F.col("part").alias("g"), F.col("cls").alias("c"), "comp"), F.col("side") == F.col("g")).select("part", "c", "comp")
-    final = components(edges.unionByName(_linked(both, active, texts, num, den, words)))
+    opened = hits.groupBy("part", "group").agg(F.count("*").alias("k"), F.min(F.least("n", "g_n")).alias("n"), F.first("size").alias("size"), F.first("g_size").alias("g_size"))
+    larger = F.col("size") >= F.col("g_size")
+    opened = opened.where(F.col("k") >= enough).select(F.when(larger, F.col("part")).otherwise(F.col("group")).alias("home"), F.when(larger, F.col("group")).otherwise(F.col("part")).alias("guest"))
+    rows = _asked(stored(opened, "opened"), groups)
+    final = components(edges.unionByName(_linked(rows, active, texts, num, den, words)))
 
     ids = classes.select("s1", "s2", "cls").join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
     ids = stored(ids, "class-components")
