@@ -40,8 +40,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.dedup(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), passage=suffix_dedup.PASSAGE)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Removal of byte strings that occur more than once, by merging Burrows-Wheeler transforms.
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else.
+Two lengths can be asked for at once; the smaller one then takes the part below.
 
 1. Every such string has one anchor, the smallest hash of its ``STEP``-byte
    pieces. Consecutive starts with the same anchor form a run. Two equal strings
@@ -15,9 +16,9 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else.
    after ``length / STEP`` passes a block is a repeated interval. No suffix is
    sorted again.
 
-An anchor with more than ``HOT_RUNS`` runs does not go to one pack: the strings
-of its runs are counted one by one, by 128 bits of hash, combined before the
-shuffle.
+An anchor with more than ``HOT_RUNS`` runs, or runs of more than ``HOT_BYTES``,
+does not go to one pack: the strings of its runs are counted one by one, by 128
+bits of hash, combined before the shuffle.
 """
 
 from __future__ import annotations
@@ -28,16 +29,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
 from .text_arrays import Block, blocks, grouped_lists
 
 LENGTH = 400
+#: A passage of 51 words seldom has fewer bytes; a multiple of STEP, as LENGTH is.
+PASSAGE = 240
 #: Bytes of a symbol and of an anchor; divides LENGTH.
 STEP = 80
 HOT_RUNS = 16_000
+HOT_BYTES = 8 << 20
 PACK_BYTES = 2 << 20
 SHARD_BYTES = 1 << 18
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -102,29 +106,31 @@ def _run_rows(length: int, step: int):
     return runs
 
 
-def _cut_rows(length: int):
-    """Each run of a text as its bytes; a run of a hot anchor as the hashes of its strings."""
+def _cut_rows(lengths: tuple[int, ...]):
+    """Each run of a text as its bytes; a run of a hot anchor as the hashes of its strings of each length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tid", "anchor", "first", "count", "piece", "h1", "h2"]
+        names = ["tid", "anchor", "first", "size", "piece", "h1", "h2"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             tids, all_runs = batch.column("tid"), batch.column("runs")
             for block in blocks(batch.column("text")):
                 sums = None
                 for row in range(block.rows):
                     tid = tids[block.first_row + row].as_py()
-                    base = int(block.offsets[row])
+                    base, stop = int(block.offsets[row]), int(block.offsets[row + 1])
                     out = []
                     for run in all_runs[block.first_row + row].as_py():
                         lo, n = base + run["first"], run["count"]
-                        if run["hot"]:
-                            sums = block.prefix_sums() if sums is None else sums
-                            at = np.arange(lo, lo + n)
-                            halves = [block.span_hashes(sums, a, b).view(np.int64).tolist() for a, b in ((at, at + length // 2), (at + length // 2, at + length))]
-                            out.append((tid, run["anchor"], run["first"], n, None, *halves))
-                        else:
-                            out.append((tid, run["anchor"], run["first"], n, block.data[lo : lo + n + length - 1].tobytes(), None, None))
-                    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                        if not run["hot"]:
+                            last = min(lo + n + lengths[-1] - 1, stop)
+                            out.append((tid, run["anchor"], run["first"], n, block.data[lo:last].tobytes(), None, None))
+                            continue
+                        sums = block.prefix_sums() if sums is None else sums
+                        for size in lengths:
+                            at = np.arange(lo, min(lo + n, stop - size + 1))
+                            halves = [block.span_hashes(sums, a, b).view(np.int64).tolist() for a, b in ((at, at + size // 2), (at + size // 2, at + size))]
+                            out.append((tid, run["anchor"], run["first"], size, None, *halves))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return cut
@@ -167,23 +173,26 @@ def _shard_places(shard: np.ndarray) -> np.ndarray:
     return place
 
 
-def merge_transforms(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards in the order of ``depth`` symbols, and the block (common prefix of ``depth``) of each place."""
+def merge_transforms(transforms: list[np.ndarray], depths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Interleave of the shards in the order of so many symbols, and the block (common prefix) of each place; one of each for each of the rising ``depths``."""
     sizes = np.array([len(t) for t in transforms])
     joined = np.concatenate(transforms).astype(np.int32)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
     block = np.zeros(len(joined), np.int32)
-    for _ in range(depth):
+    found = []
+    for done in range(1, depths[-1] + 1):
         before = joined[_shard_places(shard)]
         order = _deal(before)
         shard, block, before = shard[order], block[order], before[order]
         border = np.r_[True, (before[1:] != before[:-1]) | (block[1:] != block[:-1])]
         block = np.cumsum(border, dtype=np.int32) - np.int32(1)
-    return _shard_places(shard), block
+        if done in depths:
+            found.append((_shard_places(shard), block))
+    return found
 
 
-def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, step: int, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each piece, which of its starts begin a string of ``length`` bytes that occurs twice among all pieces."""
+def repeated_starts(pieces: list[bytes], weight: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...], step: int, shard_bytes: int = SHARD_BYTES) -> list[list[np.ndarray]]:
+    """For each length and piece, which of its first ``starts`` places begin a string of that length that occurs twice among all of them."""
     sizes = np.array([len(p) for p in pieces])
     end = np.cumsum(sizes + 1) - 1
     begin = end - sizes
@@ -192,21 +201,24 @@ def repeated_starts(pieces: list[bytes], weight: np.ndarray, length: int, step:
     at = np.arange(len(data) - step + 1)
     symbol = np.zeros(len(data), np.int32)
     symbol[: len(at)] = np.unique(block.span_hashes(block.prefix_sums(), at, at + step), return_inverse=True)[1]
-    depth = length // step
+    depths = tuple(length // step for length in lengths)
     orders, transforms, first = [], [], 0
     while first < len(pieces):
         last = max(first + 1, int(np.searchsorted(end, begin[first] + shard_bytes, "right")))
-        order, transform = shard_transform(symbol, begin[first:last], end[first:last], step, depth)
+        order, transform = shard_transform(symbol, begin[first:last], end[first:last], step, depths[-1])
         orders.append(order), transforms.append(transform)
         first = last
-    rank, group = merge_transforms(transforms, depth)
-    place = np.concatenate(orders)[rank]
-    owner = np.searchsorted(end, place, "left")
-    full = place + length <= end[owner]
-    times = np.bincount(group, weights=np.where(full, weight[owner], 0))
-    found = np.zeros(len(data), bool)
-    found[place[full & (times[group] > 1)]] = True
-    return [found[b : e - length + 1] for b, e in zip(begin, end, strict=True)]
+    joined = np.concatenate(orders)
+    out = []
+    for length, (rank, group) in zip(lengths, merge_transforms(transforms, depths), strict=True):
+        place = joined[rank]
+        owner = np.searchsorted(end, place, "left")
+        full = (place + length <= end[owner]) & (place < (begin + starts)[owner])
+        times = np.bincount(group, weights=np.where(full, weight[owner], 0))
+        found = np.zeros(len(data), bool)
+        found[place[full & (times[group] > 1)]] = True
+        out.append([found[b : b + n] for b, n in zip(begin, starts, strict=True)])
+    return out
 
 
 def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -214,115 +226,140 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _merge_pack(length: int, step: int):
+def _merge_pack(lengths: tuple[int, ...], step: int):
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        alike: dict[bytes, list[int]] = {}
-        for i, piece in enumerate(frame["piece"]):
+        alike: dict[tuple[bytes, int], list[int]] = {}
+        for i, piece in enumerate(zip(frame["piece"], frame["size"].tolist(), strict=True)):
             alike.setdefault(piece, []).append(i)
-        pieces = list(alike)
-        flags = repeated_starts(pieces, np.array([len(x) for x in alike.values()]), length, step)
+        starts = np.array([n for _, n in alike])
+        found = repeated_starts([p for p, _ in alike], np.array([len(x) for x in alike.values()]), starts, lengths, step)
         tids, firsts = frame["tid"].to_numpy(), frame["first"].to_numpy()
-        out: list[np.ndarray] = [np.zeros((3, 0), np.int64)]
-        for piece, flag in zip(pieces, flags, strict=True):
-            lo, hi = _intervals(flag)
-            if len(lo):
-                for i in alike[piece]:
-                    out.append(np.stack([np.full(len(lo), tids[i]), firsts[i] + lo, firsts[i] + hi - 1 + length]))
-        tid, a, b = np.concatenate(out, axis=1)
-        return pd.DataFrame({"tid": tid, "a": a, "b": b})
+        out: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
+        for length, flags in zip(lengths, found, strict=True):
+            for rows, flag in zip(alike.values(), flags, strict=True):
+                lo, hi = _intervals(flag)
+                if len(lo):
+                    for i in rows:
+                        out.append(np.stack([np.full(len(lo), tids[i]), np.full(len(lo), length), firsts[i] + lo, firsts[i] + hi - 1 + length]))
+        tid, size, a, b = np.concatenate(out, axis=1)
+        return pd.DataFrame({"tid": tid, "size": size, "a": a, "b": b})
 
     return merge
 
 
-def removed_ranges(docs: DataFrame, length: int = LENGTH, step: int = STEP, hot_runs: int = HOT_RUNS, pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), step: int = STEP, hot_runs: int = HOT_RUNS, hot_bytes: int = HOT_BYTES, pack_bytes: int = PACK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``texts (tid, sha, n_bytes, copies)``, ``hits (tid, text)`` and ``ranges (tid, ranges)`` of partly repeated texts.
 
-    Texts are distinct; ``ranges`` are covered byte ranges (they may overlap). A
-    text with ``copies > 1`` is repeated as a whole and is not in ``ranges``.
+    Texts are distinct; ``ranges`` are byte ranges covered by repeated strings of
+    ``size`` bytes, one of the rising ``lengths`` (they may overlap). A text with
+    ``copies > 1`` is repeated as a whole and is not in ``ranges``.
     """
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    runs = keyed.mapInArrow(_run_rows(length, step), "doc_id long, sha string, n_bytes long, anchor array<long>, first array<long>, count array<long>, own array<boolean>")
+    runs = keyed.mapInArrow(_run_rows(lengths[0], step), "doc_id long, sha string, n_bytes long, anchor array<long>, first array<long>, count array<long>, own array<boolean>")
     lists = [F.first(c).alias(c) for c in ("n_bytes", "anchor", "first", "count", "own")]
     texts = runs.groupBy("sha").agg(F.min("doc_id").alias("carrier"), F.count("*").alias("copies"), *lists)
     texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     flat = texts.select("tid", F.explode(F.arrays_zip("anchor", "first", "count", "own")).alias("r")).select("tid", "r.*")
-    again = flat.groupBy(F.col("anchor").alias("h")).agg(F.count("*").alias("k"), F.max("own").alias("own")).where("k > 1 or own")
-    again = stored(again.select("h", (F.col("k") > hot_runs).alias("hot")), "anchors")
+    again = flat.groupBy(F.col("anchor").alias("h")).agg(F.count("*").alias("k"), F.sum(F.col("count") + lengths[-1]).alias("octets"), F.max("own").alias("own")).where("k > 1 or own")
+    again = stored(again.select("h", ((F.col("k") > hot_runs) | (F.col("octets") > hot_bytes)).alias("hot")), "anchors")
     found = flat.join(again, F.col("anchor") == F.col("h")).select("tid", F.struct("anchor", "first", "count", "hot").alias("run"))
     found = found.groupBy("tid").agg(F.collect_list("run").alias("runs"))
     found = stored(found.join(texts.select(F.col("tid").alias("t"), F.col("sha").alias("s"), "carrier"), F.col("tid") == F.col("t")).drop("t"), "found")
     hits = keyed.join(found, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("carrier")))
     hits = stored(hits.select("tid", "text", "runs"), "hits")
 
-    cut = stored(hits.mapInArrow(_cut_rows(length), "tid long, anchor long, first long, count long, piece binary, h1 array<long>, h2 array<long>"), "runs")
-    pieces = cut.where("piece is not null").select("tid", "anchor", "first", "piece")
+    cut = stored(hits.mapInArrow(_cut_rows(lengths), "tid long, anchor long, first long, size long, piece binary, h1 array<long>, h2 array<long>"), "runs")
+    pieces = cut.where("piece is not null").select("tid", "anchor", "first", "size", "piece")
     total = pieces.agg(F.sum(F.octet_length("piece")).alias("n")).first()["n"] or 0
     packed = pieces.withColumn("pack", F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-total // pack_bytes)))))
-    ranges = packed.groupBy("pack").applyInPandas(_merge_pack(length, step), "tid long, a long, b long")
-    strings = cut.where("piece is null").select("tid", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
-    strings = strings.select("tid", (F.col("first") + F.col("i")).alias("a"), "h.h1", "h.h2")
-    several = strings.groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).count().where("count > 1").drop("count")
-    hot = strings.join(several, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("tid", "a", (F.col("a") + length).alias("b"))
+    ranges = packed.groupBy("pack").applyInPandas(_merge_pack(lengths, step), "tid long, size long, a long, b long")
+    strings = cut.where("piece is null").select("tid", "size", "first", F.posexplode(F.arrays_zip("h1", "h2")).alias("i", "h"))
+    strings = strings.select("tid", "size", (F.col("first") + F.col("i")).alias("a"), "h.h1", "h.h2")
+    several = strings.groupBy(F.col("size").alias("g"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).count().where("count > 1").drop("count")
+    hot = strings.join(several, (F.col("size") == F.col("g")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("tid", "size", "a", (F.col("a") + F.col("size")).alias("b"))
     if cut.where("piece is null").limit(1).count():
         ranges = ranges.unionByName(hot)
-    ranges = stored(ranges, "ranges").groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = stored(ranges, "ranges").groupBy("tid").agg(F.collect_list(F.struct("size", "a", "b")).alias("ranges"))
     once = texts.where("copies = 1").select(F.col("tid").alias("t"))
     ranges = stored(ranges.join(once, F.col("tid") == F.col("t")).drop("t"), "text-ranges")
     return texts.select("tid", "sha", "n_bytes", "copies"), hits.select("tid", "text"), ranges
 
 
-def _gone(ranges: list[dict], n: int) -> np.ndarray:
+def _gone(ranges: list[dict], size: int, n: int) -> np.ndarray:
     change = np.zeros(n + 1, np.int64)
-    np.add.at(change, [r["a"] for r in ranges], 1)
-    np.add.at(change, [r["b"] for r in ranges], -1)
+    np.add.at(change, [r["a"] for r in ranges if r["size"] == size], 1)
+    np.add.at(change, [r["b"] for r in ranges if r["size"] == size], -1)
     return np.cumsum(change)[:n] > 0
 
 
-def _strip_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        tids, all_ranges = batch.column("tid"), batch.column("ranges")
-        for block in blocks(batch.column("text")):
-            out = []
-            for row in range(block.rows):
-                data = block.data[block.offsets[row] : block.offsets[row + 1]]
-                gone = _gone(all_ranges[block.first_row + row].as_py(), len(data))
-                rest = data[~gone].tobytes()
-                out.append((tids[block.first_row + row].as_py(), int(gone.sum()), len(_intervals(gone)[0]), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["tid", "n_removed", "n_spans", "kept_sha256", "rest"])
-
-
-def dedup(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
-    """``doc_id, sha, n_bytes, n_removed, n_spans, kept_sha256, rest``, a row for each document.
-
-    ``rest`` is the text that is left where part of it goes (bytes of a cut
-    character are dropped from ``rest``, not from ``kept_sha256``), empty where all
-    goes, null where nothing does. A null text is an empty one. Documents alike
-    in text lose all of it if it has ``length`` bytes, and nothing for their
-    being alike otherwise. Ids may be null or repeated.
-    """
-    texts, hits, ranges = removed_ranges(docs, length, **options)
+def _strip_rows(length: int, passage: int):
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["tid", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", "rest"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
+        for batch in batches:
+            tids, all_ranges = batch.column("tid"), batch.column("ranges")
+            for block in blocks(batch.column("text")):
+                out = []
+                for row in range(block.rows):
+                    data = block.data[block.offsets[row] : block.offsets[row + 1]]
+                    ranges = all_ranges[block.first_row + row].as_py()
+                    gone, out_of_rest = (_gone(ranges, size, len(data)) for size in (length, passage))
+                    digest, rest = hashlib.sha256(data[~gone].tobytes()).hexdigest(), data[~out_of_rest].tobytes().decode("utf-8", "ignore")
+                    out.append((tids[block.first_row + row].as_py(), int(gone.sum()), len(_intervals(gone)[0]), digest, int(out_of_rest.sum()), rest))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    return strip
+
+
+def _results(docs: DataFrame, length: int, passage: int | None, **options) -> DataFrame:
+    """The result of each distinct text by its hash ``s``; ``rest`` is null where nothing goes."""
+    passage = passage or length
+    texts, hits, ranges = removed_ranges(docs, tuple(sorted({length, passage})), **options)
     stripped = hits.join(ranges.withColumnRenamed("tid", "t"), F.col("tid") == F.col("t")).select("tid", "text", "ranges")
-    stripped = stripped.mapInArrow(_strip_rows, "tid long, n_removed long, n_spans long, kept_sha256 string, rest string")
+    stripped = stripped.mapInArrow(_strip_rows(length, passage), "tid long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, rest string")
     stripped = stored(stripped.dropDuplicates(["tid"]).withColumnRenamed("tid", "t"), "stripped")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
+
+    def whole(size: int) -> Column:
+        return (F.col("copies") > 1) & (F.col("n_bytes") >= size)
+
+    def count(size: int, column: str, all_of_it: Column) -> Column:
+        return F.when(whole(size), all_of_it).otherwise(F.coalesce(column, F.lit(0))).cast("long").alias(column)
+
     result = texts.join(stripped, F.col("tid") == F.col("t"), "left").select(
         F.col("sha").alias("s"),
         "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(whole, F.lit("")).otherwise(F.col("rest")).alias("rest"),
+        count(length, "n_removed", F.col("n_bytes")),
+        count(length, "n_spans", F.lit(1)),
+        F.when(whole(length), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        count(passage, "n_passage_bytes", F.col("n_bytes")),
+        F.when(whole(passage), F.lit("")).otherwise(F.col("rest")).alias("rest"),
     )
-    result = stored(result, "suffix-result")
-    slim = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    return slim.join(result, F.col("sha") == F.col("s")).drop("s")
+    return stored(result, "suffix-result")
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, **options) -> DataFrame:
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage_bytes, text``, a row for each document.
+
+    The first five are by strings of ``length`` bytes. ``text`` is what is left
+    without repeated strings of ``passage`` bytes (``length`` unless named), which
+    take ``n_passage_bytes``; bytes of a cut character are dropped from ``text``,
+    not from ``kept_sha256``. A null text is an empty one. Documents alike in text
+    lose all of it if it has that many bytes, and nothing for their being alike
+    otherwise. Very long texts are read whole. Ids may be null or repeated;
+    other columns are ignored; an empty table gives an empty result.
+    """
+    result = _results(docs, length, passage, **options)
+    slim = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
+    joined = slim.join(result, F.col("sha") == F.col("s"))
+    # A text of which nothing goes is taken as it is, also where ``rest`` would drop no character.
+    text = F.when(F.col("n_passage_bytes") > 0, F.col("rest")).otherwise(F.col("text"))
+    return joined.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passage_bytes", text.alias("text"))
 
 
 def stripped_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (and ``n_chars`` counted anew, where it is a column)."""
-    changed = dedup(docs, length, **options).where("n_removed > 0").select(F.col("sha").alias("__sha"), F.col("rest").alias("__rest")).dropDuplicates(["__sha"])
+    changed = _results(docs, length, None, **options).where("n_removed > 0").select(F.col("s").alias("__sha"), F.col("rest").alias("__rest"))
     changed = stored(changed, "changed-texts")
     joined = docs.join(changed, F.sha2("text", 256) == F.col("__sha"), "left")
     text = F.when(F.col("__sha").isNotNull(), F.col("__rest")).otherwise(F.col("text"))

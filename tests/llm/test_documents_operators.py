@@ -104,12 +104,29 @@ def repeated(rows, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"pack_bytes": 3000}, {"hot_runs": 2}])
+@pytest.mark.parametrize("options", [{}, {"pack_bytes": 3000, "passage": 240}, {"hot_runs": 2, "passage": 160}, {"hot_bytes": 5000, "passage": 240}])
 def test_suffix_dedup(documents, corpus, options):
     rows = [*corpus, (600, "x" * 1000, "a"), (601, "yz" * 450, "a"), (602, "x" * 401 + "q", "b")]
-    found = suffix_dedup.dedup(documents(rows, CLASHES), **options)
+    rows += [(603 + k, f"{k} " * k + corpus[12][1][:250] + f" {k}" * 9, "b") for k in range(3)]
+    found = suffix_dedup.dedup(documents(rows, CLASHES), **options).collect()
     wanted = collections.Counter((r[0], *x) for r, x in zip(rows, repeated(rows, 400)))
-    assert counted(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == wanted
+    texts = collections.Counter((r[0], x[1], t) for r, x, t in zip(rows, repeated(rows, options.get("passage", 400)), stripped(rows, options.get("passage", 400))))
+    assert collections.Counter((r.doc_id, r.n_passage_bytes, r.text) for r in found) == texts
+
+
+def stripped(rows, length):
+    """What is left of each text, by plain Python."""
+    texts = [(t or "").encode() for _, t, _ in rows]
+    seen = collections.Counter(b[p : p + length] for b in texts for p in range(len(b) - length + 1))
+    out = []
+    for b in texts:
+        gone = [False] * len(b)
+        for p in range(len(b) - length + 1):
+            if seen[b[p : p + length]] > 1:
+                gone[p : p + length] = [True] * length
+        out.append(bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
+    return out
 
 
 def test_suffix_dedup_shards_merge():
@@ -121,11 +138,12 @@ def test_suffix_dedup_shards_merge():
     shared = bytes(rng.randrange(97, 123) for _ in range(300))
     pieces = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(1, 90))) + shared[k : k + 150 + k] + bytes([65 + k]) * 30 for k in range(20)]
     pieces = [p for p in pieces if len(p) >= 100]
-    seen = collections.Counter(p[i : i + 100] for p in pieces for i in range(len(p) - 99))
     for shard in (64, 300, 1 << 20):
-        found = suffix_dedup.repeated_starts(pieces, np.ones(len(pieces)), 100, 20, shard)
-        for p, flags in zip(pieces, found):
-            assert flags.tolist() == [seen[p[i : i + 100]] > 1 for i in range(len(p) - 99)]
+        starts = np.array([len(p) - 59 for p in pieces])
+        for length, found in zip((60, 100), suffix_dedup.repeated_starts(pieces, np.ones(len(pieces)), starts, (60, 100), 20, shard)):
+            seen = collections.Counter(p[i : i + length] for p in pieces for i in range(len(p) - length + 1))
+            for p, flags in zip(pieces, found):
+                assert flags.tolist() == [i + length <= len(p) and seen[p[i : i + length]] > 1 for i in range(len(p) - 59)]
 
 
 def test_stripped_documents(documents, corpus):
