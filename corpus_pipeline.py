@@ -20,8 +20,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur more than once, at about 50 words (op4's contract has 400 bytes)."""
-    return suffix_dedup.stripped_documents(docs, length=320)
+    """Texts without the byte strings that occur more than once, in passages of 240 bytes: 51 words seldom have fewer (op4's contract has 400)."""
+    return suffix_dedup.stripped_documents(docs, length=suffix_dedup.PASSAGE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
