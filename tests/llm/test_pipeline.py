@@ -6,20 +6,7 @@ import re
 import corpus_pipeline
 from codestrata.llm import queries
 
-from .test_documents_operators import LOWER, WORD, components_of, repeated
-
-
-def strip(rows):
-    texts = [(t or "").encode() for _, t, _ in rows]
-    seen = collections.Counter(b[p : p + 400] for b in texts for p in range(len(b) - 399))
-    out = []
-    for b in texts:
-        gone = [False] * len(b)
-        for p in range(len(b) - 399):
-            if seen[b[p : p + 400]] > 1:
-                gone[p : p + 400] = [True] * 400
-        out.append(bytes(c for c, g in zip(b, gone) if not g).decode("utf-8", "ignore"))
-    return out
+from .test_documents_operators import LOWER, WORD, components_of, repeated, stripped
 
 
 def test_stages(spark, documents, corpus, tmp_path):
@@ -46,8 +33,8 @@ def test_stages(spark, documents, corpus, tmp_path):
     unique = out["ngram_jaccard_join"]
     assert sorted([r.doc_id for r in unique], key=str) == sorted(groups, key=str)
     single = [(r.doc_id, r.text, r.source) for r in unique]
-    assert collections.Counter((r.doc_id, r.text) for r in out["suffix_dedup"]) == collections.Counter(zip([r[0] for r in single], strip(single)))
-    assert sum(x[1] for x in repeated(single, 400)) > 0
+    assert collections.Counter((r.doc_id, r.text) for r in out["suffix_dedup"]) == collections.Counter(zip([r[0] for r in single], stripped(single, 240)))
+    assert sum(x[1] for x in repeated(single, 240)) > 0
 
     before = {r.doc_id: len(WORD.findall(r.text)) for r in out["suffix_dedup"]}
     taken = collections.Counter(r.doc_id for r in out["source_mixing"])
@@ -88,7 +75,7 @@ def test_repeated_passages_under_400_bytes_go(spark, documents):
 
     rng = random.Random(13)
     passage = " ".join(f"w{rng.randrange(10_000, 100_000)}" for _ in range(50))  # 349 bytes
-    rows = [(k, f"head {k}\n{passage}\n{k} tail", "a") for k in range(3)] + [(3, passage[:310] + " but shorter", "a")]
+    rows = [(k, f"head {k}\n{passage}\n{k} tail", "a") for k in range(3)] + [(3, passage[:230] + " but shorter", "a")]
     left = {r.doc_id: r.text for r in corpus_pipeline.repeated_text_stage(spark, documents(rows), "").collect()}
     assert left == {k: f"head {k}{k} tail" for k in range(3)} | {3: rows[3][1]}
 
