@@ -9,11 +9,13 @@ those two tables.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
+BLANK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 #: n-grams run over words and runs of punctuation, so that `word###` is two tokens.
 TOKEN = r"[^\s\p{Punct}]+|\p{Punct}+"
@@ -27,9 +29,12 @@ def _bucket(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _ngram_buckets(tokens: str) -> Column:
-    every, pairs = F.col(tokens), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    return F.concat(F.transform(every, lambda x: _bucket(x)), F.transform(pairs, lambda x, i: _bucket(x, F.get(every, i + 1))))
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(text, BLANK), "")
+
+
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
@@ -45,9 +50,12 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     ``BUCKETS`` rows reach the driver. Without trusted texts every ratio is 0.
     """
     marked = trusted.select(F.col("doc_id").alias("__id"), F.lit(1).alias("__good"))
-    texts = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+    texts = docs.select("doc_id", _tokens(F.col("text")).alias("tokens"))
     texts = texts.join(F.broadcast(marked), F.col("doc_id") == F.col("__id"), "left")
-    grams = texts.select("__good", F.explode(_ngram_buckets("tokens")).alias("bucket"))
+    each = texts.select("__good", "tokens", F.posexplode("tokens").alias("i", "x"))
+    after = F.get("tokens", F.col("i") + 1)
+    grams = F.array(_bucket(F.col("x")), F.when(after.isNotNull(), _bucket(F.col("x"), after)))
+    grams = each.select("__good", F.explode(grams).alias("bucket")).where("bucket is not null")
     counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("__good").alias("good")).collect()
     all_raw, all_good = sum(r["raw"] for r in counts), sum(r["good"] for r in counts)
     ratios = [0.0] * BUCKETS
@@ -58,47 +66,48 @@ def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
     return ratios
 
 
-def _repeat_words(words: str) -> tuple[dict[str, Column], ...]:
+def _repeat_words(words: str, hashed=F.xxhash64) -> tuple[dict[str, Column], ...]:
     """Steps to ``__covered``: words in a 3-word window that is found at least twice.
 
-    A window becomes one number: its hash, rounded down to a multiple of the word
-    count, plus its place. Sorting these puts equal windows side by side.
+    Most texts repeat no window, which the distinct hashes show. In the others
+    windows are sorted by hash, words and place, so that equal ones lie side by
+    side at any length of the text, also where hashes collide.
     """
-    n = F.size(words).cast("long")
-    third = lambda i, k: F.get(F.col(words), i + k)
-    packed = lambda x, i: (lambda h: h - F.pmod(h, n) + i)(F.shiftright(F.xxhash64(x, third(i, 1), third(i, 2)), 2))
-    window = F.sort_array(F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), packed))
-    group = lambda x: x - F.pmod(x, n)
+    at = lambda i: F.get(F.col(words), i)
+    windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda x, i: hashed(x, at(i + 1), at(i + 2)))
+    repeats = F.size(F.array_distinct("__windows")) < F.size("__windows")
+    placed = F.when(repeats, F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), at(i).alias("x"), at(i + 1).alias("y"), at(i + 2).alias("z"), i.alias("i")))))
 
-    def alike(x: Column, i: Column) -> Column:
-        before, after = F.get(F.col("__windows"), i - 1), F.get(F.col("__windows"), i + 1)
-        # Numbers that are no nearer than n apart cannot be of one window: that settles most.
-        same = ((x - before < n) & (before >= group(x))) | ((after - x < n) & (after < group(x) + n))
-        return F.when(same, F.pmod(x, n))
+    def alike(one: Column, i: Column) -> Column:
+        same = lambda other: F.coalesce(reduce(and_, [one[k] == other[k] for k in "hxyz"]), F.lit(False))
+        return same(F.get(F.col("__placed"), i - 1)) | same(F.get(F.col("__placed"), i + 1))
 
-    places = F.sort_array(F.filter(F.transform(F.col("__windows"), alike), lambda x: x.isNotNull()))
-    start = F.struct(F.lit(-9).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate("__places", start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n")))
-    return {"__windows": window}, {"__places": places}, {"__covered": covered["n"]}
+    places = F.sort_array(F.transform(F.filter("__placed", alike), lambda x: x["i"]))
+    start = F.struct(F.lit(-9).alias("last"), F.lit(0).cast("long").alias("n"))
+    covered = F.aggregate("__places", start, lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")))
+    return {"__windows": windows}, {"__placed": placed}, {"__places": places}, {"__covered": F.coalesce(covered["n"], F.lit(0))}
 
 
 def apply_rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` and ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr, kept``.
 
-    A null or empty text has no words, fails the base rules and is not kept. No
-    row is shuffled. Columns of the same names in ``docs`` are replaced.
+    A null or empty text has no words, fails the base rules and is not kept. Very
+    long texts are counted whole. Rows alike get equal verdicts; a ratio on the
+    threshold passes. No row is shuffled. Columns of the same names in ``docs``
+    are replaced. An empty table gives an empty result.
     """
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     names = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")]
-    out = docs.select(*names, F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("__words"), F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)).alias("__tokens"))
+    out = docs.select(*names, _words(text).alias("__words"), _tokens(text).alias("__tokens"))
     for step in _repeat_words("__words"):
         out = out.withColumns(step)
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
-    every, pairs = F.col("__tokens"), F.slice("__tokens", 1, F.greatest(F.size("__tokens") - 1, F.lit(0)))
-    add = lambda found: F.aggregate(found, F.lit(0.0), lambda a, x: a + x)
-    total = add(F.transform(every, lambda x: F.get(weights, _bucket(x)))) + add(F.transform(pairs, lambda x, i: F.get(weights, _bucket(x, F.get(every, i + 1)))))
+    after = lambda i: F.get(F.col("__tokens"), i + 1)
+    single = lambda x: F.get(weights, _bucket(x))
+    ratio = F.transform("__tokens", lambda x, i: F.when(after(i).isNull(), single(x)).otherwise(single(x) + F.get(weights, _bucket(x, after(i)))))
+    total = F.aggregate(ratio, F.lit(0.0), lambda a, x: a + x)
     n_grams = 2 * F.size("__tokens") - 1
     out = out.withColumns(
         {

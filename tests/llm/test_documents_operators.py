@@ -75,6 +75,52 @@ def test_quality_counts(documents, corpus, spark):
     assert counted(kept, "doc_id", "text") == counted(quality_rules.quality(docs, labels).where("kept"), "doc_id", "text")
 
 
+def covered(text):
+    w = WORD.findall(text or "")
+    windows = collections.Counter(zip(w, w[1:], w[2:]))
+    return len({j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)})
+
+
+def test_repeat_words_where_hashes_collide(documents, corpus):
+    docs = documents([*corpus, (500, "a b c a b d a b c d a b d", "s0"), (501, "a a a a", "s0")])
+    found = docs.select("doc_id", "text", quality_rules._words(F.coalesce("text", F.lit(""))).alias("w"))
+    for step in quality_rules._repeat_words("w", lambda *x: F.pmod(F.xxhash64(*x), F.lit(3))):
+        found = found.withColumns(step)
+    assert all(r["__covered"] == covered(r.text) for r in found.select("text", "__covered").collect())
+
+
+def test_repeat_words_of_a_very_long_text(documents):
+    texts = [" ".join(map(str, range(1_000_000))), " ".join(map(str, range(300_000))) + " 7 8 9"]
+    labels = documents([]).selectExpr("doc_id", "0 AS quality")
+    found = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_rules.quality(documents(list(zip((0, 1), texts, "ab"))), labels).collect()}
+    assert found == {0: (1_000_000, 0), 1: (300_003, 6)}
+
+
+def test_quality_ratio_against_plain_counting(documents, spark, corpus):
+    token = re.compile(r"[^\s!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+")
+    rows = [r for r in corpus if r[0] != 406]
+    trusted = set(range(12))
+    grams = lambda t: (lambda w: [(x,) for x in w] + list(zip(w, w[1:])))(token.findall((t or "").lower()))
+    every = sorted({g for _, t, _ in rows for g in grams(t)})
+    hashed = spark.createDataFrame([(list(g),) for g in every], "g array<string>").select("g", F.when(F.size("g") == 1, quality_rules._bucket(F.get("g", 0))).otherwise(quality_rules._bucket(F.get("g", 0), F.get("g", 1))).alias("b"))
+    bucket = {tuple(r.g): r.b for r in hashed.collect()}
+    raw = collections.Counter(bucket[g] for _, t, _ in rows for g in grams(t))
+    good = collections.Counter(bucket[g] for i, t, _ in rows if i in trusted for g in grams(t))
+    n_raw, n_good, n = sum(raw.values()), sum(good.values()), quality_rules.BUCKETS
+
+    def ratio(g):
+        share = raw[bucket[g]] / n_raw
+        return math.log((good[bucket[g]] + n * share) / (n_good + n) / share)
+
+    labels = spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int")
+    found = quality_rules.quality(documents(rows), labels, threshold=0.0).collect()
+    for r in found:
+        mine = [ratio(g) for g in grams(r.text)]
+        assert r.llr == pytest.approx(sum(mine) / len(mine) if mine else 0.0, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.llr >= 0)
+    assert len({r.kept for r in found}) == 2
+
+
 def test_quality_ratio_drops_what_trusted_texts_lack(documents, spark):
     import random
 
