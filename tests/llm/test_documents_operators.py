@@ -342,14 +342,67 @@ def test_lm_scoring_base_and_gain(documents):
     assert all(r.score <= 0 for r in found)
 
 
-def test_lm_classes_sum_to_one():
+def plain_log_probabilities(model, log_rest, count, text):
+    """log10 of each token's probability, token by token, and the mass that the model gives to all words after each history."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    weights = rng.standard_normal((lm_scoring.KINDS, lm_scoring.ROWS, lm_scoring.CLASSES)).astype(np.float32)
-    rows = rng.integers(0, lm_scoring.ROWS, (lm_scoring.KINDS, 50)).astype(np.uint16)
-    logs = lm_scoring.class_log_odds(weights, np.zeros(lm_scoring.CLASSES, np.float32), rows)
-    assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
+    def token(word):
+        value, cls, _ = lm_scoring.tokens(next(lm_scoring.blocks(lm_scoring.pa.array([word]))))
+        return value[0], int(cls[0])
+
+    def choice(bias, table, hashed):
+        logits = bias.astype(float) + sum(table[k][int(h) >> (64 - model.bits)] for k, h in enumerate(hashed))
+        return np.exp(logits) / np.exp(logits).sum()
+
+    slots = dict(zip(model.words.tolist(), model.word_slots.tolist()))
+    vocabulary = {w: token(w) for w in count}
+    history, out, masses = [(lm_scoring._BEGIN, 0), (lm_scoring._BEGIN, 0)], [], []
+    for word in [*WORD.findall((text or "").translate(LOWER)), ""]:
+        (two, c2), (one, c1) = history
+        u = np.uint64
+        hashed = [lm_scoring.mix(np.array([x], u))[0] for x in (one ^ u(1), two ^ u(2), one * u(3) + two * u(5), u(c1 * lm_scoring.CLASSES + c2 + (1 << 20)))]
+        classes = choice(model.class_bias, model.classes, hashed)
+
+        def probability(value, cls, n):
+            within = choice(model.slot_bias[cls], model.slots, [h * u(2 * cls + 3) for h in hashed])
+            slot = slots.get(int(value), 0)
+            return classes[cls] * within[slot] * (1 if slot else (n + 0.1) / 10 ** log_rest[cls])
+
+        value, cls = token(word)
+        out.append(math.log10(probability(value, cls, count.get(word, 0))))
+        if len(out) < 3:
+            unknown = sum(classes[c] * choice(model.slot_bias[c], model.slots, [h * u(2 * c + 3) for h in hashed])[0] * 0.1 / 10 ** log_rest[c] for c in range(lm_scoring.CLASSES))
+            masses.append(unknown + sum(probability(*vocabulary[w], n) for w, n in count.items()))
+        history = [history[1], (value, cls)]
+    return out, masses
+
+
+def test_lm_scores_against_a_plain_model(documents, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{min(rng.randrange(900), rng.randrange(900))}" for _ in range(rng.randrange(1, 60))), "a") for i in range(60)] + [(100, None, "a"), (101, "", "b"), (102, "ALPHA beta", "b")]
+    held, train = {}, lm_scoring.train
+    start_model = lm_scoring.start_model
+    monkeypatch.setattr(lm_scoring, "start_model", lambda *a: held.setdefault("start", start_model(*a)))
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: held.setdefault("model", train(*a)))
+    found = {r.doc_id: r for r in lm_scoring.score(documents(rows), shard_tokens=400).collect()}
+    learn = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 10]
+    count = collections.Counter(w for t in learn for w in [*WORD.findall((t or "").translate(LOWER)), ""])
+    assert abs(held["model"].classes).max() > 0 and abs(held["model"].slots).max() > 0
+    for i, t, _ in rows[::4] + rows[-3:]:
+        logs, masses = plain_log_probabilities(held["model"], held["start"][1], count, t)
+        assert found[i].score == pytest.approx(sum(logs), rel=1e-4)
+        assert all(abs(x - 1) < 1e-3 for x in masses)
+
+
+def test_lm_scores_do_not_depend_on_partitions(documents):
+    import random
+
+    rng = random.Random(7)
+    docs = documents([(i, " ".join(f"w{rng.randrange(50)}" for _ in range(40)), "a") for i in range(80)])
+    one, many = ({r.doc_id: r.score for r in lm_scoring.score(d, shard_tokens=300).collect()} for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == pytest.approx(many, abs=1e-9)
 
 
 def test_toxicity_held_out(documents, spark):
