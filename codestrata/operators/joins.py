@@ -26,11 +26,14 @@ def virtual_targets(sites: DataFrame, subtypes: DataFrame, instantiated: DataFra
     ``sites`` (site, caller, receiver, signature), ``subtypes`` (ancestor,
     descendant, depth, each type with itself at 0), ``instantiated`` (type) and
     ``callables`` (callable_id, owner, signature). Every type below the receiver
-    that is ever created answers with its nearest declaration upwards.
+    that is ever created answers with its nearest declaration upwards. What a
+    receiver and signature lead to is found once, however many sites have them.
     """
     below = subtypes.select(F.col("ancestor").alias("receiver"), F.col("descendant").alias("runtime"))
     live = below.join(instantiated.select(F.col("type").alias("runtime")).distinct(), "runtime", "left_semi")
     upwards = subtypes.select(F.col("descendant").alias("runtime"), F.col("ancestor").alias("owner"), "depth")
     answers = live.select("runtime").distinct().join(upwards, "runtime").join(callables, "owner")
     nearest = answers.groupBy("runtime", "signature").agg(F.min_by("callable_id", F.struct("depth", "callable_id")).alias("callee"))
-    return sites.join(live, "receiver").join(nearest, ["runtime", "signature"]).select("caller", "callee", "site").distinct()
+    asked = sites.select("receiver", "signature").distinct()
+    targets = asked.join(live, "receiver").join(nearest, ["runtime", "signature"]).select("receiver", "signature", "callee").distinct()
+    return sites.join(targets, ["receiver", "signature"]).select("caller", "callee", "site").distinct()

@@ -51,10 +51,24 @@ def number_within(rows: DataFrame, owner: list[str], order: list, name: str = "o
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*owner).orderBy(*order)) - 1).cast("long"))
 
 
-def in_batches(rows: DataFrame, group: list[str], order: list, size: int = 500, name: str = "batch") -> DataFrame:
-    """Batches of ``size`` rows in each group."""
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
-    return rows.withColumn(name, F.floor(place / F.lit(size)).cast("long"))
+def in_batches(rows: DataFrame, group: list[str], order: list, size: int = 500, name: str = "batch", spread: int = 100_000) -> DataFrame:
+    """Batches of ``size`` rows in each group, all full but the last.
+
+    Rows are ordered in buckets of about ``spread`` rows by hash, so that a group
+    of any size is spread over tasks; a bucket's first place is the sum of the
+    buckets before it. ``order`` tells the rows of a group apart.
+    """
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    part = F.pmod(F.xxhash64(*order), F.ceil(F.col("__n") / F.lit(spread)))
+    alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in group], "__n")
+    dealt = rows.join(sizes, alike).withColumn("__part", part).drop("__n", *[f"__{c}" for c in group])
+    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)) - 1
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__k")).withColumn("__first", F.coalesce(F.sum("__k").over(before), F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__part").alias("__p"), "__first")
+    numbered = dealt.withColumn("__at", place).join(parts, [*alike, F.col("__part") == F.col("__p")])
+    return numbered.withColumn(name, F.floor((F.col("__at") + F.col("__first")) / F.lit(size)).cast("long")).select(*rows.columns, name)
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:

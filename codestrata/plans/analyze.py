@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import durable_id
+from ..functions.text import cypher_list, cypher_string, durable_id
 from ..operators import closure, gate, joins, merge, rules
 from ..session import checkpointed
 from ..sources import java_source as J
@@ -25,6 +25,7 @@ class Analysis:
     variables: DataFrame
     call_sites: DataFrame
     call_edges: DataFrame
+    arguments: DataFrame
     enum_constants: DataFrame
     record_components: DataFrame
     references: DataFrame
@@ -67,14 +68,23 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     local = merge.first_wins(local.unionByName(params), ["callable_id", "receiver"], "by_local")
     field = declared.where("owner = 'field'").groupBy("type_id", F.col("name").alias("receiver")).agg(F.min("type").alias("by_field"))
     sites = sites.join(local, ["callable_id", "receiver"], "left").join(field, ["type_id", "receiver"], "left")
+    sites = checkpointed(sites)
+    arguments = J.call_arguments(code, sites)
     spelled = F.coalesce("created_type", "by_local", "by_field", F.when(F.col("receiver").startswith('"'), "String"), F.when(F.col("receiver").rlike("^[A-Z]"), F.col("receiver")))
     sites = sites.withColumn("spelling", spelled)
     sites = sites.join(J.resolved(sites.where("spelling is not null"), typed, imported, package), ["file_key", "spelling"], "left")
     bare_call = F.col("receiver").isNull() | F.col("receiver").isin("this")
     receiver_type = F.coalesce("resolved", F.when(bare_call & F.col("created_type").isNull(), F.col("type_id")))
     static = F.col("by_local").isNull() & F.col("by_field").isNull() & F.col("receiver").rlike("^[A-Z]")
-    sites = sites.select("file_key", "type_id", "callable_id", "method_name", "receiver", receiver_type.alias("receiver_type"), "is_constructor_call", F.coalesce(static, F.lit(False)).alias("is_static_call"), "local_id", "line", "col")
-    sites = checkpointed(sites.withColumn("crud_operation", rules.crud_operation(compat=compat)))
+    sites = sites.join(arguments, ["file_key", "open_n"], "left")
+    none = F.array().cast("array<string>")
+    sites = sites.select(
+        "file_key", "type_id", "callable_id", "method_name", "receiver", receiver_type.alias("receiver_type"), "is_constructor_call", F.coalesce(static, F.lit(False)).alias("is_static_call"), "local_id", "line", "col", "open_n",
+        F.coalesce("argument_expr", none).alias("argument_expr"), F.coalesce("argument_ids", none).alias("argument_ids"),
+    )
+    sites = sites.withColumns({"crud_operation": rules.crud_operation(compat=compat), "crud_query": rules.crud_query(compat=compat)})
+    sites = checkpointed(with_callees(sites, typed, found))
+    arguments = argument_rows(sites, local, field)
 
     edges = call_edges(sites, typed, supers, found)
     components = J.record_defaults(J.record_components(typed), scope, parts, typed)
@@ -83,8 +93,66 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     named = named.join(J.resolved(named, typed, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
     made = sites.where("is_constructor_call and callable_id is not null").select("callable_id", F.lit("type").alias("kind"), F.col("receiver_type").alias("target"))
     used = J.accessed_fields(code, scope, declared).join(own, ["file_key", "in_callable"]).select("callable_id", F.lit("field").alias("kind"), F.col("field_id").alias("target"))
+    raised = J.thrown(code, scope).join(own, ["file_key", "in_callable"]).join(local.withColumnRenamed("receiver", "name"), ["callable_id", "name"], "left")
+    raised = raised.withColumn("spelling", F.coalesce("created_type", "by_local")).where("spelling is not null")
+    raised = raised.join(J.resolved(raised, typed, imported, package), ["file_key", "spelling"]).groupBy("callable_id").agg(F.sort_array(F.collect_set("resolved")).alias("raised"))
+    found = checkpointed(found.join(raised, "callable_id", "left").withColumn("raised", F.coalesce("raised", none)))
     references = named.unionByName(made).unionByName(used).where("target is not null").distinct()
-    return Analysis(files, package, imported, J.comments(all_tokens), typed, supers, found, declared, sites, edges, J.enum_constants(scope, parts, typed), components, references)
+    noted = owned_comments(J.comments(all_tokens), typed, found, declared)
+    return Analysis(files, package, imported, noted, typed, supers, found, declared, sites, edges, arguments, J.enum_constants(scope, parts, typed), components, references)
+
+
+def with_callees(sites: DataFrame, typed: DataFrame, found: DataFrame) -> DataFrame:
+    """``sites`` with ``callee_id``: the callable of that name and number of arguments in the receiver's type, else in a type above it."""
+    arity = F.when(F.element_at(F.col("parameters"), -1)["is_variadic"], F.lit(None)).otherwise(F.size("parameters"))
+    named = found.select(F.col("type_id").alias("owner"), F.col("name").alias("method_name"), F.when(F.size("parameters") > 0, arity).otherwise(F.lit(0)).alias("arity"), F.col("callable_id").alias("callee"))
+    asked = sites.where("receiver_type is not null").select("receiver_type", "method_name", F.size("argument_expr").alias("n")).distinct()
+    above = typed.select(F.col("type_id").alias("receiver_type"), F.posexplode(F.concat(F.array("type_id"), "ancestors")).alias("place", "owner"))
+    fits = asked.join(above, "receiver_type").join(named, ["owner", "method_name"]).where("arity is null or arity = n")
+    # The own type first, a given number of parameters before a variadic one, then by name.
+    best = fits.groupBy("receiver_type", "method_name", "n").agg(F.min_by("callee", F.struct(F.least("place", F.lit(1)), F.col("arity").isNull(), "callee")).alias("callee_id"))
+    return sites.withColumn("n", F.size("argument_expr")).join(best, ["receiver_type", "method_name", "n"], "left").drop("n").select(*sites.columns, "callee_id")
+
+
+def argument_rows(sites: DataFrame, local: DataFrame, field: DataFrame) -> DataFrame:
+    """``callable_id, local_id, ordinal, argument_id, expression, type``: a row for each argument; the type of literals, creations and variables."""
+    each = sites.where("callable_id is not null").select("type_id", "callable_id", "local_id", F.posexplode(F.arrays_zip("argument_expr", "argument_ids")).alias("ordinal", "x"))
+    each = each.select("type_id", "callable_id", "local_id", "ordinal", F.col("x.argument_ids").alias("argument_id"), F.col("x.argument_expr").alias("expression"))
+    each = each.join(local.withColumnRenamed("receiver", "expression"), ["callable_id", "expression"], "left").join(field.withColumnRenamed("receiver", "expression"), ["type_id", "expression"], "left")
+    text = F.col("expression")
+    kind = (
+        F.when(text.rlike(r'^"'), "java.lang.String")
+        .when(text.rlike("^'"), "char")
+        .when(text.isin("true", "false"), "boolean")
+        .when(text.rlike(r"^-?\d[\d_]*[lL]$"), "long")
+        .when(text.rlike(r"^-?(\d[\d_]*|0[xXbB][\da-fA-F_]+)$"), "int")
+        .when(text.rlike(r"^-?[\d.][\d._]*([eE][-+]?\d+)?[fF]$"), "float")
+        .when(text.rlike(r"^-?[\d.][\d._]*([eE][-+]?\d+)?[dD]?$"), "double")
+        .otherwise(F.nullif(F.regexp_extract(text, r"^new ([\w$.]+)(<[^()]*>)?\(", 1), F.lit("")))
+    )
+    return each.select("callable_id", "local_id", "ordinal", "argument_id", "expression", F.coalesce("by_local", "by_field", kind).alias("type"))
+
+
+def owned_comments(comments: DataFrame, typed: DataFrame, found: DataFrame, declared: DataFrame) -> DataFrame:
+    """``comments`` with ``owner`` and ``owner_kind``: what is declared right after; null where nothing is, for the file itself."""
+    own = typed.select("file_key", "first", F.col("type_id").alias("owner"), F.lit("type").alias("owner_kind"))
+    own = own.unionByName(found.where("first is not null").select("file_key", "first", F.col("callable_id").alias("owner"), F.lit("callable").alias("owner_kind")))
+    field = declared.where("owner = 'field' and type_id is not null").groupBy("file_key", "first").agg(F.min(F.concat("type_id", F.lit("#field#"), "name")).alias("owner"))
+    own = own.unionByName(field.withColumn("owner_kind", F.lit("field")))
+    return comments.join(merge.first_wins(own, ["file_key", "first"], "owner"), ["file_key", "first"], "left").drop("first")
+
+
+def properties(frame: DataFrame, **names: str) -> Column:
+    """A map of properties as literals of the graph script, without nulls and empty lists: name by column."""
+    kinds = dict(frame.select(*[F.col(c).alias(k) for k, c in names.items()]).dtypes)
+
+    def literal(name: str) -> Column:
+        value, kind = F.col(names[name]), kinds[name]
+        if kind == "array<string>":
+            return F.when(F.size(value) > 0, cypher_list(value))
+        return F.when(value.isNotNull(), cypher_string(value) if kind == "string" else value.cast("string"))
+
+    return F.map_filter(F.create_map(*[x for k in names for x in (F.lit(k), literal(k))]), lambda _, v: v.isNotNull())
 
 
 def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: DataFrame) -> DataFrame:
@@ -111,51 +179,80 @@ def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: Dat
 
 
 def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
-    """``nodes (merge_label, key, labels, name, module, seq)`` and ``edges (type, src, dst, seq)``: merged, gated, one each."""
+    """``nodes (merge_label, key, labels, name, module, props, seq)`` and ``edges (type, src, dst, props)``: merged, gated, one each.
 
-    def node(frame, label, key, name, module="file_key", merge_label=None, mark=None):
+    ``props`` map names to literals of the graph script; absent facts are left out.
+    """
+    no_props = F.create_map().cast("map<string,string>")
+
+    def node(frame, label, key, name, module="file_key", merge_label=None, mark=None, **props):
         labels = F.array(F.lit(merge_label or label), *([F.lit(label)] if merge_label else []))
         if mark is not None:
             labels = F.when(mark, F.concat(labels, F.array(F.lit("JEntrypoint")))).otherwise(labels)
         owner = F.col(module) if module else F.lit(None).cast("string")
-        return frame.select(F.lit(merge_label or label).alias("merge_label"), key.alias("key"), labels.alias("labels"), name.alias("name"), owner.alias("module"))
+        given = properties(frame, **props) if props else F.lit(None).cast("map<string,string>")
+        return frame.select(F.lit(merge_label or label).alias("merge_label"), key.alias("key"), labels.alias("labels"), name.alias("name"), owner.alias("module"), given.alias("props"))
+
+    def edge(frame, kind, src, dst, **props):
+        return frame.select(F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"), (properties(frame, **props) if props else no_props).alias("props"))
 
-    def edge(frame, kind, src, dst):
-        return frame.select(F.lit(kind).alias("type"), src.alias("src"), dst.alias("dst"))
+    def named(*columns, **renamed):
+        return {c: c for c in columns} | renamed
 
     c, text = F.col, lambda *x: F.concat(*x)
     listed = lambda frame, key: frame.select(key, F.explode("annotations").alias("name"), "file_key")
-    param = a.callables.select("file_key", "callable_id", F.posexplode("parameters").alias("i", "p")).withColumn("id", text(c("callable_id"), F.lit("#param#"), c("i")))
+    notes = a.comments.where("content != ''")
+    docs = notes.where("owner is not null").groupBy("owner").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "col", "content"))), lambda x: x["content"]), "\n").alias("docstring"))
+    docs = docs.withColumnRenamed("owner", "documented")
+    units = a.files.join(a.packages, "file_key", "left").join(a.comments.groupBy("file_key").agg(F.count("*").alias("comment_count")), "file_key", "left")
+    units = units.withColumns({"comment_count": F.coalesce("comment_count", F.lit(0)), "package_name": F.nullif(F.col("package"), F.lit(""))})
+    kinds = a.types.join(docs, c("type_id") == c("documented"), "left").withColumns({"is_interface": c("kind") == "interface", "is_nested_type": c("parent_id").isNotNull(), "is_inner_class": c("parent_id").isNotNull() & ~F.array_contains("modifiers", "static") & (c("kind") == "class")})
+    target = lambda kind, name: a.references.where(c("kind") == kind).groupBy(c("callable_id").alias("of")).agg(F.sort_array(F.collect_set("target")).alias(name))
+    bodies = a.callables.join(docs, c("callable_id") == c("documented"), "left")
+    for kind, name in (("type", "referenced_types"), ("field", "accessed_fields")):
+        bodies = bodies.join(target(kind, name), c("callable_id") == c("of"), "left").drop("of")
+    bodies = bodies.withColumns({"is_constructor": c("kind") == "constructor", "thrown_exceptions": F.array_distinct(F.concat("thrown", "raised"))})
+    param = a.callables.select("file_key", "callable_id", F.posexplode("parameters").alias("i", "p")).select("file_key", "callable_id", "i", "p.*").withColumn("id", text(c("callable_id"), F.lit("#param#"), c("i")))
     field = a.variables.where("owner = 'field' and type_id is not null").withColumn("id", text(c("type_id"), F.lit("#field#"), c("name")))
     local = a.variables.where("owner = 'local' and callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("#var#"), c("name"), F.lit("@"), c("line")))
-    site = a.call_sites.where("callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
-    fact = site.where("crud_operation is not null").withColumn("fact", text(c("id"), F.lit("#crudop#0")))
+    given = a.arguments.groupBy("callable_id", "local_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("type", F.lit("")).alias("type")))), lambda x: x["type"]).alias("argument_types"))
+    site = a.call_sites.where("callable_id is not null").join(given, ["callable_id", "local_id"], "left").withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
+    site = site.withColumn("callee_signature", F.regexp_extract("callee_id", "#(.*)$", 1)).withColumn("callee_signature", F.nullif("callee_signature", F.lit("")))
     owned = a.types.select("type_id", "file_key")
     constant = a.enum_constants.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#enum#"), c("name")))
     component = a.record_components.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#rec#"), c("name")))
     block = a.callables.where("kind = 'initializer'").withColumn("id", text(c("type_id"), F.lit("#init#"), F.regexp_extract("name", r"(\d+)$", 1)))
-    note = a.comments.withColumn("id", text(c("file_key"), F.lit("#comment@"), c("line"), F.lit(":"), c("col")))
+    note = notes.withColumn("id", text(c("file_key"), F.lit("#comment@"), c("line"), F.lit(":"), c("col")))
     marks = listed(a.types, "type_id").toDF("owner", "name", "file_key").unionByName(listed(a.callables, "callable_id").toDF("owner", "name", "file_key"))
     single = a.imports.where("not is_static and not is_wildcard")
     pack = a.imports.where("is_static or is_wildcard").withColumn("target", F.when(c("is_wildcard"), c("path")).otherwise(F.regexp_extract("path", r"^(.*)\.[^.]*$", 1)))
 
+    def facts(column: str, mark: str) -> DataFrame:
+        """The fact of each call site, once for the site and once for the callable around it, numbered there."""
+        has = site.where(c(column).isNotNull())
+        of_site = has.select("file_key", c("id").alias("owner"), F.lit(0).cast("long").alias("i"), c(column).alias("kind"), "line", "argument_expr")
+        of_callable = merge.number_within(has, ["callable_id"], ["line", "col"], "i").select("file_key", c("callable_id").alias("owner"), "i", c(column).alias("kind"), "line", "argument_expr")
+        return of_site.unionByName(of_callable).withColumn("id", text(c("owner"), F.lit(mark), c("i")))
+
+    fact, query = facts("crud_operation", "#crudop#"), facts("crud_query", "#crudq#")
     parts = [
-        a.files.select(F.lit("JApplication").alias("merge_label"), F.lit(app).alias("key"), F.array(F.lit("JApplication")).alias("labels"), F.lit(app).alias("name"), F.lit(None).cast("string").alias("module")).distinct(),
+        a.files.select(F.lit("JApplication").alias("merge_label"), F.lit(app).alias("key"), F.array(F.lit("JApplication")).alias("labels"), F.lit(app).alias("name"), F.lit(None).cast("string").alias("module"), F.lit(None).cast("map<string,string>").alias("props")).limit(1),
         node(single, "JType", c("path"), c("name"), None, "JSymbol"),
         node(pack, "JPackage", c("target"), c("target"), None),
         node(marks, "JAnnotation", c("name"), c("name"), None),
-        node(a.files, "JCompilationUnit", c("file_key"), c("file_key")),
-        node(a.types, "JType", c("type_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint_class")),
-        node(a.callables, "JCallable", c("callable_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint")),
-        node(param, "JParameter", c("id"), c("p.name")),
-        node(field, "JField", c("id"), c("name")),
-        node(local, "JVariable", c("id"), c("name")),
-        node(site, "JCallSite", c("id"), c("method_name")),
-        node(constant, "JEnumConstant", c("id"), c("name")),
-        node(component, "JRecordComponent", c("id"), c("name")),
-        node(block, "JInitializationBlock", c("id"), c("name")),
-        node(fact, "JCrudOperation", c("fact"), c("crud_operation")),
-        node(note, "JComment", c("id"), c("content")),
+        node(units, "JCompilationUnit", c("file_key"), c("file_key"), **named("package_name", "content_hash", "comment_count", file_path="file_key")),
+        node(kinds, "JType", c("type_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint_class"), **named("kind", "modifiers", "annotations", "extends_list", "implements_list", "is_interface", "is_nested_type", "is_inner_class", "is_local_class", "is_entrypoint_class", "docstring", fqn="type_id", parent_type="parent_id")),
+        node(bodies, "JCallable", c("callable_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint"), **named("signature", "declaration", "return_type", "modifiers", "annotations", "thrown_exceptions", "parameter_types", "referenced_types", "accessed_fields", "start_line", "end_line", "is_constructor", "is_implicit", "is_entrypoint", "docstring", cyclomatic_complexity="cyclomatic")),
+        node(param, "JParameter", c("id"), c("name"), **named("type", "is_variadic")),
+        node(field, "JField", c("id"), c("name"), **named("type", "initializer", start_line="line")),
+        node(local, "JVariable", c("id"), c("name"), **named("type", "initializer", start_line="line")),
+        node(site, "JCallSite", c("id"), c("method_name"), **named("method_name", "receiver_type", "callee_signature", "argument_types", "argument_expr", "is_static_call", "is_constructor_call", receiver_expr="receiver", start_line="line", start_column="col")),
+        node(constant, "JEnumConstant", c("id"), c("name"), **named("arguments")),
+        node(component, "JRecordComponent", c("id"), c("name"), **named("type", "is_variadic", "default_value")),
+        node(block, "JInitializationBlock", c("id"), c("name"), **named("start_line", "end_line")),
+        node(fact, "JCrudOperation", c("id"), c("kind"), **named(operation_type="kind", line_number="line")),
+        node(query, "JCrudQuery", c("id"), c("kind"), **named(query_type="kind", line_number="line", query_arguments="argument_expr")),
+        node(note, "JComment", c("id"), c("content"), **named("content", "is_javadoc", start_line="line", end_line="end_line")),
     ]
     rows = parts[0].withColumn("seq", F.lit(0))
     for seq, part in enumerate(parts[1:], 1):
@@ -175,16 +272,18 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         edge(constant, "J_HAS_ENUM_CONSTANT", c("type_id"), c("id")),
         edge(component, "J_HAS_RECORD_COMPONENT", c("type_id"), c("id")),
         edge(block, "J_HAS_INIT_BLOCK", c("type_id"), c("id")),
-        edge(fact, "J_HAS_CRUD_OPERATION", c("id"), c("fact")),
-        edge(note, "J_HAS_COMMENT", c("file_key"), c("id")),
+        edge(fact, "J_HAS_CRUD_OPERATION", c("owner"), c("id")),
+        edge(query, "J_HAS_CRUD_QUERY", c("owner"), c("id")),
+        edge(note, "J_HAS_COMMENT", F.coalesce("owner", "file_key"), c("id")),
         edge(marks, "J_ANNOTATED_BY", c("owner"), c("name")),
-        edge(single, "J_IMPORTS", c("file_key"), c("path")),
-        edge(pack, "J_IMPORTS", c("file_key"), c("target")),
+        edge(single, "J_IMPORTS", c("file_key"), c("path"), **named("is_static", "is_wildcard")),
+        edge(pack, "J_IMPORTS", c("file_key"), c("target"), **named("is_static", "is_wildcard")),
     ]
+    calls = a.call_edges.withColumn("kind", F.lit("CALL_DEP"))
     gated = [
         edge(a.supertypes.where("role = 'extends'"), "J_EXTENDS", c("type_id"), c("resolved")),
         edge(a.supertypes.where("role = 'implements'"), "J_IMPLEMENTS", c("type_id"), c("resolved")),
-        edge(a.call_edges, "J_CALLS", c("src"), c("dst")),
+        edge(calls, "J_CALLS", c("src"), c("dst"), **named("weight", type="kind")),
     ]
     out, doubtful = sure[0], gated[0]
     for part in sure[1:]:
@@ -192,7 +291,9 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     for part in gated[1:]:
         doubtful = doubtful.unionByName(part)
     symbols = nodes.where("merge_label = 'JSymbol'")
-    edges = out.unionByName(gate.gate_edges(doubtful, symbols, "key", mode="both")).distinct()
+    resolved = edge(site.where("callee_id is not null"), "J_RESOLVES_TO", c("id"), c("callee_id"))
+    edges = out.unionByName(gate.gate_edges(doubtful, symbols, "key", mode="both")).unionByName(gate.gate_edges(resolved, symbols, "key"), allowMissingColumns=True)
+    edges = edges.groupBy("type", "src", "dst").agg(F.max_by("props", F.size("props")).alias("props"))
     return nodes, edges
 
 

@@ -50,6 +50,8 @@ RELATIONSHIPS = {
     "J_HAS_CRUD_QUERY": ("JCallable JCallSite", "JCrudQuery"),
     "J_HAS_COMMENT": ("JCompilationUnit JType JCallable JField JCallSite JVariable JRecordComponent JInitializationBlock", "JComment"),
 }
+#: What an application holds and takes along when it goes; shared symbols, packages and annotations stay.
+CONTAINMENT = [k for k in RELATIONSHIPS if k.startswith(("J_HAS_", "J_DECLARES_"))]
 
 
 def contract() -> str:

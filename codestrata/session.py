@@ -25,10 +25,14 @@ def build_session(app: str = "codestrata", master: str = "local[*]", **conf: str
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, its lineage cut.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only
-    where none is named, as on a laptop, a temporary one is made.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. A
+    local session that names none gets a temporary one; on a cluster, where other
+    machines would not see it, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codestrata-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codestrata-"))
     return df.checkpoint()

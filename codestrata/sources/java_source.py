@@ -76,10 +76,14 @@ def tokens(files: DataFrame) -> DataFrame:
 
 
 def comments(all_tokens: DataFrame) -> DataFrame:
-    """``file_key, content, is_javadoc`` and the span of each comment."""
+    """``file_key, content, is_javadoc``, the span of each comment, and ``first``: the code token after the last of several in a row."""
+    order = Window.partitionBy("file_key").orderBy("n")
+    code = F.first(F.when(F.col("kind") != "comment", F.col("n")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    followed = F.lead("kind").over(order) != "comment"
+    all_tokens = all_tokens.withColumn("first", F.when(followed, code))
     content = F.trim(F.regexp_replace(F.regexp_replace("text", r"^(//|/\*+)|\*+/$", ""), r"(?m)^\s*\*", ""))
     found = all_tokens.where("kind = 'comment'")
-    return found.select("file_key", content.alias("content"), F.col("text").startswith("/**").alias("is_javadoc"), "line", "col", "end_line", "end_col")
+    return found.select("file_key", content.alias("content"), F.col("text").startswith("/**").alias("is_javadoc"), "line", "col", "end_line", "end_col", "first")
 
 
 def enclosed(all_tokens: DataFrame) -> DataFrame:
@@ -113,8 +117,10 @@ def enclosed(all_tokens: DataFrame) -> DataFrame:
     levels = levels.withColumn("within", F.coalesce(bracket, F.lit("{"))).where("not __opener").drop("__opener", "bracket", "key")
     ends = (F.col("text").isin("{", "}") | ((F.col("text") == ";") & (F.col("within") == "{"))).cast("int")
     levels = levels.withColumn("segment", F.coalesce(F.sum(ends).over(before), F.lit(0)))
-    beside = {"before": F.lag("text").over(order), "before2": F.lag("text", 2).over(order), "after": F.lead("text").over(order)}
-    return levels.withColumns(beside)
+    beside = {"before": F.lag("text").over(order), "before2": F.lag("text", 2).over(order), "after": F.lead("text").over(order), "after_n": F.lead("n").over(order)}
+    # What stands before a name and its qualifiers.
+    other = ~(((F.col("kind") == "word") & (F.col("text") != "new")) | (F.col("text") == "."))
+    return levels.withColumns(beside | {"stem": F.last(F.when(other, F.struct("n", "text")), True).over(before)})
 
 
 def segments(code: DataFrame) -> DataFrame:
@@ -161,6 +167,19 @@ def _spelled(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(text, F.lit(";"), F.lit(",")), r" ?([.,<>\[\]]) ?", "$1"))
 
 
+def _type_parameters(text: Column) -> Column:
+    """Array of (name, bounds) of ``< T , U extends A & B >``, in order; no bounds where none are named."""
+    inside = F.regexp_replace(F.replace(text, F.lit(";"), F.lit(",")), r"^ ?<|>$", "")
+    items = F.filter(F.split(_protected(inside), ","), lambda x: F.trim(x) != "")
+
+    def one(item: Column) -> Column:
+        plain = F.trim(bare(item))
+        bounds = F.split(F.regexp_extract(plain, r"^[\w$]+ extends (.*)$", 1), " & ")
+        return F.struct(F.regexp_extract(plain, r"^([\w$]+)", 1).alias("name"), F.filter(F.transform(bounds, _spelled), lambda x: x != "").alias("bounds"))
+
+    return F.transform(items, one)
+
+
 def _owners(frame: pd.DataFrame) -> pd.DataFrame:
     """For each brace of one file: the type, callable and named path around it and its own."""
     frame = frame.sort_values("open")
@@ -210,7 +229,6 @@ def scopes(code: DataFrame, parts: DataFrame) -> DataFrame:
     heads = heads.withColumn("name", label).drop("f", "o", "outer_shape", "outer_name")
     schema = "file_key string, open int, outer_type int, outer_callable int, outer_path string, in_type int, in_callable int, path string"
     paths = heads.select("file_key", "open", F.col("brace").cast("int").alias("brace"), "kind", "name").groupBy("file_key").applyInPandas(_owners, schema)
-    closing = code.where("text = '}'").select("file_key", F.col("brace").alias("open"), F.col("n").alias("close"), F.col("end_line").alias("close_line"))
     # A closing brace is enclosed by what is around its pair; the pair is the last open brace of that depth before it.
     pairs = code.where("text in ('{', '}')").withColumn("pair", F.lag("n").over(Window.partitionBy("file_key", "depth").orderBy("n")))
     closing = pairs.where("text = '}'").select("file_key", F.col("pair").alias("open"), F.col("n").alias("close"), F.col("end_line").alias("close_line"))
@@ -241,6 +259,7 @@ def types(scope: DataFrame, package: DataFrame) -> DataFrame:
     qualified = lambda path: F.concat_ws(".", F.nullif(F.col("package"), F.lit("")), path)
     text = F.regexp_replace("text", r"^.*?\b(class|interface|enum|record) ", "")
     plain = F.regexp_replace(_protected(text), r"^([\w$]+)( <.*?>(?= (extends|implements|permits|\()|$))?", "$1")
+    generic = F.regexp_extract(_protected(text), r"^[\w$]+ (<.*?>)(?= (extends|implements|permits|\()|$)", 1)
     clause = lambda word: F.regexp_extract(plain, rf"\b{word} (.*?)( (?:extends|implements|permits) |$)", 1)
     kind = F.when(F.col("shape") == "anonymous", "class").when(F.col("declares") == "@ interface", "annotation").otherwise(F.col("declares"))
     extends = F.when(F.col("shape") == "anonymous", F.array(_spelled(F.col("created")))).otherwise(_type_list(clause("extends")))
@@ -257,6 +276,8 @@ def types(scope: DataFrame, package: DataFrame) -> DataFrame:
         extends.alias("extends_list"),
         F.when(F.col("shape") == "anonymous", F.array().cast("array<string>")).otherwise(_type_list(clause("implements"))).alias("implements_list"),
         F.when(F.col("declares") == "record", F.regexp_extract("text", r"\((.*)\)", 1)).alias("components"),
+        _type_parameters(generic).alias("type_parameters"),
+        "first",
         F.col("outer_callable").isNotNull().alias("is_local_class"),
         F.col("line").alias("start_line"),
         F.col("close_line").alias("end_line"),
@@ -278,11 +299,11 @@ def _parameters(text: Column) -> Column:
 
 def callables(scope: DataFrame, typed: DataFrame, parts: DataFrame) -> DataFrame:
     """Methods, constructors and initializers, also those without a body; ``signature`` has erased parameter types."""
-    with_body = scope.where("kind = 'callable'").select("file_key", F.col("in_type").alias("scope"), F.col("open"), "name", "shape", "text", "body", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"))
+    with_body = scope.where("kind = 'callable'").select("file_key", F.col("in_type").alias("scope"), F.col("open"), "name", "shape", "text", "body", "first", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"))
     owners = typed.select("file_key", "scope", "type_id", F.col("kind").alias("owner_kind"), F.col("components"))
     abstract = parts.where("ends = ';'").withColumn("text", bare(F.col("body"))).where(F.col("text").rlike(r"^[^=]*[\w$] \([^=]*\)( throws [\w$., ]+)?( default .*)?$") & ~F.col("text").rlike(r"^(return|throw|new|this|super|assert)\b|\bnew\b|->"))
     abstract = abstract.where(F.col("text").rlike(r"^[\w$<>\[\]., ?&]+ [\w$]+ \(")).withColumn("scope", F.col("brace"))
-    abstract = abstract.select("file_key", "scope", F.lit(None).cast("int").alias("open"), F.regexp_extract("text", r"([\w$]+) \(", 1).alias("name"), F.lit("method").alias("shape"), "text", "body", F.col("line").alias("start_line"), "end_line")
+    abstract = abstract.select("file_key", "scope", F.lit(None).cast("int").alias("open"), F.regexp_extract("text", r"([\w$]+) \(", 1).alias("name"), F.lit("method").alias("shape"), "text", "body", "first", F.col("line").alias("start_line"), "end_line")
     rows = with_body.unionByName(abstract).join(owners, ["file_key", "scope"])
     compact = (F.col("name") == "<init>") & ~F.col("text").contains("(")
     listed = F.when(compact, F.col("components")).otherwise(F.regexp_extract("text", r"\((.*?)\)(?: throws|(?: \[ \])*$| default)", 1))
@@ -306,7 +327,10 @@ def callables(scope: DataFrame, typed: DataFrame, parts: DataFrame) -> DataFrame
         F.filter(F.split("text", " "), lambda w: w.isin(*MODIFIERS)).alias("modifiers"),
         annotations_of(F.col("body")).alias("annotations"),
         _type_list(F.regexp_extract("text", r"\) throws ([\w$., ]+)", 1)).alias("thrown"),
+        _type_parameters(F.col("generic")).alias("type_parameters"),
+        F.when(F.col("shape") != "initializer", F.trim(F.regexp_replace(_spelled(F.col("text")), r" ?([()]) ?", "$1"))).alias("declaration"),
         F.lit(False).alias("is_implicit"),
+        "first",
         "start_line",
         "end_line",
     )
@@ -347,34 +371,112 @@ def variables(scope: DataFrame, parts: DataFrame) -> DataFrame:
         F.explode(names).alias("name"),
         _spelled(F.col("type_text")).alias("type"),
         F.nullif(F.col("value"), F.lit("")).alias("initializer"),
+        "first",
         "line",
     )
 
 
+def creations(code: DataFrame) -> DataFrame:
+    """``file_key, n, created_type, thrown, open_n``: each ``new`` with a bracket, also of qualified and generic types.
+
+    ``n`` is the last word of the name, ``open_n`` the bracket of the arguments;
+    ``thrown`` tells whether ``throw`` stands before it.
+    """
+    chain = code.where("stem.text = 'new' and kind = 'word' and text != 'new'")
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), ".")
+    last = F.max(F.struct("n", "after", "after_n"))
+    made = chain.groupBy("file_key", "stem.n").agg(names.alias("created_type"), last.alias("last"), (F.min(F.struct(F.col("n"), F.col("before2").alias("b")))["b"] == "throw").alias("thrown"))
+    # The bracket that closes type arguments is the next one that leads back to the same level.
+    order = Window.partitionBy("file_key").orderBy("n")
+    angles = code.where("text in ('<', '>')").withColumn("angle", F.sum(F.when(F.col("text") == "<", 1).otherwise(-1)).over(order) + (F.col("text") == ">").cast("int"))
+    partner = F.lead(F.struct("text", "after", "after_n")).over(Window.partitionBy("file_key", "angle").orderBy("n"))
+    pairs = angles.withColumn("partner", partner).where("text = '<' and partner.text = '>' and partner.after = '('").select("file_key", F.col("n").alias("angle_n"), F.col("partner.after_n").alias("generic_n"))
+    found = made.select("file_key", "created_type", "thrown", "last.*").withColumn("angle_n", F.when(F.col("after") == "<", F.col("after_n"))).join(pairs, ["file_key", "angle_n"], "left")
+    return found.where("after = '(' or generic_n is not null").select("file_key", "n", "created_type", F.coalesce("thrown", F.lit(False)).alias("thrown"), F.coalesce("generic_n", "after_n").alias("open_n"))
+
+
 def call_sites(code: DataFrame, scope: DataFrame) -> DataFrame:
     """Calls and creations: name, receiver word, anchor ``line:col`` and the callable around them."""
     named = (F.col("kind") == "word") & (F.col("after") == "(") & ~F.col("text").isin(*[w for w in CONTROL if w not in ("this", "super")])
     places = scope.select("file_key", F.col("open").alias("brace"), "in_type", "in_callable")
-    found = code.where(named).join(places, ["file_key", "brace"])
-    created = F.col("before") == "new"
+    found = code.where((F.col("kind") == "word") & F.col("after").isin("(", "<")).join(creations(code).drop("thrown"), ["file_key", "n"], "left")
+    created = F.col("created_type").isNotNull()
+    found = found.where(named | created).join(places, ["file_key", "brace"])
     call = created | F.col("before").isin(".", "(", ",", "=", ";", "{", "}", "!", "&&", "||", "+", "-", "?", ":", "return", "->", ")", "==", "!=", "<", ">", "*", "/", "throw", "else", "[", "%", "+=")
-    receiver = F.when((F.col("before") == ".") & F.col("before2").rlike(r"^[\w$\"]"), F.col("before2"))
+    receiver = F.when(~created & (F.col("before") == ".") & F.col("before2").rlike(r"^[\w$\"]"), F.col("before2"))
     own = F.col("text").isin("this", "super") & (F.col("before") != ".")
     return found.where(call & F.col("in_type").isNotNull()).select(
         "file_key",
         "in_type",
         "in_callable",
         F.when(created | own, "<init>").otherwise(F.col("text")).alias("method_name"),
-        F.when(created, F.col("text")).alias("created_type"),
+        "created_type",
         receiver.alias("receiver"),
         (created | own).alias("is_constructor_call"),
         F.concat_ws(":", "line", "col").alias("local_id"),
+        F.coalesce("open_n", "after_n").alias("open_n"),
         "n",
         "line",
         "col",
     )
 
 
+def _written(tokens: list[str]) -> str:
+    """Tokens of an expression as source text, a blank only where two words would meet."""
+    out = ""
+    for token in tokens:
+        out += " " + token if out and (out[-1].isalnum() or out[-1] in "_$") and (token[0].isalnum() or token[0] in "_$") else token
+    return out
+
+
+def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
+    """The arguments of each call of one file: their text and ``line:col``; commas in brackets and type arguments split nothing."""
+    frame = frame.sort_values("n")
+    open_calls: list[dict] = []
+    depth, out = 0, []
+    for n, text, at, is_call in zip(frame["n"], frame["text"], frame["at"], frame["is_call"], strict=True):
+        closes = text in ")]}"
+        if closes:
+            depth -= 1
+        if closes and open_calls and open_calls[-1]["depth"] == depth:
+            call = open_calls.pop()
+            parts = [p for p in call["parts"] if p]
+            out.append((call["n"], [_written([t for t, _ in p]) for p in parts], [p[0][1] for p in parts]))
+        for call in open_calls:
+            now = call["parts"][-1]
+            typed = now and now[0][0] == "new" and sum((t == "<") - (t == ">") for t, _ in now) > 0
+            if text == "," and depth == call["depth"] + 1 and not typed:
+                call["parts"].append([])
+            else:
+                now.append((text, at))
+        if text in "([{":
+            if is_call:
+                open_calls.append({"n": n, "depth": depth, "parts": [[]]})
+            depth += 1
+    rows = pd.DataFrame(out, columns=["open_n", "argument_expr", "argument_ids"])
+    rows.insert(0, "file_key", frame["file_key"].iloc[0])
+    return rows
+
+
+def call_arguments(code: DataFrame, sites: DataFrame) -> DataFrame:
+    """``file_key, open_n, argument_expr, argument_ids``: source text and anchor of each argument of each call.
+
+    The tokens of one file go through one call of a small function, a walk over
+    its brackets.
+    """
+    calls = sites.select("file_key", F.col("open_n").alias("n"), F.lit(True).alias("is_call")).distinct()
+    rows = code.select("file_key", "n", "text", F.concat_ws(":", "line", "col").alias("at")).join(calls, ["file_key", "n"], "left").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
+    return rows.groupBy("file_key").applyInPandas(_arguments, "file_key string, open_n long, argument_expr array<string>, argument_ids array<string>")
+
+
+def thrown(code: DataFrame, scope: DataFrame) -> DataFrame:
+    """``file_key, in_callable, created_type, name``: what each ``throw`` of a callable throws, a new object or a variable."""
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), "in_callable")
+    name = code.where("before = 'throw' and kind = 'word' and after = ';'").select("file_key", "brace", F.lit(None).cast("string").alias("created_type"), F.col("text").alias("name"))
+    made = creations(code).where("thrown").join(code.select("file_key", "n", "brace"), ["file_key", "n"]).select("file_key", "brace", "created_type", F.lit(None).cast("string").alias("name"))
+    return made.unionByName(name).join(places, ["file_key", "brace"]).select("file_key", "in_callable", "created_type", "name")
+
+
 def complexity(code: DataFrame, scope: DataFrame) -> DataFrame:
     """``file_key, in_callable, cyclomatic``: 1 and a point for each branch in the callable's own scope."""
     places = scope.select("file_key", F.col("open").alias("brace"), "in_callable").where("in_callable is not null")

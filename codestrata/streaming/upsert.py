@@ -22,8 +22,8 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 UNITS = "file_key string, content_hash string, source string, app string, size_bytes long"
-NODES = "merge_label string, key string, labels array<string>, name string, unit string"
-EDGES = "type string, src string, dst string, unit string"
+NODES = "merge_label string, key string, labels array<string>, name string, props map<string,string>, unit string"
+EDGES = "type string, src string, dst string, props map<string,string>, unit string"
 
 
 def upsert(files: DataFrame, folder: str, app: str, full_run: bool = True, eager: bool = False) -> DataFrame:
@@ -51,9 +51,9 @@ def upsert(files: DataFrame, folder: str, app: str, full_run: bool = True, eager
     nodes, edges = property_graph(analyze(units), app)
     nodes = nodes.withColumnRenamed("module", "unit").drop("seq")
     owner = nodes.where("unit is not null").groupBy(F.col("key").alias("src")).agg(F.min("unit").alias("unit"))
-    edges = edges.join(owner, "src", "left").select("type", "src", "dst", "unit")
+    edges = edges.join(owner, "src", "left").select("type", "src", "dst", "props", "unit")
     new_nodes, new_edges = diff.replace_units(
-        read_or_empty(spark, f"{base}/nodes", NODES), read_or_empty(spark, f"{base}/edges", EDGES), nodes.select("merge_label", "key", "labels", "name", "unit"), edges, changed.withColumnRenamed("file_key", "unit"), full_run=full_run
+        read_or_empty(spark, f"{base}/nodes", NODES), read_or_empty(spark, f"{base}/edges", EDGES), nodes.select("merge_label", "key", "labels", "name", "props", "unit"), edges, changed.withColumnRenamed("file_key", "unit"), full_run=full_run
     )
     number = 0 if version is None else version + 1
     units.write.mode("overwrite").parquet(f"{folder}/v{number}/units")
