@@ -36,8 +36,8 @@ GROUP_ROWS = 1024
 #: Members of other groups that one group meets in one block.
 GUESTS = 4096
 #: A group's sets hold about so many tokens at most, and the sets of one call.
-PART_TOKENS = 1 << 20
-CALL_TOKENS = 1 << 21
+PART_TOKENS = 1 << 19
+CALL_TOKENS = 1 << 20
 SLOTS = 64
 #: Up to so many keys of sets to read again are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_KEYS = 400_000
