@@ -100,14 +100,17 @@ def _feature_rows(stems, keep: list[str]):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """``text, toxic, part`` of the training rows that are used; rows that share their least five-word shingle count once."""
+    """``text, toxic, part`` of the training rows that are used; rows that share their least five-word shingle count once.
+
+    Of such rows the toxic one stays, then the one with the least hash, so that reruns learn from the same.
+    """
     good = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train_row(F.col("doc_id"))).select(F.col("doc_id").alias("id"), "toxic")
     good = good.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(max_labels)
     rows = docs.select("doc_id", "text").join(F.broadcast(good), F.col("doc_id") == F.col("id")).where("text is not null")
     words = rows.withColumn("w", F.split(F.lower("text"), r"\s+"))
     shingle = F.array_min(F.transform(F.col("w"), lambda x, i: F.xxhash64(x, *[F.get(F.col("w"), i + k) for k in range(1, 5)])))
-    once = words.withColumn("least", shingle).dropDuplicates(["least"])
-    return stored(once.select("text", "toxic", F.pmod("least", F.lit(5)).cast("int").alias("part")), "labelled")
+    once = words.withColumn("least", shingle).groupBy("least").agg(F.min_by(F.struct("text", "toxic"), F.struct(-F.col("toxic"), F.xxhash64("text"), "text")).alias("row"))
+    return stored(once.select("row.*", F.pmod("least", F.lit(5)).cast("int").alias("part")), "labelled")
 
 
 def learn_stems(rows: DataFrame, limit: int = MAX_STEMS) -> dict[str, float]:
@@ -131,7 +134,8 @@ def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, max_lab
 
     A null id counts as the empty string in the split and has no label. Without
     both labels among the training rows every score is their mean (0 without
-    rows). Rows alike in text score alike; columns beside ``doc_id`` and ``text``
+    rows). Very long texts are read whole; an empty table gives an empty result.
+    A score on the threshold is predicted 1. Rows alike in text score alike; columns beside ``doc_id`` and ``text``
     are never looked at.
     """
     context = docs.sparkSession.sparkContext
