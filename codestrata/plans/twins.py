@@ -15,16 +15,28 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def _registered(sql: str):
+class Tables:
+    """The tables of one folder, by name."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def registered(sql: str):
+    """Adds a query over ``Tables`` and the SQL beside it."""
+
     def add(query):
-        _QUERIES[query.__name__] = lambda spark, folder: query(lambda name: spark.read.parquet(f"{folder}/{name}.parquet"))
+        _QUERIES[query.__name__] = lambda spark, folder: query(Tables(spark, folder))
         _SQL[query.__name__] = sql
         return query
 
     return add
 
 
-@_registered("SELECT doc_id, sha256(text) AS content_hash FROM documents")
+@registered("SELECT doc_id, sha256(text) AS content_hash FROM documents")
 def scan_content_hash(t):
     return t("documents").select("doc_id", T.content_hash("text").alias("content_hash"))
 
@@ -37,7 +49,7 @@ _LINE_ROWS = f"""
     WHERE line < n OR part <> ''"""
 
 
-@_registered(f"""
+@registered(f"""
     SELECT doc_id, CAST(line AS INTEGER) AS line,
            CAST(coalesce(sum(strlen(body)) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_from,
            CAST(strlen(body) AS BIGINT) AS n_bytes, CAST(length(body) AS BIGINT) AS n_chars
@@ -46,7 +58,7 @@ def line_table(t):
     return T.line_table(t("documents"), "doc_id", "text")
 
 
-@_registered("""
+@registered("""
     SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes,
            CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INTEGER) AS end_line,
            CAST(length(string_split(text, chr(10))[-1]) + 1 AS INTEGER) AS end_col
@@ -56,32 +68,32 @@ def span_bytes(t):
     return t("documents").where("text <> ''").select("doc_id", span["n_bytes"].alias("n_bytes"), span["end_line"].alias("end_line"), span["end_col"].alias("end_col"))
 
 
-@_registered("""
+@registered("""
     SELECT doc_id, string_split(text, chr(10))[1] AS first_line FROM documents WHERE text <> ''""")
 def body_slice(t):
     ends = F.octet_length(F.substring_index("text", "\n", 1))
     return t("documents").where("text <> ''").select("doc_id", T.slice_bytes("text", F.lit(0), ends).alias("first_line"))
 
 
-@_registered("SELECT p_partkey, (p_type LIKE '%BRASS%' OR p_type LIKE '%STEEL%' OR p_name LIKE '%green%') AS hit FROM part")
+@registered("SELECT p_partkey, (p_type LIKE '%BRASS%' OR p_type LIKE '%STEEL%' OR p_name LIKE '%green%') AS hit FROM part")
 def rule_contains_any(t):
     hit = rules.contains_any(F.col("p_type"), ["BRASS", "STEEL"]) | rules.contains_any(F.col("p_name"), ["green"])
     return t("part").select("p_partkey", hit.alias("hit"))
 
 
-@_registered("SELECT page_id, ends_with(url, '0') AS round, starts_with(url, 'https') AS secure FROM pages")
+@registered("SELECT page_id, ends_with(url, '0') AS round, starts_with(url, 'https') AS secure FROM pages")
 def rule_endswith(t):
     return t("pages").select("page_id", F.col("url").endswith("0").alias("round"), F.col("url").startswith("https").alias("secure"))
 
 
-@_registered("""
+@registered("""
     SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'WRITE' WHEN event_type LIKE '%c%' THEN 'NAMED' WHEN value > 50 THEN 'READ' END AS kind FROM events""")
 def rule_priority(t):
     kind = rules.first_match([(F.col("event_type") == "purchase", "WRITE"), (F.col("event_type").contains("c"), "NAMED"), (F.col("value") > 50, "READ")])
     return t("events").select("event_id", kind.alias("kind"))
 
 
-@_registered("""
+@registered("""
     SELECT l_orderkey, l_linenumber,
            CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'DELETE' WHEN l_returnflag = 'A' THEN 'UPDATE' ELSE 'READ' END AS op
     FROM lineitem""")
@@ -99,18 +111,18 @@ def crud_rules(t):
     return rows.select("l_orderkey", "l_linenumber", rules.crud_operation().alias("op"))
 
 
-@_registered("SELECT DISTINCT event_type, upper(regexp_replace('on' || upper(event_type[1]) || event_type[2:], '([a-z])([A-Z]+)', '\\1_\\2', 'g')) AS snake FROM events")
+@registered("SELECT DISTINCT event_type, upper(regexp_replace('on' || upper(event_type[1]) || event_type[2:], '([a-z])([A-Z]+)', '\\1_\\2', 'g')) AS snake FROM events")
 def camel_to_snake(t):
     name = F.concat(F.lit("on"), F.upper(F.substring("event_type", 1, 1)), F.expr("substring(event_type, 2)"))
     return t("events").select("event_type", T.upper_snake(name).alias("snake")).distinct()
 
 
-@_registered("SELECT url, regexp_extract(url, '[^/]*$') AS simple, array_to_string(string_split(url, '.')[1:-2], '.') AS package FROM (SELECT DISTINCT url FROM pages)")
+@registered("SELECT url, regexp_extract(url, '[^/]*$') AS simple, array_to_string(string_split(url, '.')[1:-2], '.') AS package FROM (SELECT DISTINCT url FROM pages)")
 def name_parts(t):
     return t("pages").select("url").distinct().select("url", F.substring_index("url", "/", -1).alias("simple"), T.package_of("url").alias("package"))
 
 
-@_registered("""
+@registered("""
     SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\bthe\\b')) + 2 * len(regexp_extract_all(text, '\\band\\b')) AS BIGINT) AS complexity FROM documents""")
 def weighted_branch_count(t):
     count = lambda word: F.regexp_count("text", F.lit(rf"\b{word}\b"))
@@ -156,17 +168,17 @@ def _edges(t) -> DataFrame:
     return out.unionByName(edge(t("orders"), "HAS_ORDER", _key("c", "o_custkey"), _key("o", "o_orderkey")))
 
 
-@_registered(_NODES)
+@registered(_NODES)
 def project_nodes(t):
     return _nodes(t)
 
 
-@_registered(_EDGES)
+@registered(_EDGES)
 def project_edges(t):
     return _edges(t)
 
 
-@_registered("""
+@registered("""
     SELECT c_custkey, arg_max(c_name, seq) FILTER (c_name IS NOT NULL) AS c_name,
            arg_max(c_mktsegment, seq) FILTER (c_mktsegment IS NOT NULL) AS c_mktsegment
     FROM (SELECT c_custkey, c_name, c_mktsegment, 1 AS seq FROM customer
@@ -181,7 +193,7 @@ def merge_nodes_last_wins(t):
     return merge.merge_nodes(base.withColumn("seq", F.lit(1)).unionByName(later).unionByName(last), ["c_custkey"], "seq")
 
 
-@_registered("""
+@registered("""
     SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Symbol|Customer|Marked' ELSE 'Symbol|Customer' END AS labels FROM customer""")
 def union_labels(t):
     base = t("customer").select("c_custkey", F.lit(1).alias("seq"), F.array(F.lit("Symbol"), F.lit("Customer")).alias("labels"))
@@ -190,7 +202,7 @@ def union_labels(t):
     return merged.select("c_custkey", F.array_join("labels", "|").alias("labels"))
 
 
-@_registered("""
+@registered("""
     SELECT l_orderkey, l_partkey, l_linenumber, l_quantity FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber DESC, l_suppkey DESC, l_quantity DESC) AS rn FROM lineitem) WHERE rn = 1""")
 def dedupe_edges_last_wins(t):
@@ -199,7 +211,7 @@ def dedupe_edges_last_wins(t):
     return merge.dedupe_edges(rows, ["l_orderkey", "l_partkey"], "seq").drop("seq")
 
 
-@_registered("""
+@registered("""
     SELECT l_orderkey, l_linenumber, l_partkey FROM (
         SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1""")
 def keyed_first_wins(t):
@@ -217,23 +229,23 @@ def _pairs(t) -> DataFrame:
     return t("events").select(F.col("event_type").alias("src"), following.alias("dst")).where("dst is not null")
 
 
-@_registered(f"SELECT src, dst, count(*) AS weight FROM ({_PAIRS}) WHERE dst IS NOT NULL GROUP BY src, dst")
+@registered(f"SELECT src, dst, count(*) AS weight FROM ({_PAIRS}) WHERE dst IS NOT NULL GROUP BY src, dst")
 def call_edges_weighted(t):
     return merge.weighted_edges(_pairs(t), drop_self=False)
 
 
-@_registered(f"SELECT src, dst, count(*) AS weight FROM ({_PAIRS}) WHERE src <> dst GROUP BY src, dst")
+@registered(f"SELECT src, dst, count(*) AS weight FROM ({_PAIRS}) WHERE src <> dst GROUP BY src, dst")
 def drop_self_edges(t):
     return merge.weighted_edges(_pairs(t))
 
 
-@_registered("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+@registered("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def gate_semi(t):
     edges = t("orders").select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"))
     return gate.gate_edges(edges, t("customer").where("c_acctbal > 0"), "c_custkey").select(F.col("src").alias("o_orderkey"), F.col("dst").alias("o_custkey"))
 
 
-@_registered("""
+@registered("""
     SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber FROM lineitem
     WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
 def gate_both_ends(t):
@@ -243,18 +255,19 @@ def gate_both_ends(t):
     return gate.gate_edges(edges, t("part").where("p_size > 25").select(F.col("p_partkey").alias("key")), "key", mode="target")
 
 
-@_registered("""
+@registered("""
     SELECT n_nationkey AS src, n_regionkey AS dst, n_name AS from_name, r_name AS to_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT n_nationkey FROM nation)""")
 def attach_ends(t):
     nations = t("nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
     regions = t("region").select(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name"))
     edges = t("nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"))
-    left = nations.select(F.col("key").alias("src"), F.col("name").alias("from_name"))
-    right = regions.select(F.col("key").alias("dst"), F.col("name").alias("to_name"))
-    return edges.join(left, "src").join(right, "dst").select("src", "dst", "from_name", "to_name")
+    keyed = lambda frame, kind: frame.select(F.struct(F.lit(kind).alias("kind"), "key").alias("key"), "name")
+    marked = edges.select(*[F.struct(F.lit(k).alias("kind"), F.col(end).alias("key")).alias(end) for end, k in (("src", "nation"), ("dst", "region"))])
+    found = gate.attach_ends(marked, keyed(nations, "nation").unionByName(keyed(regions, "region")), "key", ["name"])
+    return found.select(F.col("src.key").alias("src"), F.col("dst.key").alias("dst"), "from_name", "to_name")
 
 
-@_registered("""
+@registered("""
     WITH s AS (SELECT p_partkey AS site, p_brand AS owner, p_size AS name, string_split(p_name, ' ') AS params FROM part),
          d AS (SELECT min(p_partkey) AS id, p_brand AS owner, p_size AS name, list_transform(string_split(p_name, ' '), lambda x: right(x, 2)) AS params
                FROM part WHERE p_partkey % 4 = 0 GROUP BY ALL)
@@ -281,7 +294,7 @@ def _versions(t) -> tuple[DataFrame, DataFrame]:
     return old, t("orders").where("o_orderkey % 13 <> 0").select("o_orderkey", fresh.alias("h"))
 
 
-@_registered(f"""
+@registered(f"""
     SELECT n.o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.h IS NULL OR n.h IS DISTINCT FROM o.h THEN 'changed' ELSE 'same' END AS status
     FROM ({_NEW}) n LEFT JOIN ({_OLD}) o ON n.o_orderkey = o.o_orderkey""")
 def hash_diff_changed(t):
@@ -289,13 +302,13 @@ def hash_diff_changed(t):
     return diff.hash_diff(new, old, "o_orderkey", "h")
 
 
-@_registered(f"SELECT o_orderkey FROM ({_OLD}) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_NEW}))")
+@registered(f"SELECT o_orderkey FROM ({_OLD}) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_NEW}))")
 def vanished_anti(t):
     old, new = _versions(t)
     return diff.vanished(new, old, "o_orderkey")
 
 
-@_registered(f"""
+@registered(f"""
     SELECT o_orderkey, h, false AS is_modified FROM ({_OLD}) WHERE o_orderkey NOT IN (SELECT o_orderkey FROM ({_NEW}) WHERE o_orderkey % 2 = 0)
     UNION ALL SELECT o_orderkey, h, true FROM ({_NEW}) WHERE o_orderkey % 2 = 0""")
 def overlay_upsert(t):
@@ -303,7 +316,7 @@ def overlay_upsert(t):
     return diff.overlay(old, new.where("o_orderkey % 2 = 0"), "o_orderkey")
 
 
-@_registered("""
+@registered("""
     WITH u AS (SELECT DISTINCT o_custkey AS unit FROM orders WHERE o_custkey % 4 = 0),
          gone AS (SELECT DISTINCT o_custkey AS unit FROM orders WHERE o_custkey % 9 = 1),
          oldn AS (SELECT o_orderkey AS key, o_custkey AS unit, o_orderstatus AS name FROM orders),
@@ -319,7 +332,7 @@ def incremental_replace_unit(t):
     return diff.replace_units(old, edges, new, edges, changed)[0]
 
 
-@_registered(f"""
+@registered(f"""
     WITH RECURSIVE e AS ({_EDGES}), w(ancestor, descendant, depth) AS (
         SELECT src, dst, 1 FROM e UNION ALL SELECT w.ancestor, e.dst, w.depth + 1 FROM w JOIN e ON w.descendant = e.src)
     SELECT ancestor, descendant, depth FROM w""")
@@ -327,7 +340,7 @@ def containment_closure(t):
     return closure.closure(_edges(t), "src", "dst")
 
 
-@_registered("""
+@registered("""
     WITH RECURSIVE e AS (SELECT s_suppkey AS c, s_suppkey // 3 AS p FROM supplier WHERE s_suppkey > 0), w(ancestor, descendant, depth) AS (
         SELECT p, c, 1 FROM e UNION ALL SELECT e.p, w.descendant, w.depth + 1 FROM w JOIN e ON w.ancestor = e.c)
     SELECT ancestor, descendant, depth FROM w""")
@@ -336,19 +349,19 @@ def ancestor_closure(t):
     return closure.closure(edges, "p", "c")
 
 
-@_registered("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ordinal FROM lineitem")
+@registered("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS ordinal FROM lineitem")
 def ordinal_within_owner(t):
     return merge.number_within(t("lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], ["l_linenumber"])
 
 
-@_registered("""
+@registered("""
     SELECT label, key, CAST(floor((row_number() OVER (PARTITION BY label ORDER BY key) - 1) / 500) AS BIGINT) AS batch
     FROM (SELECT c_mktsegment AS label, c_custkey AS key FROM customer)""")
 def batch_chunks(t):
     return merge.in_batches(t("customer").select(F.col("c_mktsegment").alias("label"), F.col("c_custkey").alias("key")), ["label"], ["key"])
 
 
-@_registered("""
+@registered("""
     SELECT o_custkey AS owner, CAST(o_orderkey AS VARCHAR) AS member FROM orders
     UNION ALL SELECT c_custkey, '<init>()' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def implicit_member_synthesis(t):
@@ -357,24 +370,24 @@ def implicit_member_synthesis(t):
     return merge.implicit_members(owners, members, "owner", {"member": F.lit("<init>()")})
 
 
-@_registered("""
+@registered("""
     SELECT p_partkey, '{"name":"' || p_name || '"' || CASE WHEN p_size > 25 THEN ',"brand":"' || p_brand || '"' ELSE '' END || '}' AS props FROM part""")
 def prune_nulls_json(t):
     return t("part").select("p_partkey", T.pruned_json(F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand")).alias("props"))
 
 
-@_registered("""
+@registered("""
     SELECT p_partkey, '{"name":"' || p_name || '","brand":' || CASE WHEN p_size > 25 THEN '"' || p_brand || '"' ELSE 'null' END || '}' AS props FROM part""")
 def props_map_json(t):
     return t("part").select("p_partkey", T.full_json(F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand")).alias("props"))
 
 
-@_registered("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
+@registered("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS joined FROM conversations WHERE text IS NOT NULL GROUP BY conv_id")
 def docstring_join(t):
     return merge.joined_text(t("conversations").where("text is not null"), ["conv_id"], "turn", "text")
 
 
-@_registered("""
+@registered("""
     SELECT l_suppkey, string_agg(p_brand, ',' ORDER BY p_brand) AS brands
     FROM (SELECT DISTINCT l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY l_suppkey""")
 def refs_sorted_set(t):
@@ -382,24 +395,24 @@ def refs_sorted_set(t):
     return merge.sorted_set(rows, ["l_suppkey"], "p_brand", "brands").select("l_suppkey", F.array_join("brands", ",").alias("brands"))
 
 
-@_registered("SELECT l_orderkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@registered("SELECT l_orderkey, l_suppkey, count(*) AS n_rows FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def unique_key_assert(t):
     return merge.duplicate_keys(t("lineitem"), ["l_orderkey", "l_suppkey"])
 
 
-@_registered("""
+@registered("""
     SELECT doc_id, '''' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '''', chr(92) || ''''), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '''' AS literal
     FROM documents""")
 def cypher_literal(t):
     return t("documents").select("doc_id", T.cypher_string("text").alias("literal"))
 
 
-@_registered(f"SELECT label, count(*) AS nodes, count(DISTINCT unit) AS units FROM ({_NODES}) GROUP BY label")
+@registered(f"SELECT label, count(*) AS nodes, count(DISTINCT unit) AS units FROM ({_NODES}) GROUP BY label")
 def label_counts(t):
     return _nodes(t).groupBy("label").agg(F.count("*").alias("nodes"), F.countDistinct("unit").alias("units"))
 
 
-@_registered("""
+@registered("""
     WITH sub AS (SELECT DISTINCT n_regionkey AS ancestor, n_nationkey + 100 AS descendant, 1 AS depth FROM nation
                  UNION ALL SELECT r_regionkey, r_regionkey, 0 FROM region UNION ALL SELECT n_nationkey + 100, n_nationkey + 100, 0 FROM nation),
          live AS (SELECT DISTINCT ancestor AS receiver, descendant AS runtime FROM sub WHERE descendant IN (SELECT DISTINCT c_nationkey + 100 FROM customer WHERE c_acctbal > 0)),
@@ -433,7 +446,7 @@ def _java_sources(t) -> DataFrame:
     return body.select(F.lit("app").alias("app"), F.format_string("r%d/N%d.java", "n_regionkey", "n_nationkey").alias("file_key"), source.alias("source"))
 
 
-@_registered("""
+@registered("""
     SELECT 'r' || n_regionkey || '.N' || n_nationkey AS type_id, count(*) + 1 AS n_callables, count(*) FILTER (c_acctbal > 0) AS n_entrypoints,
            count(*) - 1 AS n_calls, 2 * count(*) AS complexity
     FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
@@ -449,7 +462,7 @@ def java_entrypoints(t):
     return callables.join(calls, "type_id").select("type_id", "n_callables", "n_entrypoints", "n_calls", "complexity")
 
 
-@_registered("""
+@registered("""
     SELECT 'r' || n_regionkey || '/N' || n_nationkey || '.java' AS file_key, CAST(sum(length(CAST(c_custkey AS VARCHAR))) AS BIGINT) AS digits, count(*) AS comments
     FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""")
 def java_tokens(t):
@@ -468,8 +481,12 @@ def _token_order():
 
 
 def queries() -> dict[str, Query]:
+    from . import project_twins  # noqa: F401  (registers its queries here)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import project_twins  # noqa: F401
+
     return dict(_SQL)
