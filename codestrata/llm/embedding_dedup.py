@@ -39,6 +39,8 @@ LEAF = 384
 MAX_LEAF = 4096
 #: Cells whose deviation along a direction is under so many times that of a link at the threshold are compared whole.
 TIGHT = 1.4
+#: A part that keeps more than this share of the cell that was split is compared whole too, so that splitting ends.
+STUCK = 0.98
 #: Vectors of a block of such a cell.
 BLOCK = 2048
 #: Directions that the spread of a cell is read from; the first is the one it is split at.
@@ -168,7 +170,8 @@ def near_duplicates(
     nothing and are their own component; so are vectors of another length than
     all others. Equal vectors are compared once and link with each other. A null
     id keeps a null component and is kept. Rows that share an id are one node.
-    An empty table gives an empty result.
+    Other columns are ignored. An empty table gives an empty result. A cosine on
+    the threshold links.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_column).alias("id"), F.col(vector_column).alias("vec"))
@@ -187,13 +190,15 @@ def near_duplicates(
     forest = spark.sparkContext.broadcast(forests)
 
     cells = stored(distinct.select("id", "vec").mapInPandas(_route_rows(forest), "id long, cell long"), "cells")
+    cells = cells.withColumn("above", F.lit(None).cast("long"))
     final = None
     while True:
-        counts = stored(cells.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")), "cell-sizes")
-        large = counts.where(F.col("n") > max_leaf)
+        counts = cells.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n"), F.max("above").alias("m"))
+        counts = stored(counts.withColumn("split", (F.col("n") > max_leaf) & F.coalesce(F.col("n") <= STUCK * F.col("m"), F.lit(True))), "cell-sizes")
+        large = counts.where("split")
         if not large.limit(1).count():
             break
-        done = cells.join(counts.where(F.col("n") <= max_leaf), F.col("cell") == F.col("c")).select("id", "cell")
+        done = cells.join(counts.where("not split"), F.col("cell") == F.col("c")).select("id", "cell")
         final = done if final is None else final.unionByName(done)
         split = cells.join(large, F.col("cell") == F.col("c")).select(F.col("id").alias("i"), "cell").join(distinct, F.col("i") == F.col("id"))
         probes = [f"p{k}" for k in range(PROBES)]
@@ -202,17 +207,18 @@ def near_duplicates(
         link = F.sqrt(F.lit(2 * (1 - threshold)) / F.max("width"))
         sigma = F.stddev_pop("p0")
         margin = F.greatest(sigma * spill, F.least(link, sigma) / 2)
-        middle = stored(split.groupBy(F.col("cell").alias("c")).agg(F.avg("p0").alias("mean"), margin.alias("margin"), (spread < TIGHT * link).alias("tight")), "cell-means")
+        middle = split.groupBy(F.col("cell").alias("c")).agg(F.avg("p0").alias("mean"), margin.alias("margin"), (spread < TIGHT * link).alias("tight"), F.count("*").alias("n"))
+        middle = stored(middle, "cell-means")
         tight = split.join(middle.where("tight"), F.col("cell") == F.col("c")).select("id", "cell")
         final = tight if final is None else final.unionByName(tight)
         sides = F.filter(F.array(F.when(F.col("p0") < F.col("mean") + F.col("margin"), 0), F.when(F.col("p0") >= F.col("mean") - F.col("margin"), 1)), lambda s: s.isNotNull())
         deeper = split.join(middle.where("not tight"), F.col("cell") == F.col("c")).withColumn("side", F.explode(sides))
-        cells = stored(deeper.select("id", F.xxhash64("cell", "side").alias("cell")), "cells")
-    cells = cells if final is None else final.unionByName(cells)
+        cells = stored(deeper.select("id", F.xxhash64("cell", "side").alias("cell"), F.col("n").alias("above")), "cells")
+    cells = cells.drop("above") if final is None else final.unionByName(cells.drop("above"))
 
     own = cells.groupBy(F.col("id").alias("i")).agg(F.sort_array(F.collect_list("cell")).alias("cells"))
     routed = distinct.join(own, F.col("id") == F.col("i")).select("id", "vec", "copies", "cells", F.explode("cells").alias("cell"))
-    # Cells over ``max_leaf`` are left only where they are tight: every two of their blocks meet in a task of their own.
+    # Cells over ``max_leaf`` are left only where they are tight or stuck: every two of their blocks meet in a task of their own.
     sizes = cells.groupBy(F.col("cell").alias("c")).agg(F.count("*").alias("n")).where(F.col("n") > max_leaf)
     sizes = stored(sizes.select("c", F.ceil(F.col("n") / F.lit(block)).cast("int").alias("blocks")), "whole-cells")
     routed = routed.join(F.broadcast(sizes), F.col("cell") == F.col("c"), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

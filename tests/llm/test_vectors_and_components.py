@@ -73,6 +73,37 @@ def test_forest_with_a_third_alike(spark):
     assert links.sum() >= 0.995 * wanted.sum()
 
 
+def test_forest_ends_on_collinear_vectors(spark):
+    rows = [(k, [float(k + 1), 0.0, 0.0]) for k in range(900)] + [(2000 + k, [0.0, 1.0 + k, 0.0]) for k in range(3)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = embedding_dedup.near_duplicates(frame, max_leaf=40, block=200).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(k, 899, 0) for k in range(900)} | {(2000 + k, 2, 2000) for k in range(3)}
+
+
+def test_forest_ends_where_a_split_parts_next_to_nothing(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.eye(8)[0] + rng.standard_normal((300, 8)) * 0.03, rng.standard_normal((20, 8))])
+    frame = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = embedding_dedup.near_duplicates(frame, max_leaf=30, block=100).collect()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert [r.n_links for r in sorted(found, key=lambda r: r.vec_id)] == ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+
+
+def test_forest_over_one_large_group(spark):
+    """More vectors alike than a leaf may hold, at the default parameters: every link is found."""
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(48)
+    alike = centre / np.linalg.norm(centre) + rng.standard_normal((4600, 48)) * 0.215 / 48**0.5
+    x = np.concatenate([alike, rng.standard_normal((400, 48))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    wanted = (unit @ unit.T >= 0.95).sum(1) - 1
+    frame = spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<float>")
+    links = np.zeros(len(x), int)
+    for r in embedding_dedup.near_duplicates(frame).collect():
+        links[r.vec_id] = r.n_links
+    assert wanted.sum() > 5_000_000 and (links == wanted).all()
+
+
 def test_forest_of_nothing(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(frame).count() == 0
