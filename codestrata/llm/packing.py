@@ -84,8 +84,11 @@ def pack(docs: DataFrame, *, sizes: tuple[int, ...] = SIZES, shard_pieces: int =
     Pieces of a document are numbered from 0, all but the last as long as the
     longest sequence. Rows alike in id and text are
     packed once each and numbered by ``copy``. Null ids
-    are packed like others; other columns are ignored; an empty table gives an
-    empty result. Shards hold about ``shard_pieces`` pieces at any input size.
+    are packed like others; very long texts are many pieces, which shards share;
+    pieces of equal length go in the order of a hash of id and text, and of bins
+    with equal room the first opened takes them. Other columns are ignored; an
+    empty table gives an empty result. Shards hold about ``shard_pieces`` pieces
+    at any input size.
     """
     sizes = tuple(sorted(sizes))
     most = sizes[-1]

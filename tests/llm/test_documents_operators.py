@@ -320,6 +320,40 @@ def test_packing(documents, corpus):
     assert counted_frame(found[columns]) == counted_frame(again[columns])
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_go_where_a_plain_search_puts_them(seed):
+    import random
+
+    rng = random.Random(seed)
+    sizes = (16, 32, 64)
+    lengths = sorted((min(64, 1 + int(rng.expovariate(0.07))) for _ in range(200)), reverse=True)
+    bins, offsets, final = packing.pack_pieces(lengths, sizes)
+    used, capacity, wanted = [], [], []
+    for nth, n in enumerate(lengths):
+        fits = [(capacity[b] - used[b], b) for b in range(len(used)) if capacity[b] - used[b] >= n]
+        if fits:
+            b = min(fits)[1]
+        else:
+            later = lengths[nth + 1 :]
+            per_word = {s: packing.sequence_cost(s) / (n + min(s - n, sum(x for x in later if x <= s - n))) for s in sizes if s >= n}
+            b = len(used)
+            used.append(0), capacity.append(min(per_word, key=per_word.get))
+        wanted.append((b, used[b]))
+        used[b] += n
+    assert list(zip(bins, offsets)) == wanted
+    assert final == [min(s for s in sizes if s >= u) for u in used]
+    one_size = packing.pack_pieces(lengths, sizes[-1:])[2]
+    assert sum(map(packing.sequence_cost, final)) <= sum(map(packing.sequence_cost, one_size))
+
+
+def test_packing_of_equal_and_empty_documents(documents):
+    rows = [(k, "a b c d", "x") for k in (1, 2, 2, None, None)] + [(3, "", "x"), (4, None, None), (5, " \n", "x"), (6, "w " * 50, "y")]
+    found = packing.pack(documents(rows), sizes=(8, 16), shard_pieces=1000).collect()
+    assert collections.Counter((r.doc_id, r.copy, r.length) for r in found if r.doc_id != 6) == collections.Counter([(1, 0, 4), (2, 0, 4), (2, 1, 4), (None, 0, 4), (None, 1, 4)])
+    assert sorted((r.piece, r.length) for r in found if r.doc_id == 6) == [(0, 16), (1, 16), (2, 16), (3, 2)]
+    assert all(r.bin_size in (8, 16) for r in found) and len({(r.bin_id, r.bin_offset) for r in found}) == len(found)
+
+
 def counted_frame(frame):
     return collections.Counter(map(tuple, frame.fillna(-1).itertuples(index=False)))
 
