@@ -1,4 +1,10 @@
-"""A corpus pipeline of five stages, each calling one operator of codestrata.llm."""
+"""A corpus pipeline of five stages, each calling one operator of codestrata.llm.
+
+Every stage takes any table with the columns of ``documents``. Null texts count as
+empty and null ids as ids; an empty table passes through all stages; rows alike
+are treated alike; very long texts are read whole. All stages but the last return
+the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -9,28 +15,35 @@ from codestrata.llm.shared import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a null or empty text is not one of them."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.kept_documents(docs, labels)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram join links, at the usual five words and 0.8 (op8's contract has three and 0.9)."""
+    """One document of each group that the n-gram join links, at the usual five words and 0.8 (op8's contract has three and 0.9).
+
+    Of a group the document with the least id stays, of ids that tie the text with
+    the least hash; documents without words link with nothing and stay.
+    """
     return ngram_join.one_of_each(docs, words=5, num=80, den=100)
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur more than once, in passages of 240 bytes: 51 words seldom have fewer (op4's contract has 400)."""
+    """Texts without the byte strings that occur more than once, in passages of 240 bytes: 51 words seldom have fewer (op4's contract has 400).
+
+    Null texts stay null; a text that is repeated as a whole becomes empty.
+    """
     return suffix_dedup.stripped_documents(docs, length=suffix_dedup.PASSAGE)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken; null sources are one source, documents without words are never taken."""
     return mixing.mixed_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes."""
+    """Where each piece of each document goes; documents without words have none."""
     return packing.pack(docs)
 
 
