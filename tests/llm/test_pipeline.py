@@ -48,6 +48,13 @@ def test_stages(spark, documents, corpus, tmp_path):
     assert collections.Counter(again) == collections.Counter(out["best_fit_packing"])
 
 
+def test_pipeline_of_an_empty_table(spark, documents, tmp_path):
+    documents([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and "bin_id" in out.columns
+
+
 def test_near_duplicates_at_five_words_and_four_fifths(spark, documents):
     import random
 

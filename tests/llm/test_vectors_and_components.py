@@ -126,3 +126,9 @@ def test_components(spark):
             parent[hi] = lo
     assert found == {x: find(x) for x in list(parent)}
     assert cc.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_a_large_hub(spark):
+    edges = spark.range(5000).selectExpr("7000000L AS a", "id * 3 + 10 AS b").union(spark.range(40).selectExpr("id AS a", "id + 1 AS b").union(spark.sql("SELECT 40L, 10L")))
+    found = {(r.component, r["count"]) for r in cc.components(edges).groupBy("component").count().collect()}
+    assert found == {(0, 5001 + 41 - len(set(range(41)) & set(range(10, 15010, 3))))}
