@@ -97,21 +97,24 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     raised = raised.withColumn("spelling", F.coalesce("created_type", "by_local")).where("spelling is not null")
     raised = raised.join(J.resolved(raised, typed, imported, package), ["file_key", "spelling"]).groupBy("callable_id").agg(F.sort_array(F.collect_set("resolved")).alias("raised"))
     found = checkpointed(found.join(raised, "callable_id", "left").withColumn("raised", F.coalesce("raised", none)))
-    references = named.unionByName(made).unionByName(used).where("target is not null").distinct()
+    seen = J.tested_types(parts, scope).join(own, ["file_key", "in_callable"])
+    seen = seen.join(J.resolved(seen, typed, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
+    references = named.unionByName(seen).unionByName(made).unionByName(used).where("target is not null").distinct()
     noted = owned_comments(J.comments(all_tokens), typed, found, declared)
     return Analysis(files, package, imported, noted, typed, supers, found, declared, sites, edges, arguments, J.enum_constants(scope, parts, typed), components, references)
 
 
 def with_callees(sites: DataFrame, typed: DataFrame, found: DataFrame) -> DataFrame:
-    """``sites`` with ``callee_id``: the callable of that name and number of arguments in the receiver's type, else in a type above it."""
+    """``sites`` with ``callee_id`` and its ``accessibility``: the callable of that name and number of arguments in the receiver's type, else in a type above it."""
     arity = F.when(F.element_at(F.col("parameters"), -1)["is_variadic"], F.lit(None)).otherwise(F.size("parameters"))
-    named = found.select(F.col("type_id").alias("owner"), F.col("name").alias("method_name"), F.when(F.size("parameters") > 0, arity).otherwise(F.lit(0)).alias("arity"), F.col("callable_id").alias("callee"))
+    named = found.select(F.col("type_id").alias("owner"), F.col("name").alias("method_name"), F.when(F.size("parameters") > 0, arity).otherwise(F.lit(0)).alias("arity"), F.col("callable_id").alias("callee"), "modifiers")
+    access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
     asked = sites.where("receiver_type is not null").select("receiver_type", "method_name", F.size("argument_expr").alias("n")).distinct()
     above = typed.select(F.col("type_id").alias("receiver_type"), F.posexplode(F.concat(F.array("type_id"), "ancestors")).alias("place", "owner"))
     fits = asked.join(above, "receiver_type").join(named, ["owner", "method_name"]).where("arity is null or arity = n")
     # The own type first, a given number of parameters before a variadic one, then by name.
-    best = fits.groupBy("receiver_type", "method_name", "n").agg(F.min_by("callee", F.struct(F.least("place", F.lit(1)), F.col("arity").isNull(), "callee")).alias("callee_id"))
-    return sites.withColumn("n", F.size("argument_expr")).join(best, ["receiver_type", "method_name", "n"], "left").drop("n").select(*sites.columns, "callee_id")
+    best = fits.groupBy("receiver_type", "method_name", "n").agg(F.min_by(F.struct(F.col("callee").alias("callee_id"), access.alias("accessibility")), F.struct(F.least("place", F.lit(1)), F.col("arity").isNull(), "callee")).alias("best"))
+    return sites.withColumn("n", F.size("argument_expr")).join(best, ["receiver_type", "method_name", "n"], "left").select(*sites.columns, "best.*")
 
 
 def argument_rows(sites: DataFrame, local: DataFrame, field: DataFrame) -> DataFrame:
@@ -170,7 +173,7 @@ def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: Dat
     )
     exact = base.where("is_constructor_call or is_static_call")
     direct = exact.join(named, (F.col("receiver") == F.col("owner")) & (exact["signature"] == named["signature"])).select("caller", F.col("callable_id").alias("callee"), "site")
-    created = sites.where("is_constructor_call").select(F.col("receiver_type").alias("type")).unionByName(typed.where("name like '$anon$%' or kind = 'enum'").select(F.col("type_id").alias("type")))
+    created = sites.where("is_constructor_call").select(F.col("receiver_type").alias("type")).unionByName(typed.where("name like '$anon$%' or name like '$enum$%' or kind = 'enum'").select(F.col("type_id").alias("type")))
     # Callables without an instance anywhere are roots too: a type answers for itself.
     created = created.unionByName(found.select(F.col("type_id").alias("type")))
     virtual = joins.virtual_targets(base.where("not is_constructor_call and not is_static_call"), subtypes, created, named)

@@ -42,6 +42,20 @@ def scan_files(spark: SparkSession, path: str, app: str | None = None) -> DataFr
     return from_rows(files.select(F.lit(app or root.rsplit("/", 1)[-1]).alias("app"), key.alias("file_key"), F.decode("content", "UTF-8").alias("source")))
 
 
+# Parts of paths that a listing of sources leaves out.
+UNLISTED = ["build/", "target/", "main/resources/", "test/resources/"]
+
+
+def listing(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``path, size_bytes`` of the files below ``root`` with ``suffix`` (java, class or jar); no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(root)
+    below = F.substring_index("path", root.split(":")[-1], -1)
+    left_out = F.lit(False)
+    for part in UNLISTED if suffix == "java" else []:
+        left_out = left_out | below.contains(part)
+    return found.where(~left_out).select("path", F.col("length").alias("size_bytes"))
+
+
 def from_rows(rows: DataFrame) -> DataFrame:
     """The table of files from ``app, file_key, source``, without excluded roots."""
     keep = ~F.col("file_key").rlike("|".join(f"(^|/){r}(/|$)" for r in EXCLUDED_ROOTS))
@@ -86,13 +100,33 @@ def comments(all_tokens: DataFrame) -> DataFrame:
     return found.select("file_key", content.alias("content"), F.col("text").startswith("/**").alias("is_javadoc"), "line", "col", "end_line", "end_col", "first")
 
 
+#: Stand for the braces of array values, which enclose no statements.
+_ARRAY = "\u0002\u0003"
+
+
+def _array_braces(code: DataFrame) -> DataFrame:
+    """``code`` with other marks for the braces of array values: those after a bracket, a comma, ``=`` or ``default``."""
+    order = Window.partitionBy("file_key").orderBy("n")
+    braces = code.withColumn("opens_array", F.lag("text").over(order).isin("(", ",", "=", "]", "default")).where("text in ('{', '}')")
+    is_open = F.col("text") == "{"
+    depth = F.sum(F.when(is_open, 1).otherwise(-1)).over(order) + F.when(is_open, 0).otherwise(1)
+    paired = F.lag("opens_array").over(Window.partitionBy("file_key", "depth").orderBy("n"))
+    braces = braces.withColumn("depth", depth).withColumn("is_array", F.when(is_open, F.col("opens_array")).otherwise(paired))
+    found = braces.where("is_array").select("file_key", "n", "is_array")
+    return code.join(found, ["file_key", "n"], "left").withColumn("text", F.when(F.col("is_array"), F.translate("text", "{}", _ARRAY)).otherwise(F.col("text"))).drop("is_array")
+
+
+def _restored(text: Column) -> Column:
+    return F.translate(text, _ARRAY, "{}")
+
+
 def enclosed(all_tokens: DataFrame) -> DataFrame:
     """Code tokens with ``brace`` (the open brace that encloses each, -1 for none), ``segment`` and neighbours.
 
     An open brace belongs to the segment that it ends and is enclosed by the
     brace around it; so does a closing one.
     """
-    code = all_tokens.where("kind != 'comment'")
+    code = _array_braces(all_tokens.where("kind != 'comment'"))
     order = Window.partitionBy("file_key").orderBy("n")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     is_open, is_close = F.col("text") == "{", F.col("text") == "}"
@@ -140,7 +174,20 @@ _ANNOTATION = r"@ (?!interface\b)[\w$]+( \. [\w$]+)*( \((?: [^()]*(?:\([^()]*(?:
 
 def annotations_of(body: Column) -> Column:
     """Annotations of a header as compact text."""
-    return F.transform(F.regexp_extract_all(body, F.lit(_ANNOTATION), F.lit(0)), lambda x: F.regexp_replace(x, r" ?([@.()]) ?", "$1"))
+    return F.transform(F.regexp_extract_all(body, F.lit(_ANNOTATION), F.lit(0)), lambda x: _restored(F.regexp_replace(x, rf" ?([@.(){_ARRAY}]) ?", "$1")))
+
+
+def decorators(annotations: Column) -> Column:
+    """Array of (name, args) of annotations: each argument as ``key=value`` or its value alone."""
+
+    def one(text: Column) -> Column:
+        inside = F.regexp_replace(F.regexp_extract(text, r"(?s)\((.*)\)$", 1), r"^ +| +$", "")
+        for opening, closing in ("{}", "()"):
+            inside = F.regexp_replace(inside, rf"(\{opening}[^\{opening}\{closing}]*),([^\{opening}\{closing}]*\{closing})", "$1\u0001$2")
+        args = F.transform(F.split(inside, r",(?=(?:[^\"]*\"[^\"]*\")*[^\"]*$)"), lambda x: F.regexp_replace(F.trim(F.replace(x, F.lit("\u0001"), F.lit(","))), r"^([\w$]+) ?= ?", "$1="))
+        return F.struct(F.regexp_extract(text, r"^@([\w$.]+)", 1).alias("name"), F.filter(args, lambda x: x != "").alias("args"))
+
+    return F.transform(annotations, one)
 
 
 def bare(body: Column) -> Column:
@@ -210,18 +257,25 @@ def scopes(code: DataFrame, parts: DataFrame) -> DataFrame:
     method = (head != "") & ~first_word.isin(*CONTROL) & ~head.isin(*CONTROL) & ~F.col("text").rlike(r"(^|[^=!<>])=([^=]|$)|->|\bnew\b|^\. |^\) ")
     kind = F.when(is_type, "type").when(created != "", "anonymous").when(method, "method").when(F.col("text").isin("", "static"), "initializer").otherwise("block")
     heads = heads.withColumns({"shape": kind, "declares": declared, "name": F.when(is_type, F.regexp_extract("text", r"(?:class|interface|enum|record|@ interface) ([\w$]+)", 1)).otherwise(head), "created": created})
+    # In an enum, a name that is not the enum's, with arguments or without, is a constant with a body.
+    enums = heads.where("shape = 'type' and declares = 'enum'").select(F.col("file_key").alias("f"), F.col("open").alias("o"), F.col("name").alias("enum_name"))
+    constant = F.regexp_extract("text", r"^(?:.*, )?([\w$]+)(?: \([^()]*(?:\([^()]*\)[^()]*)*\))?$", 1)
+    heads = heads.join(enums, (F.col("file_key") == F.col("f")) & (F.col("brace") == F.col("o")), "left").drop("f", "o").withColumn("constant", constant)
+    is_constant = (F.col("constant") != "") & (F.col("constant") != F.col("enum_name")) & F.col("shape").isin("method", "block")
+    heads = heads.withColumn("shape", F.when(is_constant, "constant").otherwise(F.col("shape")))
     # A method or initializer lies right in a type; a lone name in a record is its compact constructor.
     around = heads.select(F.col("file_key").alias("f"), F.col("open").alias("o"), F.col("shape").alias("outer_shape"), F.col("name").alias("outer_name"))
     heads = heads.join(around, (F.col("file_key") == F.col("f")) & (F.col("brace") == F.col("o")), "left")
-    in_type = F.col("outer_shape").isin("type", "anonymous")
+    in_type = F.col("outer_shape").isin("type", "anonymous", "constant")
     compact = in_type & F.regexp_extract("text", r"^(?:(?:public|protected|private) )?([\w$]+)$", 1).eqNullSafe(F.col("outer_name"))
     heads = heads.withColumn(
-        "kind", F.when(F.col("shape").isin("type", "anonymous"), "type").when(in_type & (F.col("shape").isin("method", "initializer") | compact), "callable").otherwise("block")
+        "kind", F.when(F.col("shape").isin("type", "anonymous", "constant"), "type").when(in_type & (F.col("shape").isin("method", "initializer") | compact), "callable").otherwise("block")
     )
     number = F.row_number().over(Window.partitionBy("file_key", "brace", "shape").orderBy("open")) - 1
     heads = heads.withColumn("ordinal", number)
     label = (
         F.when(F.col("shape") == "anonymous", F.concat(F.lit("$anon$"), F.col("ordinal")))
+        .when(F.col("shape") == "constant", F.concat(F.lit("$enum$"), F.col("constant")))
         .when((F.col("kind") == "callable") & (F.col("shape") == "initializer"), F.concat(F.when(F.col("text") == "static", "<clinit>$").otherwise("<instance-init>$"), F.col("ordinal")))
         .when(compact | ((F.col("kind") == "callable") & F.col("name").eqNullSafe(F.col("outer_name"))), "<init>")
         .otherwise(F.col("name"))
@@ -261,8 +315,8 @@ def types(scope: DataFrame, package: DataFrame) -> DataFrame:
     plain = F.regexp_replace(_protected(text), r"^([\w$]+)( <.*?>(?= (extends|implements|permits|\()|$))?", "$1")
     generic = F.regexp_extract(_protected(text), r"^[\w$]+ (<.*?>)(?= (extends|implements|permits|\()|$)", 1)
     clause = lambda word: F.regexp_extract(plain, rf"\b{word} (.*?)( (?:extends|implements|permits) |$)", 1)
-    kind = F.when(F.col("shape") == "anonymous", "class").when(F.col("declares") == "@ interface", "annotation").otherwise(F.col("declares"))
-    extends = F.when(F.col("shape") == "anonymous", F.array(_spelled(F.col("created")))).otherwise(_type_list(clause("extends")))
+    kind = F.when(F.col("shape").isin("anonymous", "constant"), "class").when(F.col("declares") == "@ interface", "annotation").otherwise(F.col("declares"))
+    extends = F.when(F.col("shape") == "anonymous", F.array(_spelled(F.col("created")))).when(F.col("shape") == "constant", F.array("enum_name")).otherwise(_type_list(clause("extends")))
     return found.select(
         "file_key",
         F.col("open").alias("scope"),
@@ -274,7 +328,7 @@ def types(scope: DataFrame, package: DataFrame) -> DataFrame:
         F.filter(F.split("text", " "), lambda w: w.isin(*MODIFIERS)).alias("modifiers"),
         annotations_of(F.col("body")).alias("annotations"),
         extends.alias("extends_list"),
-        F.when(F.col("shape") == "anonymous", F.array().cast("array<string>")).otherwise(_type_list(clause("implements"))).alias("implements_list"),
+        F.when(F.col("shape").isin("anonymous", "constant"), F.array().cast("array<string>")).otherwise(_type_list(clause("implements"))).alias("implements_list"),
         F.when(F.col("declares") == "record", F.regexp_extract("text", r"\((.*)\)", 1)).alias("components"),
         _type_parameters(generic).alias("type_parameters"),
         "first",
@@ -338,7 +392,7 @@ def callables(scope: DataFrame, typed: DataFrame, parts: DataFrame) -> DataFrame
 
 def with_implicit_constructors(found: DataFrame, typed: DataFrame) -> DataFrame:
     """Adds ``<init>()`` to classes and enums without a constructor, and a record's canonical one unless it is there."""
-    plain = typed.where("kind in ('class', 'enum') and name not like '$anon$%'").join(found.where("kind = 'constructor'").select("type_id"), "type_id", "left_anti")
+    plain = typed.where("kind in ('class', 'enum') and name not like '$anon$%' and name not like '$enum$%'").join(found.where("kind = 'constructor'").select("type_id"), "type_id", "left_anti")
     record = typed.where("kind = 'record'").withColumn("parameters", _parameters(bare(F.coalesce("components", F.lit("")))))
     erased = F.transform("parameters", lambda p: F.concat(_without_arguments(p["type"]), F.when(p["is_variadic"], "[]").otherwise("")))
     record = record.withColumn("signature", F.concat(F.lit("<init>("), F.array_join(erased, ", "), F.lit(")"))).join(found.select("type_id", "signature"), ["type_id", "signature"], "left_anti")
@@ -370,7 +424,7 @@ def variables(scope: DataFrame, parts: DataFrame) -> DataFrame:
         "in_callable",
         F.explode(names).alias("name"),
         _spelled(F.col("type_text")).alias("type"),
-        F.nullif(F.col("value"), F.lit("")).alias("initializer"),
+        F.nullif(_restored(F.col("value")), F.lit("")).alias("initializer"),
         "first",
         "line",
     )
@@ -426,7 +480,7 @@ def _written(tokens: list[str]) -> str:
     out = ""
     for token in tokens:
         out += " " + token if out and (out[-1].isalnum() or out[-1] in "_$") and (token[0].isalnum() or token[0] in "_$") else token
-    return out
+    return out.replace(_ARRAY[0], "{").replace(_ARRAY[1], "}")
 
 
 def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
@@ -435,7 +489,7 @@ def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
     open_calls: list[dict] = []
     depth, out = 0, []
     for n, text, at, is_call in zip(frame["n"], frame["text"], frame["at"], frame["is_call"], strict=True):
-        closes = text in ")]}"
+        closes = text in ")]}" + _ARRAY[1]
         if closes:
             depth -= 1
         if closes and open_calls and open_calls[-1]["depth"] == depth:
@@ -449,7 +503,7 @@ def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
                 call["parts"].append([])
             else:
                 now.append((text, at))
-        if text in "([{":
+        if text in "([{" + _ARRAY[0]:
             if is_call:
                 open_calls.append({"n": n, "depth": depth, "parts": [[]]})
             depth += 1
@@ -501,14 +555,30 @@ def resolved(spellings: DataFrame, typed: DataFrame, imported: DataFrame, packag
 
 
 def enum_constants(scope: DataFrame, parts: DataFrame, typed: DataFrame) -> DataFrame:
-    """``type_id, name, arguments, ordinal``: the constants of each enum, up to the first that has a body of its own."""
+    """``type_id, name, arguments, ordinal``: the constants of each enum, with or without bodies of their own."""
     enums = typed.where("kind = 'enum'").select("file_key", F.col("scope").alias("brace"), "type_id")
-    own = parts.join(enums, ["file_key", "brace"]).where(F.col("ends").isin(";", "}", "{"))
-    first = own.groupBy("type_id").agg(F.min_by("body", "first").alias("body"))
-    items = F.split(F.regexp_replace(bare(F.col("body")), r" ,(?=[^()]*\))", "\u0001"), " , ?")
-    rows = first.select("type_id", F.posexplode(items).alias("ordinal", "item"))
-    arguments = F.filter(F.split(F.regexp_extract("item", r"\( (.*) \)$", 1), "\u0001"), lambda x: F.trim(x) != "")
-    return rows.select("type_id", F.regexp_extract("item", r"^ ?([\w$]+)", 1).alias("name"), F.transform(arguments, F.trim).alias("arguments"), "ordinal").where("name != ''")
+    own = parts.join(enums, ["file_key", "brace"])
+    # Constants end at the first semicolon that lies right in the enum, or where the enum does.
+    stop = own.where("ends = ';'").groupBy(F.col("type_id").alias("t")).agg(F.min("first").alias("stop"))
+    own = own.join(stop, F.col("type_id") == F.col("t"), "left").where("stop is null or first <= stop")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", bare(F.col("body")).alias("body")))), lambda x: x["body"]), " ")
+    lists = own.groupBy("type_id").agg(whole.alias("body"))
+    items = F.split(F.regexp_replace(F.col("body"), r" ,(?=[^()]*\))", "\u0001"), " *, ?")
+    rows = lists.select("type_id", F.posexplode(F.filter(items, lambda x: F.trim(x) != "")).alias("ordinal", "item"))
+    arguments = F.filter(F.split(F.regexp_extract("item", r"\( (.*) \)", 1), "\u0001"), lambda x: F.trim(x) != "")
+    return rows.select("type_id", F.regexp_extract("item", r"^ *([\w$]+)", 1).alias("name"), F.transform(arguments, lambda x: _restored(F.trim(x))).alias("arguments"), "ordinal").where("name != ''")
+
+
+def tested_types(parts: DataFrame, scope: DataFrame) -> DataFrame:
+    """``file_key, in_callable, spelling``: types of casts, of ``instanceof`` and of ``catch`` in callables."""
+    rest = r"(?: \. [\w$]+)*(?: <[\w$<>\[\]., ?&]*>)?(?: \[ \])*"
+    name = rf"[\w$]+{rest}"
+    cast = F.regexp_extract_all("body", F.lit(rf"(?<![\w$)\]>] )\( ((?:[a-z][\w$]* \. )*[A-Z][\w$]*{rest}) \) (?=[\w$\"'(!~])"), F.lit(1))
+    kind = F.regexp_extract_all("body", F.lit(rf"\binstanceof (?:final )?({name})"), F.lit(1))
+    caught = F.split(F.regexp_extract("body", rf"(?:^|\W)catch \( (?:final )?({name}(?: \| {name})*) [\w$]+ \)$", 1), r" \| ")
+    found = parts.select("file_key", "brace", F.explode(F.concat(cast, kind, caught)).alias("spelling")).where("spelling != ''").withColumn("spelling", _spelled(F.col("spelling")))
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), "in_callable")
+    return found.join(places, ["file_key", "brace"]).select("file_key", "in_callable", "spelling").distinct()
 
 
 def record_components(typed: DataFrame) -> DataFrame:

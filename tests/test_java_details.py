@@ -31,6 +31,22 @@ class More<K, V extends Comparable<V> & java.io.Serializable> {
     void go() { find("a", 2 + 3); find("b", 4); boxed(new Box<String>("z")); }
     void boxed(Box<String> x) { x.open(1, 2); x.open(1); int[] k = new int[3]; }
 }
+""",
+    "c/Kinds.java": """package c;
+import java.util.List;
+enum Kinds {
+    ONE(1, "a") { @Override int size() { return 1; } }, TWO(2, "b"), THREE(3, "c") { int size() { return 3; } };
+    int n;
+    Kinds(int n, String s) { this.n = n; }
+    @Deprecated(since = "1, 2", forRemoval = true) @Rule({1, 2}) int size() {
+        Object o = (Number) pick();
+        if (o instanceof List<?>) { return (int) n; }
+        try { pick(); } catch (IllegalStateException | java.io.IOException e) { }
+        return 0;
+    }
+    private Object pick() { return null; }
+}
+enum Plain { A, B }
 """,
     "c/Box.java": "package c;\nclass Box<T> { Box(T t) { } Box(int a, Map m) { } void open(int... n) { } void open(int n) { } }\n",
 }
@@ -85,6 +101,42 @@ def test_comments_belong_to_what_follows(analysis):
     assert found == {("Holds things.", "c.More"), ("the manager", "c.More#field#em"), ("one", None), ("Finds.", "c.More#find(String, int)")}
 
 
+def test_enum_constants_with_bodies(analysis):
+    found = {(r.type_id, r.name, r.ordinal, tuple(r.arguments)) for r in analysis.enum_constants.collect()}
+    assert found == {("c.Kinds", "ONE", 0, ("1", '"a"')), ("c.Kinds", "TWO", 1, ("2", '"b"')), ("c.Kinds", "THREE", 2, ("3", '"c"')), ("c.Plain", "A", 0, ()), ("c.Plain", "B", 1, ())}
+
+
+def test_bodies_of_enum_constants_are_types(analysis):
+    found = {r.type_id: r for r in analysis.types.where("file_key = 'c/Kinds.java'").collect()}
+    assert set(found) == {"c.Kinds", "c.Kinds.$enum$ONE", "c.Kinds.$enum$THREE", "c.Plain"}
+    assert found["c.Kinds.$enum$ONE"].extends_list == ["Kinds"] and found["c.Kinds.$enum$ONE"].ancestors == ["c.Kinds"]
+    members = {r.callable_id for r in analysis.callables.where("file_key = 'c/Kinds.java'").collect()}
+    assert members == {"c.Kinds.$enum$ONE#size()", "c.Kinds.$enum$THREE#size()", "c.Kinds#<init>(int, String)", "c.Kinds#size()", "c.Kinds#pick()", "c.Plain#<init>()"}
+
+
+def test_types_of_casts_instanceof_and_catch(analysis):
+    found = {r.target for r in analysis.references.where("callable_id = 'c.Kinds#size()' and kind = 'type'").collect()}
+    assert {"java.lang.Number", "java.util.List", "java.lang.IllegalStateException", "java.io.IOException", "java.lang.Object"} <= found
+
+
+def test_decorators_and_accessibility(analysis):
+    row = analysis.callables.where("callable_id = 'c.Kinds#size()'").select(J.decorators(F.col("annotations")).alias("d")).first()
+    assert [(d.name, d.args) for d in row.d] == [("Deprecated", ['since="1, 2"', "forRemoval=true"]), ("Rule", ["{1 , 2}"])]
+    assert {r.accessibility for r in analysis.call_sites.where("method_name = 'pick'").collect()} == {"private"}
+
+
+def test_listing_and_envelope(spark, analysis, tmp_path):
+    for name in ("src/A.java", "target/B.java", "src/main/resources/C.java", "lib/d.jar"):
+        (tmp_path / "p" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "p" / name).write_text("class A { }")
+    names = lambda suffix: {r.path.rsplit("/", 1)[1] for r in J.listing(spark, str(tmp_path / "p"), suffix).collect()}
+    assert names("java") == {"A.java"} and names("jar") == {"d.jar"}
+    sinks.write_envelope(analysis, str(tmp_path / "out"))
+    assert sinks.read_saved(spark, str(tmp_path / "out/symbol_table")).count() == 3
+    assert spark.read.json(str(tmp_path / "out/call_graph")).count() == analysis.call_edges.count()
+    assert spark.read.json(str(tmp_path / "out/version")).first().version == catalog.SCHEMA_VERSION
+
+
 def test_graph_properties_and_edges(graph, analysis):
     nodes, edges = graph
     assert catalog.violations(nodes, edges).count() == 0
