@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import stored
+from .shared import discard, stored
 from .text_arrays import Block, blocks, grouped_lists, mix
 
 #: Words of a shingle, unless the caller names another number.
@@ -231,7 +231,8 @@ def _by_call(rows: DataFrame, per_call: int, weight: str | None = None) -> DataF
 
 def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den: int, words: int) -> DataFrame:
     """Edges between components in each bounded part of ``rows (part, c, comp, guest)``: bound all pairs, then intersect the sets that pass."""
-    bounded = _by_call(stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "guest", "n", "slots"), "bounds"), 4000)
+    bounds = stored(rows.join(active, F.col("c") == F.col("cls")).select("part", "cls", "comp", "guest", "n", "slots"), "bounds")
+    bounded = _by_call(bounds, 4000)
     passed = stored(bounded.groupBy("call").applyInPandas(_bounder(num, den), "part long, cls long, guest boolean, n long"), "passed")
     keys = stored(active.join(passed.select(F.col("cls").alias("p")).distinct(), F.col("cls") == F.col("p")).select("cls", "carrier.*"), "keys")
     side = keys.select("cls", F.col("tkey").alias("k"), F.col("doc_id").alias("d"))
@@ -240,7 +241,9 @@ def _linked(rows: DataFrame, active: DataFrame, texts: DataFrame, num: int, den:
     sets = stored(read.mapInArrow(_set_rows(words), "cls long, tokens array<long>").dropDuplicates(["cls"]), "sets")
     members = _by_call(passed.withColumnRenamed("cls", "c"), CALL_TOKENS, "n")
     packed = members.join(sets, F.col("c") == F.col("cls")).select("call", "part", "cls", "guest", "tokens")
-    return stored(packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long"), "links")
+    links = stored(packed.groupBy("call").applyInPandas(_linker(num, den), "a long, b long"), "links")
+    discard(bounds, passed, keys, sets)
+    return links
 
 
 def _parts(rows: DataFrame, by: str, key: str, size: int, seed: int) -> DataFrame:
@@ -282,10 +285,13 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tkey"))
     sketch = docs.sparkSession.sparkContext.broadcast(token_sketch(docs, bits, words))
     schema = "doc_id long, tkey long, n long, s1 long, s2 long, slots binary, prefix array<long>"
-    profiles = stored(texts.mapInArrow(_profile_rows(sketch, bits, num, den, need, words), schema), "profiles")
+    whole = stored(texts.mapInArrow(_profile_rows(sketch, bits, num, den, need, words), schema), "profiles")
+    profiles = stored(whole.drop("slots", "prefix"), "document-keys")
     firsts = [F.first(c).alias(c) for c in ("n", "slots", "prefix")]
-    classes = profiles.where("n > 0").groupBy("s1", "s2").agg(*firsts, F.min(F.struct("tkey", "doc_id")).alias("carrier"))
+    classes = whole.where("n > 0").groupBy("s1", "s2").agg(*firsts, F.min(F.struct("tkey", "doc_id")).alias("carrier"))
     classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    class_keys = stored(classes.select("s1", "s2", "cls"), "class-keys")
+    discard(whole)
     least = F.ceil(F.lit(num) * F.col("n") / F.lit(den))
     enough = F.least(F.lit(need), least)
 
@@ -296,6 +302,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     active = rare.groupBy("cls").agg(F.first("n").alias("n"), F.count("*").alias("k"), F.min("token").alias("g1"), F.max("token").alias("g2"))
     active = active.where(F.col("k") >= enough).select(F.col("cls").alias("c"), "g1", "g2")
     active = stored(active.join(classes, F.col("c") == F.col("cls")).select("cls", "n", "g1", "g2", "slots", "carrier"), "active")
+    discard(shared, classes)
 
     # Two groupings of similar classes, verified inside bounded parts.
     grouped = [stored(_parts(active.select("cls", "n", g), g, "cls", group_rows, seed).select("part", "cls", "n"), "groups") for seed, g in enumerate(("g1", "g2"))]
@@ -314,6 +321,7 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     tokens = stored(rare.select("token", F.col("cls").alias("c")).join(groups, F.col("c") == F.col("cls")).drop("c"), "member-tokens")
     mixed = tokens.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("part").alias("p_lo"), F.max("part").alias("p_hi"))
     mixed = stored(mixed.where("lo < hi and p_lo < p_hi").select(F.col("token").alias("t")), "mixed-tokens")
+    members = tokens
     tokens = tokens.join(mixed, F.col("token") == F.col("t")).drop("t")
     sizes = stored(groups.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("size")), "group-sizes")
     matrix = tokens.groupBy("token", "part").agg(F.min("n").alias("n"), F.max("n").alias("n_hi"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"))
@@ -325,10 +333,12 @@ def jaccard_components(docs: DataFrame, *, words: int = WORDS, num: int = 90, de
     opened = hits.groupBy("part", "group").agg(F.count("*").alias("k"), F.min(F.least("n", "g_n")).alias("n"), F.first("size").alias("size"), F.first("g_size").alias("g_size"))
     larger = F.col("size") >= F.col("g_size")
     opened = opened.where(F.col("k") >= enough).select(F.when(larger, F.col("part")).otherwise(F.col("group")).alias("home"), F.when(larger, F.col("group")).otherwise(F.col("part")).alias("guest"))
-    rows = _asked(stored(opened, "opened"), groups)
+    opened = stored(opened, "opened")
+    discard(rare, members, mixed, matrix)
+    rows = _asked(opened, groups)
     final = components(edges.unionByName(_linked(rows, active, texts, num, den, words)))
 
-    ids = classes.select("s1", "s2", "cls").join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
+    ids = class_keys.join(final, F.col("cls") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "cls").alias("comp"))
     ids = stored(ids, "class-components")
     named = profiles.select("doc_id", "tkey", "n", F.col("s1").alias("p1"), F.col("s2").alias("p2")).where("n > 0").join(ids, (F.col("p1") == F.col("s1")) & (F.col("p2") == F.col("s2")))
     named = stored(named.select("doc_id", "tkey", "n", "comp"), "document-components")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 from .text_arrays import Block, blocks, grouped_lists
 
 LENGTH = 400
@@ -258,9 +258,10 @@ def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), step:
     runs = keyed.mapInArrow(_run_rows(lengths[0], step), "doc_id long, sha string, n_bytes long, anchor array<long>, first array<long>, count array<long>, own array<boolean>")
     lists = [F.first(c).alias(c) for c in ("n_bytes", "anchor", "first", "count", "own")]
     texts = runs.groupBy("sha").agg(F.min("doc_id").alias("carrier"), F.count("*").alias("copies"), *lists)
-    texts = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    whole = stored(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
+    texts = stored(whole.select("tid", "sha", "carrier", "n_bytes", "copies"), "text-keys")
 
-    flat = texts.select("tid", F.explode(F.arrays_zip("anchor", "first", "count", "own")).alias("r")).select("tid", "r.*")
+    flat = whole.select("tid", F.explode(F.arrays_zip("anchor", "first", "count", "own")).alias("r")).select("tid", "r.*")
     again = flat.groupBy(F.col("anchor").alias("h")).agg(F.count("*").alias("k"), F.sum(F.col("count") + lengths[-1]).alias("octets"), F.max("own").alias("own")).where("k > 1 or own")
     again = stored(again.select("h", ((F.col("k") > hot_runs) | (F.col("octets") > hot_bytes)).alias("hot")), "anchors")
     found = flat.join(again, F.col("anchor") == F.col("h")).select("tid", F.struct("anchor", "first", "count", "hot").alias("run"))
@@ -268,6 +269,7 @@ def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), step:
     found = stored(found.join(texts.select(F.col("tid").alias("t"), F.col("sha").alias("s"), "carrier"), F.col("tid") == F.col("t")).drop("t"), "found")
     hits = keyed.join(found, (F.col("sha") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("carrier")))
     hits = stored(hits.select("tid", "text", "runs"), "hits")
+    discard(whole, again, found)
 
     cut = stored(hits.mapInArrow(_cut_rows(lengths), "tid long, anchor long, first long, size long, piece binary, h1 array<long>, h2 array<long>"), "runs")
     pieces = cut.where("piece is not null").select("tid", "anchor", "first", "size", "piece")
@@ -280,10 +282,12 @@ def removed_ranges(docs: DataFrame, lengths: tuple[int, ...] = (LENGTH,), step:
     hot = strings.join(several, (F.col("size") == F.col("g")) & (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).select("tid", "size", "a", (F.col("a") + F.col("size")).alias("b"))
     if cut.where("piece is null").limit(1).count():
         ranges = ranges.unionByName(hot)
-    ranges = stored(ranges, "ranges").groupBy("tid").agg(F.collect_list(F.struct("size", "a", "b")).alias("ranges"))
+    each = stored(ranges, "ranges")
+    ranges = each.groupBy("tid").agg(F.collect_list(F.struct("size", "a", "b")).alias("ranges"))
     once = texts.where("copies = 1").select(F.col("tid").alias("t"))
     ranges = stored(ranges.join(once, F.col("tid") == F.col("t")).drop("t"), "text-ranges")
-    return texts.select("tid", "sha", "n_bytes", "copies"), hits.select("tid", "text"), ranges
+    discard(cut, each)
+    return texts, hits, ranges
 
 
 def _gone(ranges: list[dict], size: int, n: int) -> np.ndarray:
@@ -316,8 +320,8 @@ def _results(docs: DataFrame, length: int, passage: int | None, **options) -> Da
     """The result of each distinct text by its hash ``s``; ``rest`` is null where nothing goes."""
     passage = passage or length
     texts, hits, ranges = removed_ranges(docs, tuple(sorted({length, passage})), **options)
-    stripped = hits.join(ranges.withColumnRenamed("tid", "t"), F.col("tid") == F.col("t")).select("tid", "text", "ranges")
-    stripped = stripped.mapInArrow(_strip_rows(length, passage), "tid long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, rest string")
+    covered = hits.join(ranges.withColumnRenamed("tid", "t"), F.col("tid") == F.col("t")).select("tid", "text", "ranges")
+    stripped = covered.mapInArrow(_strip_rows(length, passage), "tid long, n_removed long, n_spans long, kept_sha256 string, n_passage_bytes long, rest string")
     stripped = stored(stripped.dropDuplicates(["tid"]).withColumnRenamed("tid", "t"), "stripped")
 
     def whole(size: int) -> Column:
@@ -335,7 +339,9 @@ def _results(docs: DataFrame, length: int, passage: int | None, **options) -> Da
         count(passage, "n_passage_bytes", F.col("n_bytes")),
         F.when(whole(passage), F.lit("")).otherwise(F.col("rest")).alias("rest"),
     )
-    return stored(result, "suffix-result")
+    result = stored(result, "suffix-result")
+    discard(texts, hits, ranges, stripped)
+    return result
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, **options) -> DataFrame:
@@ -360,7 +366,6 @@ def dedup(docs: DataFrame, length: int = LENGTH, passage: int | None = None, **o
 def stripped_documents(docs: DataFrame, length: int = LENGTH, **options) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (and ``n_chars`` counted anew, where it is a column)."""
     changed = _results(docs, length, None, **options).where("n_removed > 0").select(F.col("s").alias("__sha"), F.col("rest").alias("__rest"))
-    changed = stored(changed, "changed-texts")
     joined = docs.join(changed, F.sha2("text", 256) == F.col("__sha"), "left")
     text = F.when(F.col("__sha").isNotNull(), F.col("__rest")).otherwise(F.col("text"))
     columns = [text.alias(c) if c == "text" else F.when(F.col("__sha").isNotNull(), F.length("__rest").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
