@@ -220,7 +220,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     local = a.variables.where("owner = 'local' and callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("#var#"), c("name"), F.lit("@"), c("line")))
     given = a.arguments.groupBy("callable_id", "local_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("type", F.lit("")).alias("type")))), lambda x: x["type"]).alias("argument_types"))
     site = a.call_sites.where("callable_id is not null").join(given, ["callable_id", "local_id"], "left").withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
-    site = site.withColumn("callee_signature", F.regexp_extract("callee_id", "#(.*)$", 1)).withColumn("callee_signature", F.nullif("callee_signature", F.lit("")))
+    site = checkpointed(site.withColumn("callee_signature", F.nullif(F.regexp_extract("callee_id", "#(.*)$", 1), F.lit(""))))
     owned = a.types.select("type_id", "file_key")
     constant = a.enum_constants.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#enum#"), c("name")))
     component = a.record_components.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#rec#"), c("name")))
@@ -297,7 +297,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     resolved = edge(site.where("callee_id is not null"), "J_RESOLVES_TO", c("id"), c("callee_id"))
     edges = out.unionByName(gate.gate_edges(doubtful, symbols, "key", mode="both")).unionByName(gate.gate_edges(resolved, symbols, "key"), allowMissingColumns=True)
     edges = edges.groupBy("type", "src", "dst").agg(F.max_by("props", F.size("props")).alias("props"))
-    return nodes, edges
+    return nodes, checkpointed(edges)
 
 
 def durable_ids(a: Analysis, app: str) -> DataFrame:
