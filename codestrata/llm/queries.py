@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
+    conversation_repair,
     embedding_dedup,
     license_scan,
     lm_scoring,
     mixing,
     ngram_join,
     packing,
+    phrases,
     quality_rules,
     suffix_dedup,
     token_counts,
@@ -69,6 +71,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(_table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return found
@@ -77,6 +87,26 @@ def queries() -> dict[str, Query]:
 _REACHED = """reach(a, b) AS (
     SELECT id, id FROM nodes UNION SELECT r.a, l.y FROM reach r JOIN (SELECT x, y FROM links UNION ALL SELECT y, x FROM links) l ON r.b = l.x)"""
 _ORACLES = {
+    "op12_phrase_mining": r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, len, unnest(list_transform(range(1, len(w) - len + 2), lambda i: array_to_string(w[i:i + len - 1], ' '))) AS phrase
+          FROM words, (SELECT unnest([1, 2, 3, 4, 5]) AS len) WHERE len(w) >= len),
+counts AS (SELECT lang, len, phrase, count(*) AS a FROM grams GROUP BY ALL),
+sizes AS (SELECT lang, sum(a) AS n FROM counts WHERE len = 1 GROUP BY lang),
+frequent AS (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE a >= 100),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM frequent, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE k < len),
+scored AS (
+    SELECT c.lang, c.phrase, c.a, h.a AS l, t.a AS r, n, (1000::HUGEINT * c.a * n) // (h.a::HUGEINT * t.a) AS score, k
+    FROM cuts c JOIN frequent h ON c.lang = h.lang AND c.head = h.phrase JOIN frequent t ON c.lang = t.lang AND c.tail = t.phrase JOIN sizes s ON c.lang = s.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_parts AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+    FROM frequent, (SELECT unnest([2, 3, 4]) AS m), (SELECT unnest([1, 2, 3, 4]) AS i) WHERE m < len AND i + m - 1 <= len GROUP BY ALL),
+free AS (SELECT l.* FROM lowest l LEFT JOIN inner_parts p ON l.lang = p.lang AND l.phrase = p.phrase WHERE most IS NULL OR 100 * most < 100 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM free QUALIFY rank <= 2000""",
     "op1_projection_forest": f"""
 WITH RECURSIVE valid AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
