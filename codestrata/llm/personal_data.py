@@ -63,12 +63,15 @@ def _matches(text: Column, kind: str, pattern: str, wide: bool) -> Column:
     """The matches of a pattern with what lies before and behind each: ``gap`` code points since the last one."""
     found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
 
-    def one(m: Column, i: Column) -> Column:
-        before, behind = F.get(pieces, i), F.get(pieces, i + 1)
-        fields = {"i": i, "gap": F.length(before).cast("long"), "size": F.length(m).cast("long"), "match": m, "before": F.right(before, F.lit(BEFORE)), "behind": F.left(behind, F.lit(BEHIND))}
+    def one(pair: Column, behind: Column) -> Column:
+        m, before = pair["match"], pair["before"]
+        fields = {"gap": F.length(before).cast("long"), "size": F.length(m).cast("long"), "match": m, "before": F.right(before, F.lit(BEFORE)), "behind": F.left(behind, F.lit(BEHIND))}
         return F.struct(*[v.alias(k) for k, v in fields.items()])
 
-    entry = F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(wide).alias("wide"), F.transform(found, one).alias("found"))
+    # Zipped: inside a lambda the text would be split anew for every match.
+    pairs = F.zip_with(found, pieces, lambda m, before: F.struct(m.alias("match"), before.alias("before")))
+    each = F.filter(F.zip_with(pairs, F.slice(pieces, 2, 1 << 30), one), lambda x: x["match"].isNotNull())
+    entry = F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.lit(wide).alias("wide"), each.alias("found"))
     return F.when(F.size(found) > 0, entry)
 
 
@@ -110,7 +113,7 @@ def _checked() -> Column:
 
 def placed(found: DataFrame) -> DataFrame:
     """``rid, kind, wide, start, end, match, before, behind, checked``: a row for each match; offsets in code points, the end exclusive."""
-    each = found.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.kind", "hit.wide", F.explode("hit.found").alias("x")).select("rid", "kind", "wide", "x.*")
+    each = found.select("rid", F.explode("hits").alias("hit")).select("rid", "hit.kind", "hit.wide", F.posexplode("hit.found").alias("i", "x")).select("rid", "kind", "wide", "i", "x.*")
     done = Window.partitionBy("rid", "kind", "wide").orderBy("i")
     end = F.sum(F.col("gap") + F.col("size")).over(done)
     each = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
