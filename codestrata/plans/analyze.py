@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cypher_list, cypher_string, durable_id
-from ..operators import closure, gate, joins, merge, rules
+from ..operators import closure, gate, joins, merge, resolution, rules
 from ..session import checkpointed
 from ..sources import java_source as J
+from . import typing
 
 
 @dataclass
@@ -41,14 +42,10 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     code = checkpointed(J.enclosed(all_tokens))
     parts = checkpointed(J.segments(code))
     scope = checkpointed(J.scopes(code, parts))
-    package, imported = J.packages(parts), J.imports(parts)
+    package, imported = checkpointed(J.packages(parts)), checkpointed(J.imports(parts))
     typed = checkpointed(J.types(scope, package))
 
-    listed = lambda role: typed.select("file_key", "type_id", F.lit(role).alias("role"), F.posexplode(f"{role}_list").alias("ordinal", "spelling"))
-    supers = listed("extends").unionByName(listed("implements"))
-    supers = supers.join(J.resolved(supers, typed, imported, package), ["file_key", "spelling"])
-    above = closure.closure(supers, "type_id", "resolved").groupBy(F.col("ancestor").alias("type_id")).agg(F.sort_array(F.collect_set("descendant")).alias("ancestors"))
-    typed = typed.join(above, "type_id", "left").withColumn("ancestors", F.coalesce("ancestors", F.array().cast("array<string>")))
+    typed, supers, known = supertypes(typed, imported, package)
 
     found = J.with_implicit_constructors(J.callables(scope, typed, parts), typed)
     found = found.join(J.complexity(code, scope).withColumnRenamed("in_callable", "open"), ["file_key", "open"], "left").withColumn("cyclomatic", F.coalesce("cyclomatic", F.lit(1)))
@@ -61,32 +58,29 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     own = found.where("open is not null").select("file_key", F.col("open").alias("in_callable"), "callable_id")
     declared = checkpointed(declared.join(inside, ["file_key", "in_type"], "left").join(own, ["file_key", "in_callable"], "left"))
 
-    sites = J.call_sites(code, scope).join(inside, ["file_key", "in_type"]).join(own, ["file_key", "in_callable"], "left")
-    # The receiver's type: a local or parameter of the callable, a field of the type, a type name; this type without one.
+    sites = checkpointed(J.call_sites(code, scope).join(inside, ["file_key", "in_type"]).join(own, ["file_key", "in_callable"], "left"))
     local = declared.where("owner = 'local' and callable_id is not null").select("callable_id", F.col("name").alias("receiver"), F.col("type").alias("by_local"))
     params = found.select("callable_id", F.explode("parameters").alias("p")).select("callable_id", F.col("p.name").alias("receiver"), F.col("p.type").alias("by_local"))
     local = merge.first_wins(local.unionByName(params), ["callable_id", "receiver"], "by_local")
     field = declared.where("owner = 'field'").groupBy("type_id", F.col("name").alias("receiver")).agg(F.min("type").alias("by_field"))
-    sites = sites.join(local, ["callable_id", "receiver"], "left").join(field, ["type_id", "receiver"], "left")
-    sites = checkpointed(sites)
-    arguments = J.call_arguments(code, sites)
-    spelled = F.coalesce("created_type", "by_local", "by_field", F.when(F.col("receiver").startswith('"'), "String"), F.when(F.col("receiver").rlike("^[A-Z]"), F.col("receiver")))
-    sites = sites.withColumn("spelling", spelled)
-    sites = sites.join(J.resolved(sites.where("spelling is not null"), typed, imported, package), ["file_key", "spelling"], "left")
-    bare_call = F.col("receiver").isNull() | F.col("receiver").isin("this")
-    receiver_type = F.coalesce("resolved", F.when(bare_call & F.col("created_type").isNull(), F.col("type_id")))
-    static = F.col("by_local").isNull() & F.col("by_field").isNull() & F.col("receiver").rlike("^[A-Z]")
-    sites = sites.join(arguments, ["file_key", "open_n"], "left")
+    calls = checkpointed(J.call_arguments(code, sites))
+    scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls)
+    facts, given = typing.typed_sites(scopes, code, sites, calls)
+    access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
+    about = found.select(F.col("callable_id").alias("callee_id"), access.alias("accessibility"), F.array_contains("modifiers", "static").alias("callee_static"))
+    sites = sites.join(facts, ["file_key", "open_n"], "left").join(calls.select("file_key", "open_n", "argument_expr", "argument_ids"), ["file_key", "open_n"], "left").join(about, "callee_id", "left")
     none = F.array().cast("array<string>")
+    static = ~F.col("is_constructor_call") & (F.coalesce("static", F.lit(False)) | F.coalesce("callee_static", F.lit(False)))
     sites = sites.select(
-        "file_key", "type_id", "callable_id", "method_name", "receiver", receiver_type.alias("receiver_type"), "is_constructor_call", F.coalesce(static, F.lit(False)).alias("is_static_call"), "local_id", "line", "col", "open_n",
-        F.coalesce("argument_expr", none).alias("argument_expr"), F.coalesce("argument_ids", none).alias("argument_ids"),
+        "file_key", "type_id", "callable_id", "method_name", "receiver", "receiver_type", "is_constructor_call", static.alias("is_static_call"), "local_id", "line", "col", "open_n",
+        F.coalesce("argument_expr", none).alias("argument_expr"), F.coalesce("argument_ids", none).alias("argument_ids"), "return_type", "callee_id", "accessibility",
     )
-    sites = sites.withColumns({"crud_operation": rules.crud_operation(compat=compat), "crud_query": rules.crud_query(compat=compat)})
-    sites = checkpointed(with_callees(sites, typed, found))
-    arguments = argument_rows(sites, local, field)
+    sites = checkpointed(sites.withColumns({"crud_operation": rules.crud_operation(compat=compat), "crud_query": rules.crud_query(compat=compat)}))
+    arguments = argument_rows(sites, local, field, given)
+    erased = F.concat("name", F.lit("("), F.array_join("wanted", ", "), F.lit(")"))
+    found = found.join(scopes.methods.select("callable_id", erased.alias("erased_signature"), F.col("returns").alias("erased_return")), "callable_id", "left")
 
-    edges = call_edges(sites, typed, supers, found)
+    edges = call_edges(sites, typed, known, found)
     components = J.record_defaults(J.record_components(typed), scope, parts, typed)
     # What a callable refers to: types of its variables and creations, and fields of its type.
     named = declared.where("callable_id is not null").select("file_key", "callable_id", F.col("type").alias("spelling"))
@@ -104,23 +98,44 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     return Analysis(files, package, imported, noted, typed, supers, found, declared, sites, edges, arguments, J.enum_constants(scope, parts, typed), components, references)
 
 
-def with_callees(sites: DataFrame, typed: DataFrame, found: DataFrame) -> DataFrame:
-    """``sites`` with ``callee_id`` and its ``accessibility``: the callable of that name and number of arguments in the receiver's type, else in a type above it."""
-    arity = F.when(F.element_at(F.col("parameters"), -1)["is_variadic"], F.lit(None)).otherwise(F.size("parameters"))
-    named = found.select(F.col("type_id").alias("owner"), F.col("name").alias("method_name"), F.when(F.size("parameters") > 0, arity).otherwise(F.lit(0)).alias("arity"), F.col("callable_id").alias("callee"), "modifiers")
-    access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
-    asked = sites.where("receiver_type is not null").select("receiver_type", "method_name", F.size("argument_expr").alias("n")).distinct()
-    above = typed.select(F.col("type_id").alias("receiver_type"), F.posexplode(F.concat(F.array("type_id"), "ancestors")).alias("place", "owner"))
-    fits = asked.join(above, "receiver_type").join(named, ["owner", "method_name"]).where("arity is null or arity = n")
-    # The own type first, a given number of parameters before a variadic one, then by name.
-    best = fits.groupBy("receiver_type", "method_name", "n").agg(F.min_by(F.struct(F.col("callee").alias("callee_id"), access.alias("accessibility")), F.struct(F.least("place", F.lit(1)), F.col("arity").isNull(), "callee")).alias("best"))
-    return sites.withColumn("n", F.size("argument_expr")).join(best, ["receiver_type", "method_name", "n"], "left").select(*sites.columns, "best.*")
-
-
-def argument_rows(sites: DataFrame, local: DataFrame, field: DataFrame) -> DataFrame:
-    """``callable_id, local_id, ordinal, argument_id, expression, type``: a row for each argument; the type of literals, creations and variables."""
-    each = sites.where("callable_id is not null").select("type_id", "callable_id", "local_id", F.posexplode(F.arrays_zip("argument_expr", "argument_ids")).alias("ordinal", "x"))
-    each = each.select("type_id", "callable_id", "local_id", "ordinal", F.col("x.argument_ids").alias("argument_id"), F.col("x.argument_expr").alias("expression"))
+def supertypes(typed: DataFrame, imported: DataFrame, package: DataFrame) -> tuple[DataFrame, DataFrame, resolution.Names]:
+    """``typed`` with ``ancestors``, the supertype table and what names mean.
+
+    Headers are resolved in the types around them, first without and then with the
+    member types that these inherit. What an anonymous class is made of is its
+    interface if it is one.
+    """
+    listed = lambda role: typed.select("file_key", "type_id", F.col("parent_id").alias("scope"), F.lit(role).alias("role"), F.posexplode(f"{role}_list").alias("ordinal", "spelling"))
+    rows = checkpointed(listed("extends").unionByName(listed("implements")).withColumn("scope", F.coalesce("scope", F.lit(""))))
+    known = resolution.names(typed, imported, package, None, J.JAVA_LANG)
+
+    def supers_and_above(known: resolution.Names) -> tuple[DataFrame, DataFrame]:
+        supers = checkpointed(rows.join(resolution.resolve(rows, known).drop("verdict"), ["file_key", "scope", "spelling"]).drop("scope"))
+        return supers, checkpointed(closure.closure(supers, "type_id", "resolved").toDF("type_id", "ancestor", "depth"))
+
+    supers, above = supers_and_above(known)
+    if not known.members.isEmpty():
+        known.above = above
+        supers, above = supers_and_above(known)
+    known.above = above
+    face = typed.where("kind in ('interface', 'annotation')").select(F.col("type_id").alias("resolved"), F.lit(True).alias("face"))
+    of_anonymous = F.regexp_extract("type_id", r"([^.]*)$", 1).startswith("$anon$") & (F.coalesce("face", F.lit(False)) | F.col("resolved").isin([f"java.lang.{x}" for x in J.INTERFACES]))
+    supers = checkpointed(supers.join(face, "resolved", "left").withColumn("role", F.when(of_anonymous, "implements").otherwise(F.col("role"))).drop("face"))
+    faced = supers.where("role = 'implements'").where(F.regexp_extract("type_id", r"([^.]*)$", 1).startswith("$anon$")).select("type_id", F.array("spelling").alias("faces"))
+    typed = typed.join(faced, "type_id", "left")
+    empty = F.array().cast("array<string>")
+    typed = typed.withColumns({"implements_list": F.coalesce("faces", "implements_list"), "extends_list": F.when(F.col("faces").isNotNull(), empty).otherwise(F.col("extends_list"))}).drop("faces")
+    ancestors = above.groupBy("type_id").agg(F.sort_array(F.collect_set("ancestor")).alias("ancestors"))
+    typed = checkpointed(typed.join(ancestors, "type_id", "left").withColumn("ancestors", F.coalesce("ancestors", empty)))
+    known.typed = typed
+    return typed, supers, known
+
+
+def argument_rows(sites: DataFrame, local: DataFrame, field: DataFrame, given: DataFrame) -> DataFrame:
+    """``callable_id, local_id, ordinal, argument_id, expression, type``: a row for each argument; variables and literals as declared, other expressions as ``given``."""
+    each = sites.where("callable_id is not null").select("file_key", "open_n", "type_id", "callable_id", "local_id", F.posexplode(F.arrays_zip("argument_expr", "argument_ids")).alias("ordinal", "x"))
+    each = each.select("file_key", "open_n", "type_id", "callable_id", "local_id", "ordinal", F.col("x.argument_ids").alias("argument_id"), F.col("x.argument_expr").alias("expression"))
+    each = each.join(given, ["file_key", "open_n", "ordinal"], "left").withColumn("given", F.when(~F.col("given").isin(resolution.UNKNOWN, resolution.LAMBDA, resolution.NULL), F.col("given")))
     each = each.join(local.withColumnRenamed("receiver", "expression"), ["callable_id", "expression"], "left").join(field.withColumnRenamed("receiver", "expression"), ["type_id", "expression"], "left")
     text = F.col("expression")
     kind = (
@@ -133,7 +148,7 @@ def argument_rows(sites: DataFrame, local: DataFrame, field: DataFrame) -> DataF
         .when(text.rlike(r"^-?[\d.][\d._]*([eE][-+]?\d+)?[dD]?$"), "double")
         .otherwise(F.nullif(F.regexp_extract(text, r"^new ([\w$.]+)(<[^()]*>)?\(", 1), F.lit("")))
     )
-    return each.select("callable_id", "local_id", "ordinal", "argument_id", "expression", F.coalesce("by_local", "by_field", kind).alias("type"))
+    return each.select("callable_id", "local_id", "ordinal", "argument_id", "expression", F.coalesce("by_local", "by_field", kind, "given").alias("type"))
 
 
 def owned_comments(comments: DataFrame, typed: DataFrame, found: DataFrame, declared: DataFrame) -> DataFrame:
@@ -158,25 +173,34 @@ def properties(frame: DataFrame, **names: str) -> Column:
     return F.map_filter(F.create_map(*[x for k in names for x in (F.lit(k), literal(k))]), lambda _, v: v.isNotNull())
 
 
-def call_edges(sites: DataFrame, typed: DataFrame, supers: DataFrame, found: DataFrame) -> DataFrame:
+def call_edges(sites: DataFrame, typed: DataFrame, known: resolution.Names, found: DataFrame) -> DataFrame:
     """``src, dst, weight`` between callables of the project: types that are created answer virtual calls.
 
-    Callees are matched by type and name; a static or constructor call has the
-    one type it names. Calls of a callable to itself are left out.
+    A constructor or static call, and one through ``super``, means the one callable
+    it resolves to. Any other is answered by each live type below the receiver, of
+    the project or of a library, with its nearest callable of the callee's
+    signature; where no callee is known, or it has type variables, of that name and
+    number of arguments. Calls of a callable to itself are left out.
     """
-    own = typed.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("descendant"), F.lit(0).alias("depth"))
-    up = closure.closure(supers.join(typed.select(F.col("type_id").alias("resolved")), "resolved", "left_semi"), "resolved", "type_id")
-    subtypes = own.unionByName(up.select("ancestor", "descendant", "depth"))
-    named = found.select("callable_id", F.col("type_id").alias("owner"), F.col("name").alias("signature"))
-    base = sites.where("callable_id is not null and receiver_type is not null").select(
-        F.concat_ws("@", "callable_id", "local_id").alias("site"), F.col("callable_id").alias("caller"), F.col("receiver_type").alias("receiver"), F.col("method_name").alias("signature"), "is_constructor_call", "is_static_call"
-    )
-    exact = base.where("is_constructor_call or is_static_call")
-    direct = exact.join(named, (F.col("receiver") == F.col("owner")) & (exact["signature"] == named["signature"])).select("caller", F.col("callable_id").alias("callee"), "site")
+    subtypes = typed.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("descendant"), F.lit(0).alias("depth")).unionByName(known.above.select("ancestor", F.col("type_id").alias("descendant"), "depth"))
+    by_arity = F.concat(F.col("name"), F.lit("/"), F.size("parameters"))
+    keyed = found.select("callable_id", F.col("type_id").alias("owner"), F.explode(F.array("erased_signature", by_arity)).alias("signature"))
+    variables = F.filter("parameter_types", lambda p: F.exists("variables", lambda v: F.array_contains(F.split(p, r"\W+"), v)))
+    own = typed.select(F.col("type_id").alias("t"), F.transform("type_parameters", lambda p: p["name"]).alias("class_variables"))
+    mine = F.transform(F.coalesce("type_parameters", F.array().cast("array<struct<name:string,bounds:array<string>>>")), lambda p: p["name"])
+    callee = found.join(own, F.col("type_id") == F.col("t")).withColumn("variables", F.concat("class_variables", mine))
+    callee = callee.select(F.col("callable_id").alias("callee_id"), F.when(F.size(variables) == 0, F.col("erased_signature")).alias("exact"))
+    base = sites.where("callable_id is not null and receiver_type is not null").join(callee, "callee_id", "left")
+    arity = F.concat(F.col("method_name"), F.lit("/"), F.size("argument_expr"))
+    base = base.select(
+        F.concat_ws("@", "callable_id", "local_id").alias("site"), F.col("callable_id").alias("caller"), F.col("receiver_type").alias("receiver"), F.coalesce("exact", arity).alias("signature"), "callee_id",
+        (F.col("is_constructor_call") | F.col("is_static_call") | F.coalesce(F.col("receiver") == "super", F.lit(False))).alias("direct"),
+    )
+    direct = base.where("direct and callee_id is not null").select("caller", F.col("callee_id").alias("callee"), "site")
+    # What is created, and types whose callables may be entered from outside: a type answers for itself.
     created = sites.where("is_constructor_call").select(F.col("receiver_type").alias("type")).unionByName(typed.where("name like '$anon$%' or name like '$enum$%' or kind = 'enum'").select(F.col("type_id").alias("type")))
-    # Callables without an instance anywhere are roots too: a type answers for itself.
     created = created.unionByName(found.select(F.col("type_id").alias("type")))
-    virtual = joins.virtual_targets(base.where("not is_constructor_call and not is_static_call"), subtypes, created, named)
+    virtual = joins.virtual_targets(base.where("not direct").drop("callee_id", "direct"), subtypes, created, keyed)
     pairs = direct.unionByName(virtual).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
     return merge.weighted_edges(pairs)
 

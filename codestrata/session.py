@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,16 +24,22 @@ def build_session(app: str = "codestrata", master: str = "local[*]", **conf: str
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut.
+    """``df`` written as a table to the checkpoint folder and read again, its lineage cut.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``. A
-    local session that names none gets a temporary one; on a cluster, where other
-    machines would not see it, that is an error.
+    A written table outlives any executor, has statistics that joins are planned
+    by, and carries no constraints of the plan that made it, which grow from one
+    checkpoint of rows to the next. The folder is the one that the session names in
+    ``spark.checkpoint.dir``. A local session that names none gets a temporary one;
+    on a cluster, where other machines would not see it, that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local["):
+    spark = df.sparkSession
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="codestrata-"))
-    return df.checkpoint()
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="codestrata-"))
+        folder = context.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

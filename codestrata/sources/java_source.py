@@ -31,6 +31,7 @@ JAVA_LANG = (
     "Void Class Enum Record Exception RuntimeException Error Throwable IllegalArgumentException IllegalStateException NullPointerException IndexOutOfBoundsException "
     "UnsupportedOperationException ClassCastException ArithmeticException InterruptedException CloneNotSupportedException Override Deprecated SuppressWarnings FunctionalInterface SafeVarargs AutoCloseable Cloneable Process"
 ).split()
+INTERFACES = "Runnable Comparable Iterable CharSequence AutoCloseable Cloneable Appendable Readable".split()
 PRIMITIVE = "int long short byte char boolean double float void var".split()
 
 
@@ -267,9 +268,11 @@ def scopes(code: DataFrame, parts: DataFrame) -> DataFrame:
     around = heads.select(F.col("file_key").alias("f"), F.col("open").alias("o"), F.col("shape").alias("outer_shape"), F.col("name").alias("outer_name"))
     heads = heads.join(around, (F.col("file_key") == F.col("f")) & (F.col("brace") == F.col("o")), "left")
     in_type = F.col("outer_shape").isin("type", "anonymous", "constant")
-    compact = in_type & F.regexp_extract("text", r"^(?:(?:public|protected|private) )?([\w$]+)$", 1).eqNullSafe(F.col("outer_name"))
+    lone = F.regexp_extract("text", r"^(?:(?:public|protected|private) )?([\w$]+)$", 1)
+    compact = (F.col("outer_shape") == "type") & (lone != "") & (lone == F.col("outer_name"))
+    named_alike = (F.col("outer_shape") == "type") & (F.col("name") == F.col("outer_name"))
     heads = heads.withColumn(
-        "kind", F.when(F.col("shape").isin("type", "anonymous", "constant"), "type").when(in_type & (F.col("shape").isin("method", "initializer") | compact), "callable").otherwise("block")
+        "kind", F.when(F.col("shape").isin("type", "anonymous", "constant"), "type").when(in_type & (F.col("shape").isin("method", "initializer") | F.coalesce(compact, F.lit(False))), "callable").otherwise("block")
     )
     number = F.row_number().over(Window.partitionBy("file_key", "brace", "shape").orderBy("open")) - 1
     heads = heads.withColumn("ordinal", number)
@@ -277,7 +280,7 @@ def scopes(code: DataFrame, parts: DataFrame) -> DataFrame:
         F.when(F.col("shape") == "anonymous", F.concat(F.lit("$anon$"), F.col("ordinal")))
         .when(F.col("shape") == "constant", F.concat(F.lit("$enum$"), F.col("constant")))
         .when((F.col("kind") == "callable") & (F.col("shape") == "initializer"), F.concat(F.when(F.col("text") == "static", "<clinit>$").otherwise("<instance-init>$"), F.col("ordinal")))
-        .when(compact | ((F.col("kind") == "callable") & F.col("name").eqNullSafe(F.col("outer_name"))), "<init>")
+        .when(F.coalesce(compact, F.lit(False)) | ((F.col("kind") == "callable") & F.coalesce(named_alike, F.lit(False))), "<init>")
         .otherwise(F.col("name"))
     )
     heads = heads.withColumn("name", label).drop("f", "o", "outer_shape", "outer_name")
@@ -452,10 +455,13 @@ def creations(code: DataFrame) -> DataFrame:
 def call_sites(code: DataFrame, scope: DataFrame) -> DataFrame:
     """Calls and creations: name, receiver word, anchor ``line:col`` and the callable around them."""
     named = (F.col("kind") == "word") & (F.col("after") == "(") & ~F.col("text").isin(*[w for w in CONTROL if w not in ("this", "super")])
-    places = scope.select("file_key", F.col("open").alias("brace"), "in_type", "in_callable")
+    places = scope.select("file_key", F.col("open").alias("brace"), "in_type", "in_callable", F.col("kind").alias("place"))
+    # Right in a type only initializers call: what stands behind an equals sign of its statement.
+    equals = code.where((F.col("text") == "=") & (F.col("within") == "{")).groupBy("file_key", "segment").agg(F.min("n").alias("equals"))
     found = code.where((F.col("kind") == "word") & F.col("after").isin("(", "<")).join(creations(code).drop("thrown"), ["file_key", "n"], "left")
     created = F.col("created_type").isNotNull()
-    found = found.where(named | created).join(places, ["file_key", "brace"])
+    found = found.where(named | created).join(places, ["file_key", "brace"]).join(equals, ["file_key", "segment"], "left")
+    found = found.where((F.col("place") != "type") | (F.col("n") > F.col("equals")))
     call = created | F.col("before").isin(".", "(", ",", "=", ";", "{", "}", "!", "&&", "||", "+", "-", "?", ":", "return", "->", ")", "==", "!=", "<", ">", "*", "/", "throw", "else", "[", "%", "+=")
     receiver = F.when(~created & (F.col("before") == ".") & F.col("before2").rlike(r"^[\w$\"]"), F.col("before2"))
     own = F.col("text").isin("this", "super") & (F.col("before") != ".")
@@ -467,14 +473,37 @@ def call_sites(code: DataFrame, scope: DataFrame) -> DataFrame:
         "created_type",
         receiver.alias("receiver"),
         (created | own).alias("is_constructor_call"),
+        F.col("text").alias("word"),
         F.concat_ws(":", "line", "col").alias("local_id"),
         F.coalesce("open_n", "after_n").alias("open_n"),
         "n",
+        F.when(~created & (F.col("before") == "."), F.col("stem.n")).alias("stem_n"),
+        F.when(~created & (F.col("before") == "."), F.col("stem.text")).alias("stem"),
         "line",
         "col",
     )
 
 
+def receiver_paths(code: DataFrame, sites: DataFrame) -> DataFrame:
+    """``file_key, n, path, rooted``: the words before each call with a receiver, and whether they begin the receiver (else what is before them does)."""
+    asked = sites.where("stem_n is not null").select("file_key", "n", "stem_n")
+    words = code.where("kind = 'word' and after = '.'").select("file_key", F.col("stem.n").alias("stem_n"), F.struct(F.col("n").alias("at"), "text", "before").alias("word"))
+    near = asked.join(words, ["file_key", "stem_n"]).where("word.at < n").groupBy("file_key", "n").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return near.select("file_key", "n", F.transform("words", lambda w: w["text"]).alias("path"), (F.get("words", 0)["before"] != ".").alias("rooted"))
+
+
+def bound_names(parts: DataFrame, scope: DataFrame) -> DataFrame:
+    """``file_key, in_callable, name, type, first``: names that patterns and catch clauses of callables bind."""
+    rest = r"(?: \. [\w$]+)*(?: <[\w$<>\[\]., ?&]*>)?(?: \[ \])*"
+    pattern = F.regexp_extract_all("body", F.lit(rf"\binstanceof (?:final )?[\w$]+{rest} (?!instanceof\b)[\w$]+(?= [&)|?;:]|$)"), F.lit(0))
+    caught = F.regexp_extract_all("body", F.lit(rf"\bcatch \( (?:final )?[\w$]+{rest} [\w$]+ \)"), F.lit(0))
+    texts = F.transform(F.concat(pattern, caught), lambda x: F.regexp_replace(x, r"^(?:instanceof|catch \() (?:final )?| \)$", ""))
+    found = parts.select("file_key", "brace", "first", F.explode(texts).alias("text"))
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), "in_callable")
+    kind = _spelled(F.regexp_extract("text", r"^(.*) [\w$]+$", 1))
+    return found.join(places, ["file_key", "brace"]).select("file_key", "in_callable", F.regexp_extract("text", r" ([\w$]+)$", 1).alias("name"), kind.alias("type"), "first")
+
+
 def _written(tokens: list[str]) -> str:
     """Tokens of an expression as source text, a blank only where two words would meet."""
     out = ""
@@ -483,44 +512,74 @@ def _written(tokens: list[str]) -> str:
     return out.replace(_ARRAY[0], "{").replace(_ARRAY[1], "}")
 
 
+#: Words after which an expression begins.
+_BEFORE = {"return", "throw", "case", "else", "assert", "yield", "do", "instanceof"}
+
+
 def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
-    """The arguments of each call of one file: their text and ``line:col``; commas in brackets and type arguments split nothing."""
+    """The calls of one file: arguments, and where each call's expression begins and ends.
+
+    Commas in brackets and type arguments split nothing. A call is the whole of an
+    argument if its expression begins and ends with it. ``head`` is the text of what
+    a call is made on, if that ends with a bracket that is no call's.
+    """
     frame = frame.sort_values("n")
+    numbers, texts = list(frame["n"]), list(frame["text"])
     open_calls: list[dict] = []
-    depth, out = 0, []
-    for n, text, at, is_call in zip(frame["n"], frame["text"], frame["at"], frame["is_call"], strict=True):
-        closes = text in ")]}" + _ARRAY[1]
-        if closes:
-            depth -= 1
-        if closes and open_calls and open_calls[-1]["depth"] == depth:
+    # For each depth: where the expression at hand begins, and whether it is still the type behind `new`.
+    begun: list[list] = [[None, False]]
+    ended: set[int] = set()
+    out = []
+    for i, (n, text, at, is_call) in enumerate(zip(numbers, texts, frame["at"], frame["is_call"], strict=True)):
+        closes, opens = text in ")]}" + _ARRAY[1], text in "([{" + _ARRAY[0]
+        if closes and len(begun) > 1:
+            begun.pop()
+        if closes and open_calls and open_calls[-1]["depth"] == len(begun):
             call = open_calls.pop()
             parts = [p for p in call["parts"] if p]
-            out.append((call["n"], [_written([t for t, _ in p]) for p in parts], [p[0][1] for p in parts]))
+            whole = [call["whole"].get((p[0][2], p[-1][2]), -1) for p in parts]
+            out.append((call["n"], n, call["begin"], call["head"], [_written([t for t, _, _ in p]) for p in parts], [p[0][1] for p in parts], whole))
+            ended.add(i)
+            if open_calls:
+                open_calls[-1]["whole"][call["begin"], n] = call["n"]
         for call in open_calls:
             now = call["parts"][-1]
-            typed = now and now[0][0] == "new" and sum((t == "<") - (t == ">") for t, _ in now) > 0
-            if text == "," and depth == call["depth"] + 1 and not typed:
+            typed = now and now[0][0] == "new" and sum((t == "<") - (t == ">") for t, _, _ in now) > 0
+            if text == "," and len(begun) == call["depth"] + 1 and not typed:
                 call["parts"].append([])
             else:
-                now.append((text, at))
-        if text in "([{" + _ARRAY[0]:
+                now.append((text, at, n))
+        here, before = begun[-1], texts[i - 1] if i else ""
+        word = text[0].isalnum() or text[0] in "_$\"'"
+        if not closes and not here[1]:
+            if text in _BEFORE or text in "{" + _ARRAY[0] or not (word or opens or text == "."):
+                here[:] = [None, False]
+            elif here[0] is None or (word and before != "."):
+                here[:] = [i, text == "new"]
+        if opens:
+            here[1] = False
             if is_call:
-                open_calls.append({"n": n, "depth": depth, "parts": [[]]})
-            depth += 1
-    rows = pd.DataFrame(out, columns=["open_n", "argument_expr", "argument_ids"])
+                bracketed = i > 2 and texts[i - 2] == "." and texts[i - 3] in ")]" and i - 3 not in ended and here[0] is not None
+                begin = None if here[0] is None else numbers[here[0]]
+                open_calls.append({"n": n, "depth": len(begun), "parts": [[]], "begin": begin, "head": _written(texts[here[0] : i - 2]) if bracketed else None, "whole": {}})
+            begun.append([None, False])
+    rows = pd.DataFrame(out, columns=["open_n", "close_n", "begin_n", "head", "argument_expr", "argument_ids", "argument_calls"])
     rows.insert(0, "file_key", frame["file_key"].iloc[0])
-    return rows
+    return rows.astype({"begin_n": "Int64"})
 
 
 def call_arguments(code: DataFrame, sites: DataFrame) -> DataFrame:
-    """``file_key, open_n, argument_expr, argument_ids``: source text and anchor of each argument of each call.
+    """``file_key, open_n, close_n, begin_n, head, argument_expr, argument_ids, argument_calls`` of each call.
 
-    The tokens of one file go through one call of a small function, a walk over
-    its brackets.
+    Source text and anchor of each argument, the bracket of the call that is the
+    whole of it (-1 for none), the tokens with which the call's expression begins
+    and ends, and the text of a receiver in brackets. The tokens of one file go
+    through one call of a small function, a walk over its brackets.
     """
     calls = sites.select("file_key", F.col("open_n").alias("n"), F.lit(True).alias("is_call")).distinct()
     rows = code.select("file_key", "n", "text", F.concat_ws(":", "line", "col").alias("at")).join(calls, ["file_key", "n"], "left").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
-    return rows.groupBy("file_key").applyInPandas(_arguments, "file_key string, open_n long, argument_expr array<string>, argument_ids array<string>")
+    schema = "file_key string, open_n long, close_n long, begin_n long, head string, argument_expr array<string>, argument_ids array<string>, argument_calls array<long>"
+    return rows.groupBy("file_key").applyInPandas(_arguments, schema)
 
 
 def thrown(code: DataFrame, scope: DataFrame) -> DataFrame:
@@ -532,9 +591,10 @@ def thrown(code: DataFrame, scope: DataFrame) -> DataFrame:
 
 
 def complexity(code: DataFrame, scope: DataFrame) -> DataFrame:
-    """``file_key, in_callable, cyclomatic``: 1 and a point for each branch in the callable's own scope."""
-    places = scope.select("file_key", F.col("open").alias("brace"), "in_callable").where("in_callable is not null")
-    branch = F.col("text").isin("if", "for", "while", "case", "default", "catch") | ((F.col("text") == "?") & ~F.col("before").isin("<", ","))
+    """``file_key, in_callable, cyclomatic``: 1 and a point for each branch in the callable's own scope; the arms of a switch that is an expression are none."""
+    valued = ~F.col("text").rlike(r"^(?:[\w$]+ : )?switch \(") & F.col("text").rlike(r"\bswitch \([^;]*\)$")
+    places = scope.where("in_callable is not null").select("file_key", F.col("open").alias("brace"), "in_callable", valued.alias("valued"))
+    branch = F.col("text").isin("if", "for", "while", "catch") | (F.col("text").isin("case", "default") & ~F.col("valued")) | ((F.col("text") == "?") & ~F.col("before").isin("<", ","))
     points = code.join(places, ["file_key", "brace"]).groupBy("file_key", "in_callable").agg(F.sum(F.when(branch & (F.col("before") != "@"), 1).otherwise(0)).alias("points"))
     return points.select("file_key", "in_callable", (F.col("points") + 1).alias("cyclomatic"))
 
