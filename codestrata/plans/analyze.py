@@ -53,7 +53,7 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     typed, found = rules.mark_entrypoints(typed, found)
     typed, found = checkpointed(typed), checkpointed(found)
 
-    declared = J.variables(scope, parts)
+    declared = J.variables(scope, parts, code)
     inside = typed.select("file_key", F.col("scope").alias("in_type"), "type_id")
     own = found.where("open is not null").select("file_key", F.col("open").alias("in_callable"), "callable_id")
     declared = checkpointed(declared.join(inside, ["file_key", "in_type"], "left").join(own, ["file_key", "in_callable"], "left"))
@@ -63,8 +63,11 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     params = found.select("callable_id", F.explode("parameters").alias("p")).select("callable_id", F.col("p.name").alias("receiver"), F.col("p.type").alias("by_local"))
     local = merge.first_wins(local.unionByName(params), ["callable_id", "receiver"], "by_local")
     field = declared.where("owner = 'field'").groupBy("type_id", F.col("name").alias("receiver")).agg(F.min("type").alias("by_field"))
-    calls = checkpointed(J.call_arguments(code, sites))
-    scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls)
+    walked = checkpointed(J.call_arguments(code, sites, declared))
+    calls = walked.where("not is_value").drop("is_value")
+    values = walked.where("is_value").select("file_key", F.col("open_n").alias("equals_n"), "begin_n", "close_n")
+    declared = checkpointed(declared.join(J.initializers(files, code, values), ["file_key", "equals_n"], "left"))
+    scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls, values)
     facts, given = typing.typed_sites(scopes, code, sites, calls)
     access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
     about = found.select(F.col("callable_id").alias("callee_id"), access.alias("accessibility"), F.array_contains("modifiers", "static").alias("callee_static"))
@@ -239,16 +242,19 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     for kind, name in (("type", "referenced_types"), ("field", "accessed_fields")):
         bodies = bodies.join(target(kind, name), c("callable_id") == c("of"), "left").drop("of")
     bodies = bodies.withColumns({"is_constructor": c("kind") == "constructor", "thrown_exceptions": F.array_distinct(F.concat("thrown", "raised"))})
+    bodies = bodies.where("kind != 'initializer'")
+    in_block = r"#<(?:clinit|instance-init)>\$(\d+)\(\)$"
+    around = F.regexp_replace("callable_id", in_block, "#init#$1")
     param = a.callables.select("file_key", "callable_id", F.posexplode("parameters").alias("i", "p")).select("file_key", "callable_id", "i", "p.*").withColumn("id", text(c("callable_id"), F.lit("#param#"), c("i")))
     field = a.variables.where("owner = 'field' and type_id is not null").withColumn("id", text(c("type_id"), F.lit("#field#"), c("name")))
-    local = a.variables.where("owner = 'local' and callable_id is not null").withColumn("id", text(c("callable_id"), F.lit("#var#"), c("name"), F.lit("@"), c("line")))
+    local = a.variables.where("owner = 'local' and callable_id is not null").withColumn("callable_id", around).withColumn("id", text(c("callable_id"), F.lit("#var#"), c("name"), F.lit("@"), c("line")))
     given = a.arguments.groupBy("callable_id", "local_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", F.coalesce("type", F.lit("")).alias("type")))), lambda x: x["type"]).alias("argument_types"))
-    site = a.call_sites.where("callable_id is not null").join(given, ["callable_id", "local_id"], "left").withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
+    site = a.call_sites.where("callable_id is not null").join(given, ["callable_id", "local_id"], "left").withColumn("callable_id", around).withColumn("id", text(c("callable_id"), F.lit("@"), c("local_id")))
     site = checkpointed(site.withColumn("callee_signature", F.nullif(F.regexp_extract("callee_id", "#(.*)$", 1), F.lit(""))))
     owned = a.types.select("type_id", "file_key")
     constant = a.enum_constants.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#enum#"), c("name")))
     component = a.record_components.join(owned, "type_id").withColumn("id", text(c("type_id"), F.lit("#rec#"), c("name")))
-    block = a.callables.where("kind = 'initializer'").withColumn("id", text(c("type_id"), F.lit("#init#"), F.regexp_extract("name", r"(\d+)$", 1)))
+    block = a.callables.where("kind = 'initializer'").withColumns({"id": text(c("type_id"), F.lit("#init#"), F.regexp_extract("name", r"(\d+)$", 1)), "is_static": c("name").startswith("<clinit>")})
     note = notes.withColumn("id", text(c("file_key"), F.lit("#comment@"), c("line"), F.lit(":"), c("col")))
     marks = listed(a.types, "type_id").toDF("owner", "name", "file_key").unionByName(listed(a.callables, "callable_id").toDF("owner", "name", "file_key"))
     single = a.imports.where("not is_static and not is_wildcard")
@@ -276,7 +282,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         node(site, "JCallSite", c("id"), c("method_name"), **named("method_name", "receiver_type", "callee_signature", "argument_types", "argument_expr", "is_static_call", "is_constructor_call", receiver_expr="receiver", start_line="line", start_column="col")),
         node(constant, "JEnumConstant", c("id"), c("name"), **named("arguments")),
         node(component, "JRecordComponent", c("id"), c("name"), **named("type", "is_variadic", "default_value")),
-        node(block, "JInitializationBlock", c("id"), c("name"), **named("start_line", "end_line")),
+        node(block, "JInitializationBlock", c("id"), c("name"), **named("start_line", "end_line", "is_static", cyclomatic_complexity="cyclomatic")),
         node(fact, "JCrudOperation", c("id"), c("kind"), **named(operation_type="kind", line_number="line")),
         node(query, "JCrudQuery", c("id"), c("kind"), **named(query_type="kind", line_number="line", query_arguments="argument_expr")),
         node(note, "JComment", c("id"), c("content"), **named("content", "is_javadoc", start_line="line", end_line="end_line")),
@@ -291,7 +297,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         edge(a.files, "J_HAS_UNIT", F.lit(app), c("file_key")),
         edge(a.types.where("parent_id is null"), "J_DECLARES_TYPE", c("file_key"), c("type_id")),
         edge(nested, "J_HAS_NESTED_TYPE", c("parent_id"), c("type_id")),
-        edge(a.callables, "J_HAS_CALLABLE", c("type_id"), c("callable_id")),
+        edge(a.callables.where("kind != 'initializer'"), "J_HAS_CALLABLE", c("type_id"), c("callable_id")),
         edge(param, "J_HAS_PARAMETER", c("callable_id"), c("id")),
         edge(field, "J_HAS_FIELD", c("type_id"), c("id")),
         edge(local, "J_DECLARES_VAR", c("callable_id"), c("id")),
@@ -306,7 +312,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         edge(single, "J_IMPORTS", c("file_key"), c("path"), **named("is_static", "is_wildcard")),
         edge(pack, "J_IMPORTS", c("file_key"), c("target"), **named("is_static", "is_wildcard")),
     ]
-    calls = a.call_edges.withColumn("kind", F.lit("CALL_DEP"))
+    calls = a.call_edges.where(~c("src").rlike(in_block)).withColumn("kind", F.lit("CALL_DEP"))
     gated = [
         edge(a.supertypes.where("role = 'extends'"), "J_EXTENDS", c("type_id"), c("resolved")),
         edge(a.supertypes.where("role = 'implements'"), "J_IMPLEMENTS", c("type_id"), c("resolved")),

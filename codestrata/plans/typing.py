@@ -46,7 +46,7 @@ def literal_type(text: Column) -> Column:
 class Scopes:
     """What names mean in types and callables: declared types, erased, as tables."""
 
-    def __init__(self, code, parts, scope, typed, supers, known: Names, found, declared, sites, calls):
+    def __init__(self, code, parts, scope, typed, supers, known: Names, found, declared, sites, calls, values):
         self.known, self.typed = known, typed
         self.variables = checkpointed(resolution.type_variables(typed, found, known))
         own = found.where("open is not null").select("file_key", F.col("open").alias("in_callable"), "callable_id", "type_id")
@@ -79,28 +79,25 @@ class Scopes:
         constants = J.enum_constants(scope, parts, typed).select("type_id", "name", F.col("type_id").alias("erased"))
         fields = fields.select("type_id", "name", "erased").unionByName(components.select("type_id", "name", "erased")).unionByName(constants)
         self.fields = checkpointed(fields.groupBy(F.col("type_id").alias("holder"), F.col("name").alias("field")).agg(F.min("erased").alias("field_type")))
-        local = self._meant(declared.where("owner = 'local' and callable_id is not null").select("file_key", "callable_id", "name", "first", "initializer", F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
-        given = self._meant(params.select("file_key", "callable_id", F.col("p.name").alias("name"), F.lit(-1).alias("first"), F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), "spelling"))
-        held = self._meant(bound.select("file_key", "callable_id", "name", "first", F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
-        columns = ["file_key", "callable_id", "name", F.col("first").cast("long").alias("first"), "initializer", "erased"]
+        local = self._meant(declared.where("owner = 'local' and callable_id is not null").select("file_key", "callable_id", "name", "first", "equals_n", "initializer", F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
+        given = self._meant(params.select("file_key", "callable_id", F.col("p.name").alias("name"), F.lit(-1).alias("first"), F.lit(None).cast("long").alias("equals_n"), F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), "spelling"))
+        held = self._meant(bound.select("file_key", "callable_id", "name", "first", F.lit(None).cast("long").alias("equals_n"), F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
+        columns = ["file_key", "callable_id", "name", F.col("first").cast("long").alias("first"), F.col("equals_n").cast("long").alias("equals_n"), "initializer", "erased"]
         local = local.select(*columns).unionByName(given.select(*columns)).unionByName(held.select(*columns))
-        self.locals = checkpointed(self._inferred(local, code, parts, calls))
+        self.locals = checkpointed(self._inferred(local, calls, values))
         self.top = supers.where("role = 'extends' and ordinal = 0").join(typed.where("kind = 'class'").select("type_id"), "type_id").select("type_id", F.array("resolved").alias("up"))
 
     def _meant(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.meaning, ["file_key", "owner", "spelling"], "left")
 
     @staticmethod
-    def _inferred(local: DataFrame, code: DataFrame, parts: DataFrame, calls: DataFrame) -> DataFrame:
+    def _inferred(local: DataFrame, calls: DataFrame, values: DataFrame) -> DataFrame:
         """``var`` takes the type of its initializer: a literal's, or that of the call that is all of it (``dep``)."""
-        equals = code.where("text = '=' and within = '{'").groupBy("file_key", "segment").agg(F.min_by("after_n", "n").alias("from_n"))
-        ends = code.select("file_key", "segment", F.col("n").alias("to_n"), F.col("after_n").alias("last"))
-        spans = parts.where("ends = ';'").select("file_key", "segment", F.col("first").cast("long").alias("first"), "last").join(equals, ["file_key", "segment"]).join(ends, ["file_key", "segment", "last"])
-        whole = calls.select("file_key", F.col("begin_n").alias("from_n"), F.col("close_n").alias("to_n"), F.col("open_n").alias("dep"))
-        spans = spans.join(whole, ["file_key", "from_n", "to_n"]).select("file_key", "first", "dep")
+        whole = calls.select("file_key", "begin_n", "close_n", F.col("open_n").alias("dep"))
+        spans = values.join(whole, ["file_key", "begin_n", "close_n"]).select("file_key", "equals_n", "dep")
         local, spans = checkpointed(local), checkpointed(spans)
         waits = F.col("erased") == "var"
-        out = local.join(spans, ["file_key", "first"], "left").withColumn("dep", F.when(waits, F.col("dep")))
+        out = local.join(spans, ["file_key", "equals_n"], "left").withColumn("dep", F.when(waits, F.col("dep")))
         known = F.when(~waits, F.col("erased")).otherwise(literal_type(F.col("initializer")))
         return out.select("callable_id", "name", "first", known.alias("type"), "dep")
 

@@ -407,8 +407,8 @@ def with_implicit_constructors(found: DataFrame, typed: DataFrame) -> DataFrame:
     return found.unionByName(made.withColumns({"modifiers": empty, "annotations": empty, "thrown": empty}), allowMissingColumns=True)
 
 
-def variables(scope: DataFrame, parts: DataFrame) -> DataFrame:
-    """``file_key, scope, owner, name, type, initializer, line``: fields (owner ``field``) and locals, a row for each variable."""
+def variables(scope: DataFrame, parts: DataFrame, code: DataFrame) -> DataFrame:
+    """``file_key, scope, owner, name, type, equals_n, line``: fields (owner ``field``) and locals, a row for each variable; ``equals_n`` is the sign before its initializer."""
     places = scope.select("file_key", F.col("open").alias("brace"), F.col("in_type"), F.col("in_callable"), F.col("kind").alias("place"))
     rows = parts.where("ends in (';', '{')").withColumn("text", F.regexp_replace(bare(F.col("body")), r"^(for|try) \( ?", "")).join(places, ["file_key", "brace"])
     shape = r"^(?:(?:" + "|".join(MODIFIERS) + r") )*([\w$]+(?: \. [\w$]+)*(?: <[\w$<>\[\]., ?&]*>)?(?: \[ \])*) ([\w$]+)(?: \[ \])*(?: (=|:) (.*?)|( ,.*))?$"
@@ -420,17 +420,30 @@ def variables(scope: DataFrame, parts: DataFrame) -> DataFrame:
     flat = F.regexp_replace(F.coalesce("value", F.lit("")), r"\([^()]*(\([^()]*\)[^()]*)*\)|<[^<>]*>|\"[^\"]*\"", "")
     later = F.slice(F.split(F.concat(flat, "more"), " , ?"), 2, 1000)
     names = F.concat(F.array("name"), F.filter(F.transform(later, lambda x: F.regexp_extract(x, r"^ ?([\w$]+)(?: =.*|(?: \[ \])*)$", 1)), lambda x: x != ""))
-    return rows.select(
+    signs = code.where("kind = 'word' and after = '='").groupBy("file_key", "segment", F.col("text").alias("name")).agg(F.min("after_n").alias("equals_n"))
+    rows = rows.select(
         "file_key",
+        "segment",
         F.when(F.col("place") == "type", F.lit("field")).otherwise("local").alias("owner"),
         "in_type",
         "in_callable",
         F.explode(names).alias("name"),
         _spelled(F.col("type_text")).alias("type"),
-        F.nullif(_restored(F.col("value")), F.lit("")).alias("initializer"),
         "first",
         "line",
     )
+    return rows.join(signs, ["file_key", "segment", "name"], "left").drop("segment")
+
+
+def initializers(files: DataFrame, code: DataFrame, spans: DataFrame) -> DataFrame:
+    """``file_key, equals_n, initializer``: the source text of each span from token ``begin_n`` to ``close_n``; a file's text is read once."""
+    place = code.select("file_key", "n", "start", F.length("text").alias("size"))
+    begin = place.select("file_key", F.col("n").alias("begin_n"), F.col("start").alias("from_at"))
+    end = place.select("file_key", F.col("n").alias("close_n"), (F.col("start") + F.col("size")).alias("to_at"))
+    at = spans.join(begin, ["file_key", "begin_n"]).join(end, ["file_key", "close_n"])
+    each = at.groupBy("file_key").agg(F.collect_list(F.struct("equals_n", "from_at", "to_at")).alias("spans")).join(files.select("file_key", "source"), "file_key")
+    cut = F.transform("spans", lambda s: F.struct(s["equals_n"].alias("equals_n"), F.substring(F.col("source"), (s["from_at"] + 1).cast("int"), (s["to_at"] - s["from_at"]).cast("int")).alias("initializer")))
+    return each.select("file_key", F.explode(cut).alias("x")).select("file_key", "x.*")
 
 
 def creations(code: DataFrame) -> DataFrame:
@@ -526,11 +539,12 @@ def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("n")
     numbers, texts = list(frame["n"]), list(frame["text"])
     open_calls: list[dict] = []
+    open_values: list[dict] = []
     # For each depth: where the expression at hand begins, and whether it is still the type behind `new`.
     begun: list[list] = [[None, False]]
     ended: set[int] = set()
     out = []
-    for i, (n, text, at, is_call) in enumerate(zip(numbers, texts, frame["at"], frame["is_call"], strict=True)):
+    for i, (n, text, at, is_call, is_value) in enumerate(zip(numbers, texts, frame["at"], frame["is_call"], frame["is_value"], strict=True)):
         closes, opens = text in ")]}" + _ARRAY[1], text in "([{" + _ARRAY[0]
         if closes and len(begun) > 1:
             begun.pop()
@@ -538,10 +552,22 @@ def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
             call = open_calls.pop()
             parts = [p for p in call["parts"] if p]
             whole = [call["whole"].get((p[0][2], p[-1][2]), -1) for p in parts]
-            out.append((call["n"], n, call["begin"], call["head"], [_written([t for t, _, _ in p]) for p in parts], [p[0][1] for p in parts], whole))
+            out.append((call["n"], n, call["begin"], call["head"], [_written([t for t, _, _ in p]) for p in parts], [p[0][1] for p in parts], whole, False))
             ended.add(i)
             if open_calls:
                 open_calls[-1]["whole"][call["begin"], n] = call["n"]
+        # A value ends at a semicolon, where its bracket closes, or at the comma before another variable.
+        while open_values and len(begun) <= open_values[-1]["depth"]:
+            value, inside = open_values[-1], len(begun) == open_values[-1]["depth"]
+            another = text == "," and value["angles"] <= 0 and i + 2 < len(texts) and texts[i + 2] in ("=", ",", ";", "[")
+            if inside and not (text == ";" or another):
+                value["angles"] += (text == "<") - (text == ">")
+                break
+            open_values.pop()
+            if value["i"] + 1 < i:
+                out.append((value["n"], numbers[i - 1], numbers[value["i"] + 1], None, [], [], [], True))
+        if is_value:
+            open_values.append({"n": n, "i": i, "depth": len(begun), "angles": 0})
         for call in open_calls:
             now = call["parts"][-1]
             typed = now and now[0][0] == "new" and sum((t == "<") - (t == ">") for t, _, _ in now) > 0
@@ -563,22 +589,25 @@ def _arguments(frame: pd.DataFrame) -> pd.DataFrame:
                 begin = None if here[0] is None else numbers[here[0]]
                 open_calls.append({"n": n, "depth": len(begun), "parts": [[]], "begin": begin, "head": _written(texts[here[0] : i - 2]) if bracketed else None, "whole": {}})
             begun.append([None, False])
-    rows = pd.DataFrame(out, columns=["open_n", "close_n", "begin_n", "head", "argument_expr", "argument_ids", "argument_calls"])
+    rows = pd.DataFrame(out, columns=["open_n", "close_n", "begin_n", "head", "argument_expr", "argument_ids", "argument_calls", "is_value"])
     rows.insert(0, "file_key", frame["file_key"].iloc[0])
     return rows.astype({"begin_n": "Int64"})
 
 
-def call_arguments(code: DataFrame, sites: DataFrame) -> DataFrame:
-    """``file_key, open_n, close_n, begin_n, head, argument_expr, argument_ids, argument_calls`` of each call.
+def call_arguments(code: DataFrame, sites: DataFrame, declared: DataFrame) -> DataFrame:
+    """``file_key, open_n, close_n, begin_n, head, argument_expr, argument_ids, argument_calls, is_value`` of each call and initializer.
 
-    Source text and anchor of each argument, the bracket of the call that is the
-    whole of it (-1 for none), the tokens with which the call's expression begins
-    and ends, and the text of a receiver in brackets. The tokens of one file go
-    through one call of a small function, a walk over its brackets.
+    Of a call: source text and anchor of each argument, the bracket of the call that
+    is the whole of it (-1 for none), the tokens with which the call's expression
+    begins and ends, and the text of a receiver in brackets. Of an initializer, whose
+    ``open_n`` is the sign before it: its first and last token. The tokens of one
+    file go through one call of a small function, a walk over its brackets.
     """
-    calls = sites.select("file_key", F.col("open_n").alias("n"), F.lit(True).alias("is_call")).distinct()
-    rows = code.select("file_key", "n", "text", F.concat_ws(":", "line", "col").alias("at")).join(calls, ["file_key", "n"], "left").withColumn("is_call", F.coalesce("is_call", F.lit(False)))
-    schema = "file_key string, open_n long, close_n long, begin_n long, head string, argument_expr array<string>, argument_ids array<string>, argument_calls array<long>"
+    marks = sites.select("file_key", F.col("open_n").alias("n"), F.lit(1).alias("mark")).unionByName(declared.where("equals_n is not null").select("file_key", F.col("equals_n").alias("n"), F.lit(2).alias("mark")))
+    marks = marks.groupBy("file_key", "n").agg(F.max("mark").alias("mark"))
+    rows = code.select("file_key", "n", "text", F.concat_ws(":", "line", "col").alias("at")).join(marks, ["file_key", "n"], "left")
+    rows = rows.select("file_key", "n", "text", "at", F.coalesce(F.col("mark") == 1, F.lit(False)).alias("is_call"), F.coalesce(F.col("mark") == 2, F.lit(False)).alias("is_value"))
+    schema = "file_key string, open_n long, close_n long, begin_n long, head string, argument_expr array<string>, argument_ids array<string>, argument_calls array<long>, is_value boolean"
     return rows.groupBy("file_key").applyInPandas(_arguments, schema)
 
 

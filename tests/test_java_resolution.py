@@ -2,7 +2,7 @@
 
 import pytest
 
-from codestrata.plans.analyze import analyze
+from codestrata.plans.analyze import analyze, property_graph
 from codestrata.sources import java_source as J
 
 FILES = {
@@ -93,7 +93,7 @@ def test_constructors(sites, analysis):
     assert [(a, t, c) for i, m, a, t, c in sites if i == "p.A#<init>()"] == [("1", "p.A", "p.A#<init>(int)")]
     assert [(t, c) for i, m, a, t, c in sites if i == "p.A#<init>(int)"] == [("p.Base", "p.Base#<init>()")]
     edges = {(r.src, r.dst): r.weight for r in analysis.call_edges.collect()}
-    assert edges[CALLS, "p.A#<init>()"] == edges[CALLS, "p.A#<init>(int)"] == edges[CALLS, "p.A#<init>(Integer, String[])"] == 1
+    assert [edges[CALLS, f"p.A#<init>({x})"] for x in ("", "int", "Integer, String[]")] == [1, 2, 1]
 
 
 def test_receivers_of_all_forms(sites):
@@ -139,3 +139,34 @@ def test_no_call_where_something_is_declared(sites):
 def test_switch_expressions_have_no_branches_of_their_own(analysis):
     points = {r.callable_id: r.cyclomatic for r in analysis.callables.collect()}
     assert points["p.Pick#choose(int)"] == 1 and points["p.Pick#old(int)"] == 3
+
+
+def test_initializers_and_blocks(spark):
+    source = """package z;
+class Z {
+    int[] xs = {1, 2}, ys = new int[] { 3 };
+    String f = "a, b; c", g = null;
+    java.util.Map<String, Integer> m = new java.util.HashMap<String, Integer>(), k;
+    Runnable r = () -> { int in = 1; };
+    static { int s = make(); }
+    static int make() {
+        for (int i = 0, j = i + 1; i < j; i++) { }
+        try (AutoCloseable c = open( 1 )) { }
+        int v = switch (xs.length) { case 1 -> 10; default -> 30; };
+        for (String x : names) { }
+        return v;
+    }
+}
+"""
+    found = analyze(J.from_rows(spark.createDataFrame([("app", "z/Z.java", source)], "app string, file_key string, source string")))
+    got = {r.name: r.initializer for r in found.variables.collect()}
+    assert got == {
+        "xs": "{1, 2}", "ys": "new int[] { 3 }", "f": '"a, b; c"', "g": "null", "m": "new java.util.HashMap<String, Integer>()", "k": None, "r": "() -> { int in = 1; }", "in": "1",
+        "s": "make()", "i": "0", "j": "i + 1", "c": "open( 1 )", "v": "switch (xs.length) { case 1 -> 10; default -> 30; }", "x": None,
+    }
+    nodes, edges = property_graph(found, "app")
+    keys = {r.key for r in nodes.collect()}
+    assert "z.Z#init#0" in keys and not any("<clinit>" in k for k in keys)
+    pairs = {(r.type, r.src, r.dst) for r in edges.collect()}
+    assert {("J_HAS_INIT_BLOCK", "z.Z", "z.Z#init#0"), ("J_HAS_CALLSITE", "z.Z#init#0", "z.Z#init#0@7:22"), ("J_RESOLVES_TO", "z.Z#init#0@7:22", "z.Z#make()")} <= pairs
+    assert not any("<clinit>" in x for p in pairs for x in p)
