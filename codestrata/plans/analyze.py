@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cypher_list, cypher_string, durable_id
-from ..operators import closure, gate, joins, merge, resolution, rules
+from ..operators import closure, gate, intervals, joins, merge, resolution, rules
 from ..session import checkpointed
 from ..sources import java_source as J
 from . import typing
@@ -51,6 +51,15 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     found = found.join(J.complexity(code, scope).withColumnRenamed("in_callable", "open"), ["file_key", "open"], "left").withColumn("cyclomatic", F.coalesce("cyclomatic", F.lit(1)))
     found = found.withColumn("callable_id", F.concat_ws("#", "type_id", "signature"))
     typed, found = rules.mark_entrypoints(typed, found)
+    # The body of a callable as it stands in the source, and the line of its brace; none of an abstract or implicit one.
+    bodies = found.where("open is not null").select("file_key", F.col("open").cast("long").alias("begin_n"), F.col("last").cast("long").alias("close_n"), F.col("open").cast("long").alias("id"))
+    lines = code.select("file_key", F.col("n").cast("long").alias("id"), F.col("line").cast("int").alias("code_start_line"))
+    bodies = J.source_texts(files, code, bodies, "code").join(lines, ["file_key", "id"]).withColumnRenamed("id", "open")
+    found = J.byte_spans(found.withColumn("open", F.col("open").cast("long")).join(bodies, ["file_key", "open"], "left"), code)
+    found = found.withColumns({"code": F.coalesce("code", F.lit("")), "code_start_line": F.coalesce("code_start_line", F.lit(-1))})
+    # An anonymous class is its body: what is before the brace belongs to the callable that creates it.
+    unnamed = F.col("name").startswith("$anon$") | F.col("name").startswith("$enum$")
+    typed = J.byte_spans(typed.withColumn("from_n", F.when(unnamed, F.col("scope")).otherwise(F.col("first"))), code, "from_n").drop("from_n")
     typed, found = checkpointed(typed), checkpointed(found)
 
     declared = J.variables(scope, parts, code)
@@ -66,18 +75,20 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     walked = checkpointed(J.call_arguments(code, sites, declared))
     calls = walked.where("not is_value").drop("is_value")
     values = walked.where("is_value").select("file_key", F.col("open_n").alias("equals_n"), "begin_n", "close_n")
-    declared = checkpointed(declared.join(J.initializers(files, code, values), ["file_key", "equals_n"], "left"))
+    texts = J.source_texts(files, code, values.withColumnRenamed("equals_n", "id"), "initializer").withColumnRenamed("id", "equals_n")
+    declared = checkpointed(declared.join(texts, ["file_key", "equals_n"], "left"))
     scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls, values)
     facts, given = typing.typed_sites(scopes, code, sites, calls)
     access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
     about = found.select(F.col("callable_id").alias("callee_id"), access.alias("accessibility"), F.array_contains("modifiers", "static").alias("callee_static"))
-    sites = sites.join(facts, ["file_key", "open_n"], "left").join(calls.select("file_key", "open_n", "argument_expr", "argument_ids"), ["file_key", "open_n"], "left").join(about, "callee_id", "left")
+    sites = sites.join(facts, ["file_key", "open_n"], "left").join(calls.select("file_key", "open_n", "begin_n", "close_n", "argument_expr", "argument_ids"), ["file_key", "open_n"], "left").join(about, "callee_id", "left")
     none = F.array().cast("array<string>")
     static = ~F.col("is_constructor_call") & (F.coalesce("static", F.lit(False)) | F.coalesce("callee_static", F.lit(False)))
     sites = sites.select(
         "file_key", "type_id", "callable_id", "method_name", "receiver", "receiver_type", "is_constructor_call", static.alias("is_static_call"), "local_id", "line", "col", "open_n",
-        F.coalesce("argument_expr", none).alias("argument_expr"), F.coalesce("argument_ids", none).alias("argument_ids"), "return_type", "callee_id", "accessibility",
+        F.coalesce("argument_expr", none).alias("argument_expr"), F.coalesce("argument_ids", none).alias("argument_ids"), "return_type", "callee_id", "accessibility", F.coalesce("begin_n", "open_n").alias("begin_n"), "close_n",
     )
+    sites = J.byte_spans(sites, code, "begin_n", "close_n").drop("begin_n", "close_n")
     sites = checkpointed(sites.withColumns({"crud_operation": rules.crud_operation(compat=compat), "crud_query": rules.crud_query(compat=compat)}))
     arguments = argument_rows(sites, local, field, given)
     erased = F.concat("name", F.lit("("), F.array_join("wanted", ", "), F.lit(")"))
@@ -275,7 +286,7 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
         node(marks, "JAnnotation", c("name"), c("name"), None),
         node(units, "JCompilationUnit", c("file_key"), c("file_key"), **named("package_name", "content_hash", "comment_count", file_path="file_key")),
         node(kinds, "JType", c("type_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint_class"), **named("kind", "modifiers", "annotations", "extends_list", "implements_list", "is_interface", "is_nested_type", "is_inner_class", "is_local_class", "is_entrypoint_class", "docstring", fqn="type_id", parent_type="parent_id")),
-        node(bodies, "JCallable", c("callable_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint"), **named("signature", "declaration", "return_type", "modifiers", "annotations", "thrown_exceptions", "parameter_types", "referenced_types", "accessed_fields", "start_line", "end_line", "is_constructor", "is_implicit", "is_entrypoint", "docstring", cyclomatic_complexity="cyclomatic")),
+        node(bodies, "JCallable", c("callable_id"), c("name"), "file_key", "JSymbol", c("is_entrypoint"), **named("signature", "declaration", "return_type", "modifiers", "annotations", "thrown_exceptions", "parameter_types", "referenced_types", "accessed_fields", "start_line", "end_line", "code", "code_start_line", "is_constructor", "is_implicit", "is_entrypoint", "docstring", cyclomatic_complexity="cyclomatic")),
         node(param, "JParameter", c("id"), c("name"), **named("type", "is_variadic")),
         node(field, "JField", c("id"), c("name"), **named("type", "initializer", start_line="line")),
         node(local, "JVariable", c("id"), c("name"), **named("type", "initializer", start_line="line")),
@@ -330,6 +341,14 @@ def property_graph(a: Analysis, app: str) -> tuple[DataFrame, DataFrame]:
     return nodes, checkpointed(edges)
 
 
+def innermost_owners(a: Analysis) -> DataFrame:
+    """``file_key, callable_id, local_id, owner``: the innermost type or callable whose bytes hold each call site."""
+    spans = a.types.select("file_key", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("type_id").alias("owner"))
+    spans = spans.unionByName(a.callables.select("file_key", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"), F.col("callable_id").alias("owner")))
+    sites = a.call_sites.select("file_key", "callable_id", "local_id", F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+    return intervals.innermost(sites, spans, "file_key").drop("start", "end")
+
+
 def durable_ids(a: Analysis, app: str) -> DataFrame:
     """``callable_id, can_id`` of every callable."""
     path = F.replace(F.col("type_id"), F.lit("."), F.lit("/"))

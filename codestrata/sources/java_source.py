@@ -73,7 +73,7 @@ def tokens(files: DataFrame) -> DataFrame:
     raw = files.select("file_key", F.posexplode(F.regexp_extract_all("source", F.lit(TOKEN), F.lit(0))).alias("n", "text"))
     before = Window.partitionBy("file_key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     size, breaks = F.length("text"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    raw = raw.withColumns({"start": F.coalesce(F.sum(size).over(before), F.lit(0)), "line": F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1, "breaks": breaks})
+    raw = raw.withColumns({"start": F.coalesce(F.sum(size).over(before), F.lit(0)), "byte": F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)), "line": F.coalesce(F.sum(breaks).over(before), F.lit(0)) + 1, "breaks": breaks})
     after_break = F.when(F.col("breaks") > 0, F.col("start") + size - F.length(F.substring_index("text", "\n", -1)))
     raw = raw.withColumn("line_start", F.coalesce(F.max(after_break).over(before), F.lit(0)))
     kind = (
@@ -86,7 +86,7 @@ def tokens(files: DataFrame) -> DataFrame:
     )
     col = F.col("start") - F.col("line_start") + 1
     end_col = F.when(F.col("breaks") > 0, F.length(F.substring_index("text", "\n", -1))).otherwise(col + size - 1)
-    out = raw.select("file_key", "n", "text", kind.alias("kind"), "start", "line", col.alias("col"), (F.col("line") + F.col("breaks")).alias("end_line"), end_col.alias("end_col"))
+    out = raw.select("file_key", "n", "text", kind.alias("kind"), "start", "byte", "line", col.alias("col"), (F.col("line") + F.col("breaks")).alias("end_line"), end_col.alias("end_col"))
     return out.where("kind != 'space'")
 
 
@@ -335,6 +335,7 @@ def types(scope: DataFrame, package: DataFrame) -> DataFrame:
         F.when(F.col("declares") == "record", F.regexp_extract("text", r"\((.*)\)", 1)).alias("components"),
         _type_parameters(generic).alias("type_parameters"),
         "first",
+        F.col("close").alias("last"),
         F.col("outer_callable").isNotNull().alias("is_local_class"),
         F.col("line").alias("start_line"),
         F.col("close_line").alias("end_line"),
@@ -356,11 +357,11 @@ def _parameters(text: Column) -> Column:
 
 def callables(scope: DataFrame, typed: DataFrame, parts: DataFrame) -> DataFrame:
     """Methods, constructors and initializers, also those without a body; ``signature`` has erased parameter types."""
-    with_body = scope.where("kind = 'callable'").select("file_key", F.col("in_type").alias("scope"), F.col("open"), "name", "shape", "text", "body", "first", F.col("line").alias("start_line"), F.col("close_line").alias("end_line"))
+    with_body = scope.where("kind = 'callable'").select("file_key", F.col("in_type").alias("scope"), F.col("open"), "name", "shape", "text", "body", "first", F.col("close").alias("last"), F.col("line").alias("start_line"), F.col("close_line").alias("end_line"))
     owners = typed.select("file_key", "scope", "type_id", F.col("kind").alias("owner_kind"), F.col("components"))
     abstract = parts.where("ends = ';'").withColumn("text", bare(F.col("body"))).where(F.col("text").rlike(r"^[^=]*[\w$] \([^=]*\)( throws [\w$., ]+)?( default .*)?$") & ~F.col("text").rlike(r"^(return|throw|new|this|super|assert)\b|\bnew\b|->"))
     abstract = abstract.where(F.col("text").rlike(r"^[\w$<>\[\]., ?&]+ [\w$]+ \(")).withColumn("scope", F.col("brace"))
-    abstract = abstract.select("file_key", "scope", F.lit(None).cast("int").alias("open"), F.regexp_extract("text", r"([\w$]+) \(", 1).alias("name"), F.lit("method").alias("shape"), "text", "body", "first", F.col("line").alias("start_line"), "end_line")
+    abstract = abstract.select("file_key", "scope", F.lit(None).cast("int").alias("open"), F.regexp_extract("text", r"([\w$]+) \(", 1).alias("name"), F.lit("method").alias("shape"), "text", "body", "first", "last", F.col("line").alias("start_line"), "end_line")
     rows = with_body.unionByName(abstract).join(owners, ["file_key", "scope"])
     compact = (F.col("name") == "<init>") & ~F.col("text").contains("(")
     listed = F.when(compact, F.col("components")).otherwise(F.regexp_extract("text", r"\((.*?)\)(?: throws|(?: \[ \])*$| default)", 1))
@@ -388,6 +389,7 @@ def callables(scope: DataFrame, typed: DataFrame, parts: DataFrame) -> DataFrame
         F.when(F.col("shape") != "initializer", F.trim(F.regexp_replace(_spelled(F.col("text")), r" ?([()]) ?", "$1"))).alias("declaration"),
         F.lit(False).alias("is_implicit"),
         "first",
+        "last",
         "start_line",
         "end_line",
     )
@@ -435,17 +437,25 @@ def variables(scope: DataFrame, parts: DataFrame, code: DataFrame) -> DataFrame:
     return rows.join(signs, ["file_key", "segment", "name"], "left").drop("segment")
 
 
-def initializers(files: DataFrame, code: DataFrame, spans: DataFrame) -> DataFrame:
-    """``file_key, equals_n, initializer``: the source text of each span from token ``begin_n`` to ``close_n``; a file's text is read once."""
+def source_texts(files: DataFrame, code: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``file_key, id`` and ``name``: the source text of each span from token ``begin_n`` to ``close_n``; a file's text is read once."""
     place = code.select("file_key", "n", "start", F.length("text").alias("size"))
     begin = place.select("file_key", F.col("n").alias("begin_n"), F.col("start").alias("from_at"))
     end = place.select("file_key", F.col("n").alias("close_n"), (F.col("start") + F.col("size")).alias("to_at"))
     at = spans.join(begin, ["file_key", "begin_n"]).join(end, ["file_key", "close_n"])
-    each = at.groupBy("file_key").agg(F.collect_list(F.struct("equals_n", "from_at", "to_at")).alias("spans")).join(files.select("file_key", "source"), "file_key")
-    cut = F.transform("spans", lambda s: F.struct(s["equals_n"].alias("equals_n"), F.substring(F.col("source"), (s["from_at"] + 1).cast("int"), (s["to_at"] - s["from_at"]).cast("int")).alias("initializer")))
+    each = at.groupBy("file_key").agg(F.collect_list(F.struct("id", "from_at", "to_at")).alias("spans")).join(files.select("file_key", "source"), "file_key")
+    cut = F.transform("spans", lambda s: F.struct(s["id"].alias("id"), F.substring(F.col("source"), (s["from_at"] + 1).cast("int"), (s["to_at"] - s["from_at"]).cast("int")).alias(name)))
     return each.select("file_key", F.explode(cut).alias("x")).select("file_key", "x.*")
 
 
+def byte_spans(rows: DataFrame, code: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
+    """``rows`` with ``start_byte, end_byte``: the UTF-8 bytes ``[from, to)`` from token ``first`` to token ``last``."""
+    begin = code.select("file_key", F.col("n").cast("long").alias(first), F.col("byte").alias("start_byte"))
+    end = code.select("file_key", F.col("n").cast("long").alias(last), (F.col("byte") + F.octet_length("text")).alias("end_byte"))
+    typed = rows.withColumns({first: F.col(first).cast("long"), last: F.col(last).cast("long")})
+    return typed.join(begin, ["file_key", first], "left").join(end, ["file_key", last], "left").select(*rows.columns, "start_byte", "end_byte")
+
+
 def creations(code: DataFrame) -> DataFrame:
     """``file_key, n, created_type, thrown, open_n``: each ``new`` with a bracket, also of qualified and generic types.
 
