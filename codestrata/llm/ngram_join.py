@@ -353,7 +353,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
 
     Components are told apart by their links, not by ``component_id``, which
     several share where ids are null or repeated. Rows alike in id and text are
-    one document. Documents without words stay.
+    one document: of those the row that comes first by its other columns stays, so
+    reruns agree. Documents without words stay.
     """
     found = jaccard_components(docs, **options)
     # eqNullSafe: a component of null ids has a null id, and the least text hash stands for it.
@@ -362,4 +363,9 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn("__key", F.xxhash64("text")).where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
     kept = rows.join(best, (F.col("__key") == F.col("__best")) & F.col("doc_id").eqNullSafe(F.col("__id"))).select(*docs.columns)
     repeated = kept.groupBy(F.col("doc_id").alias("d")).count().where("count > 1").limit(1).count()
-    return (kept.dropDuplicates(["doc_id", "text"]) if repeated else kept).unionByName(empty)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if repeated and rest:
+        kept = kept.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("__rest")).select("doc_id", "text", "__rest.*").select(*docs.columns)
+    elif repeated:
+        kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(empty)

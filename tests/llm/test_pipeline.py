@@ -77,6 +77,14 @@ def test_near_duplicates_at_five_words_and_four_fifths(spark, documents):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, documents(rows), "").collect()) == [1, 3]
 
 
+def test_rows_alike_but_in_source_leave_the_first(spark, documents):
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text, s) for s in ("z", "b", None, "a", "b")] + [(2, text + " more", "a"), (3, None, "a"), (3, None, "b")]
+    for some in (rows, rows[::-1]):
+        left = corpus_pipeline.near_duplicate_stage(spark, documents(some).repartition(3), "").collect()
+        assert sorted((r.doc_id, r.source or "") for r in left) == [(1, ""), (3, "a"), (3, "b")]
+
+
 def test_repeated_passages_under_400_bytes_go(spark, documents):
     import random
 
