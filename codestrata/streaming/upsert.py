@@ -1,4 +1,4 @@
-"""Incremental re-analysis: only files whose text changed are parsed again."""
+"""Incremental upkeep of a stored graph: all sources are analysed when one changed, changed units are replaced."""
 
 from __future__ import annotations
 
