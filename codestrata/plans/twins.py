@@ -481,12 +481,12 @@ def _token_order():
 
 
 def queries() -> dict[str, Query]:
-    from . import project_twins, varied_twins  # noqa: F401  (they register their queries here)
+    from . import flow_twins, project_twins, varied_twins  # noqa: F401  (they register their queries here)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import project_twins, varied_twins  # noqa: F401
+    from . import flow_twins, project_twins, varied_twins  # noqa: F401
 
     return dict(_SQL)
