@@ -25,9 +25,10 @@ METHODS = {
     "both": "while (x) {\ntry {\nf();\nbreak;\n} catch (E e) {\nthrow e;\n} finally {\na = 1;\n}\n}\nb = 2;",
     "resources": "try (R r = new R()) {\n} catch (E e) {\na = 1;\n}\nb = 2;",
     "values": "int v = switch (k) {\ncase 1 -> { yield 2; }\ndefault -> 3;\n};\nRunnable r = () -> {\nreturn;\n};\nsynchronized (this) {\nb = 2;\n}",
+    "paths": "P p = make();\nthis.f = p.x;\np.x.y = f;\np.a.b.c.d = 1;\nq[i] = p.a.b.c.e;\nuse(q[j], p.x.z);\np = null;\nuse(p.x, String.valueOf(1));\ni += q.length;\nfor (P r : list) use(r);\nif (o instanceof P t) use(t.x);",
     "locals": "class In { int z() { return 1; } }\na = 1;",
 }
-SOURCE = "class T {\n" + "".join(f"void {name}() {{\n{text}\n}}\n" for name, text in METHODS.items()) + "}\n"
+SOURCE = "class T {\nint f; int[] q; int i, j; java.util.List<P> list; Object o;\n" + "".join(f"void {name}() {{\n{text}\n}}\n" for name, text in METHODS.items()) + "}\n"
 F, T, N, L, X, R = "fallthrough", "true", "false", "loop_back", "exception", "return"
 CFG = {
     "straight": [("@entry", 1, F), (1, 2, F), (2, "@exit", F)],
@@ -104,6 +105,19 @@ def test_endless_loops_depend_on_the_entry(graphs):
     assert ("@entry", 1, F) in edges(graphs.cdg, "endless")
 
 
+def test_data_dependence(graphs):
+    start = SOURCE[: SOURCE.index("void paths(")].count("\n") + 1
+    line = lambda x: x if x[0] == "@" else int(x.split(":")[0]) - start
+    got = {(line(r.src), line(r.dst), r.var, r.base) for r in graphs.ddg.where("callable_id = 'T#paths()'").collect()}
+    assert got == {
+        (1, 2, "p.x", "local"), (2, 3, "this.f", "field"),
+        (1, 5, "p.a.b.c.*", "local"), (4, 5, "p.a.b.c.*", "local"), ("@entry", 5, "this.i", "field"),
+        ("@entry", 6, "this.q[*]", "field"), (5, 6, "this.q[*]", "field"), ("@entry", 6, "this.j", "field"), (1, 6, "p.x.z", "local"),
+        (7, 8, "p.x", "local"), ("@entry", 9, "this.i", "field"), ("@entry", 9, "this.q.length", "field"),
+        ("@entry", 10, "this.list", "field"), (10, 10, "r", "local"), ("@entry", 11, "this.o", "field"), (11, 11, "t.x", "local"),
+    }
+
+
 def test_nodes(graphs):
     rows = [(r.node_id, r.kind) for r in graphs.nodes.where("callable_id = 'T#colons()'").collect()]
     assert sorted(k for _, k in rows) == ["entry", "exit", "statement", "statement", "statement", "statement", "statement", "switch"]
@@ -113,4 +127,4 @@ def test_text_that_is_no_java_and_no_files(spark):
     rows = [("app", "B.java", "class B { void f() { if ( else } case ; ) for while { try catch } void g() { switch (x) { case } }"), ("app", "N.java", None), ("app", "E.java", "")]
     for some in (rows, []):
         found = flow(analyze(J.from_rows(spark.createDataFrame(some, "app string, file_key string, source string"))))
-        assert found.cfg.count() >= 0 and found.cdg.count() >= 0
+        assert found.cfg.count() >= 0 and found.cdg.count() >= 0 and found.ddg.count() >= 0
