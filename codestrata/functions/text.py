@@ -131,3 +131,11 @@ def pruned_json(*columns: Column | str) -> Column:
 def full_json(*columns: Column | str) -> Column:
     """A JSON object with its null members."""
     return F.to_json(F.struct(*[_c(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def json_member(text: Column | str, key: str) -> Column:
+    """The member ``key`` of a JSON object as text, whatever its type; null if it is null or missing, or if the text is no object.
+
+    Numbers are spelled as Spark spells them (``1.50`` is ``1.5``).
+    """
+    return F.from_json(_c(text), "map<string,string>").getItem(key)

@@ -407,6 +407,11 @@ def cypher_literal(t):
     return t("documents").select("doc_id", T.cypher_string("text").alias("literal"))
 
 
+@registered("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def event_json_member(t):
+    return t("events").select("event_id", T.json_member("props", "k").alias("k"))
+
+
 @registered(f"SELECT label, count(*) AS nodes, count(DISTINCT unit) AS units FROM ({_NODES}) GROUP BY label")
 def label_counts(t):
     return _nodes(t).groupBy("label").agg(F.count("*").alias("nodes"), F.countDistinct("unit").alias("units"))

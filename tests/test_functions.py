@@ -66,6 +66,13 @@ def test_data_access_rules(spark, receiver, method, argument, operation, query):
     assert one(spark, rules.crud_query(), **row) == (query if query == "NAMED" else None)
 
 
+def test_json_members(spark):
+    texts = ['{"a.b": "x", "n": 1.50, "o": {"p": [1, 2]}, "z": null}', '{"n": true}', "[1]", "{", "", None]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string")
+    found = rows.select("i", *[T.json_member("text", k).alias(k.replace(".", "_")) for k in ("a.b", "n", "o", "z")]).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in found] == [("x", "1.5", '{"p":[1,2]}', None), (None, "true", None, None)] + [(None,) * 4] * 4
+
+
 def test_rules_by_name():
     for call in (lambda: rules.crud_rule("operation", "struts"), lambda: rules.entrypoint_rule("class", "none")):
         with pytest.raises(ValueError):
