@@ -30,22 +30,35 @@ class Analysis:
     enum_constants: DataFrame
     record_components: DataFrame
     references: DataFrame
+    # What other files resolve their names by, and the words of each file.
+    headers: DataFrame
+    methods: DataFrame
+    field_types: DataFrame
+    above: DataFrame
+    words: DataFrame
 
 
-def analyze(files: DataFrame, compat: bool = False) -> Analysis:
+def analyze(files: DataFrame, compat: bool = False, context: Analysis | None = None) -> Analysis:
     """All tables of a project. ``compat`` keeps rules as literal as they are, quirks included.
 
     Tokens are computed once and checkpointed; every later table is a join on
     ``(file_key, brace)`` or on names.
+
+    With ``context``, the tables of other files of the project, only ``files`` are
+    read and all tables but ``above`` are theirs alone; names are looked up in both.
+    ``call_edges`` are then empty, as they depend on all calls: see ``call_edges``.
     """
+    whole = lambda own, other: own if context is None else checkpointed(own.unionByName(getattr(context, other)))
+    mine = lambda rows: rows if context is None else rows.join(files.select("file_key"), "file_key", "left_semi")
     all_tokens = checkpointed(J.tokens(files))
     code = checkpointed(J.enclosed(all_tokens))
     parts = checkpointed(J.segments(code))
     scope = checkpointed(J.scopes(code, parts))
     package, imported = checkpointed(J.packages(parts)), checkpointed(J.imports(parts))
-    typed = checkpointed(J.types(scope, package))
+    headers = checkpointed(J.types(scope, package))
 
-    typed, supers, known = supertypes(typed, imported, package)
+    every_type, supers, known = supertypes(whole(headers, "headers"), whole(imported, "imports"), whole(package, "packages"))
+    typed, supers = mine(every_type), mine(supers)
 
     found = J.with_implicit_constructors(J.callables(scope, typed, parts), typed)
     found = found.join(J.complexity(code, scope).withColumnRenamed("in_callable", "open"), ["file_key", "open"], "left").withColumn("cyclomatic", F.coalesce("cyclomatic", F.lit(1)))
@@ -77,10 +90,10 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     values = walked.where("is_value").select("file_key", F.col("open_n").alias("equals_n"), "begin_n", "close_n")
     texts = J.source_texts(files, code, values.withColumnRenamed("equals_n", "id"), "initializer").withColumnRenamed("id", "equals_n")
     declared = checkpointed(declared.join(texts, ["file_key", "equals_n"], "left"))
-    scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls, values)
+    scopes = typing.Scopes(code, parts, scope, typed, supers, known, found, declared, sites, calls, values, context)
     facts, given = typing.typed_sites(scopes, code, sites, calls)
     access = F.coalesce(*[F.when(F.array_contains("modifiers", m), m) for m in ("public", "protected", "private")], F.lit("package_private"))
-    about = found.select(F.col("callable_id").alias("callee_id"), access.alias("accessibility"), F.array_contains("modifiers", "static").alias("callee_static"))
+    about = scopes.methods.select(F.col("callable_id").alias("callee_id"), access.alias("accessibility"), F.array_contains("modifiers", "static").alias("callee_static"))
     sites = sites.join(facts, ["file_key", "open_n"], "left").join(calls.select("file_key", "open_n", "begin_n", "close_n", "argument_expr", "argument_ids"), ["file_key", "open_n"], "left").join(about, "callee_id", "left")
     none = F.array().cast("array<string>")
     static = ~F.col("is_constructor_call") & (F.coalesce("static", F.lit(False)) | F.coalesce("callee_static", F.lit(False)))
@@ -94,22 +107,27 @@ def analyze(files: DataFrame, compat: bool = False) -> Analysis:
     erased = F.concat("name", F.lit("("), F.array_join("wanted", ", "), F.lit(")"))
     found = found.join(scopes.methods.select("callable_id", erased.alias("erased_signature"), F.col("returns").alias("erased_return")), "callable_id", "left")
 
-    edges = call_edges(sites, typed, known, found)
+    edges = call_edges(sites, typed, known.above, found)
+    if context is not None:
+        edges = edges.limit(0)
     components = J.record_defaults(J.record_components(typed), scope, parts, typed)
     # What a callable refers to: types of its variables and creations, and fields of its type.
     named = declared.where("callable_id is not null").select("file_key", "callable_id", F.col("type").alias("spelling"))
-    named = named.join(J.resolved(named, typed, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
+    named = named.join(J.resolved(named, every_type, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
     made = sites.where("is_constructor_call and callable_id is not null").select("callable_id", F.lit("type").alias("kind"), F.col("receiver_type").alias("target"))
     used = J.accessed_fields(code, scope, declared).join(own, ["file_key", "in_callable"]).select("callable_id", F.lit("field").alias("kind"), F.col("field_id").alias("target"))
     raised = J.thrown(code, scope).join(own, ["file_key", "in_callable"]).join(local.withColumnRenamed("receiver", "name"), ["callable_id", "name"], "left")
     raised = raised.withColumn("spelling", F.coalesce("created_type", "by_local")).where("spelling is not null")
-    raised = raised.join(J.resolved(raised, typed, imported, package), ["file_key", "spelling"]).groupBy("callable_id").agg(F.sort_array(F.collect_set("resolved")).alias("raised"))
+    raised = raised.join(J.resolved(raised, every_type, imported, package), ["file_key", "spelling"]).groupBy("callable_id").agg(F.sort_array(F.collect_set("resolved")).alias("raised"))
     found = checkpointed(found.join(raised, "callable_id", "left").withColumn("raised", F.coalesce("raised", none)))
     seen = J.tested_types(parts, scope).join(own, ["file_key", "in_callable"])
-    seen = seen.join(J.resolved(seen, typed, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
+    seen = seen.join(J.resolved(seen, every_type, imported, package), ["file_key", "spelling"]).select("callable_id", F.lit("type").alias("kind"), F.col("resolved").alias("target"))
     references = named.unionByName(seen).unionByName(made).unionByName(used).where("target is not null").distinct()
     noted = owned_comments(J.comments(all_tokens), typed, found, declared)
-    return Analysis(files, package, imported, noted, typed, supers, found, declared, sites, edges, arguments, J.enum_constants(scope, parts, typed), components, references)
+    return Analysis(
+        files, package, imported, noted, typed, supers, found, declared, sites, edges, arguments, J.enum_constants(scope, parts, typed), components, references,
+        headers, scopes.own_methods, scopes.own_fields, known.above, all_tokens.where("kind = 'word'").select("file_key", F.col("text").alias("word")).distinct(),
+    )
 
 
 def supertypes(typed: DataFrame, imported: DataFrame, package: DataFrame) -> tuple[DataFrame, DataFrame, resolution.Names]:
@@ -187,7 +205,7 @@ def properties(frame: DataFrame, **names: str) -> Column:
     return F.map_filter(F.create_map(*[x for k in names for x in (F.lit(k), literal(k))]), lambda _, v: v.isNotNull())
 
 
-def call_edges(sites: DataFrame, typed: DataFrame, known: resolution.Names, found: DataFrame) -> DataFrame:
+def call_edges(sites: DataFrame, typed: DataFrame, above: DataFrame, found: DataFrame) -> DataFrame:
     """``src, dst, weight`` between callables of the project: types that are created answer virtual calls.
 
     A constructor or static call, and one through ``super``, means the one callable
@@ -196,7 +214,7 @@ def call_edges(sites: DataFrame, typed: DataFrame, known: resolution.Names, foun
     signature; where no callee is known, or it has type variables, of that name and
     number of arguments. Calls of a callable to itself are left out.
     """
-    subtypes = typed.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("descendant"), F.lit(0).alias("depth")).unionByName(known.above.select("ancestor", F.col("type_id").alias("descendant"), "depth"))
+    subtypes = typed.select(F.col("type_id").alias("ancestor"), F.col("type_id").alias("descendant"), F.lit(0).alias("depth")).unionByName(above.select("ancestor", F.col("type_id").alias("descendant"), "depth"))
     by_arity = F.concat(F.col("name"), F.lit("/"), F.size("parameters"))
     keyed = found.select("callable_id", F.col("type_id").alias("owner"), F.explode(F.array("erased_signature", by_arity)).alias("signature"))
     variables = F.filter("parameter_types", lambda p: F.exists("variables", lambda v: F.array_contains(F.split(p, r"\W+"), v)))

@@ -46,8 +46,8 @@ def literal_type(text: Column) -> Column:
 class Scopes:
     """What names mean in types and callables: declared types, erased, as tables."""
 
-    def __init__(self, code, parts, scope, typed, supers, known: Names, found, declared, sites, calls, values):
-        self.known, self.typed = known, typed
+    def __init__(self, code, parts, scope, typed, supers, known: Names, found, declared, sites, calls, values, context=None):
+        self.known, self.typed = known, known.typed
         self.variables = checkpointed(resolution.type_variables(typed, found, known))
         own = found.where("open is not null").select("file_key", F.col("open").alias("in_callable"), "callable_id", "type_id")
         bound = J.bound_names(parts, scope).join(own, ["file_key", "in_callable"])
@@ -70,15 +70,17 @@ class Scopes:
         none = F.array().cast("array<string>")
         last = F.element_at(F.col("parameters"), -1)["is_variadic"]
         methods = found.join(wanted, "callable_id", "left").join(returned, "callable_id", "left")
-        self.methods = checkpointed(
+        self.own_methods = checkpointed(
             methods.select("callable_id", F.col("type_id").alias("declarer"), "name", F.coalesce("wanted", none).alias("wanted"), F.coalesce(F.when(F.size("parameters") > 0, last), F.lit(False)).alias("variadic"), "returns", "modifiers")
         )
+        self.methods = self.own_methods if context is None else checkpointed(self.own_methods.unionByName(context.methods))
         fields = self._meant(declared.where("owner = 'field' and type_id is not null").select("file_key", "type_id", "name", F.col("type").alias("spelling"), F.col("type_id").alias("owner")))
         components = J.record_components(typed).join(typed.select("type_id", "file_key"), "type_id")
         components = self._meant(components.select("file_key", "type_id", "name", F.col("type").alias("spelling"), F.col("type_id").alias("owner")))
         constants = J.enum_constants(scope, parts, typed).select("type_id", "name", F.col("type_id").alias("erased"))
         fields = fields.select("type_id", "name", "erased").unionByName(components.select("type_id", "name", "erased")).unionByName(constants)
-        self.fields = checkpointed(fields.groupBy(F.col("type_id").alias("holder"), F.col("name").alias("field")).agg(F.min("erased").alias("field_type")))
+        self.own_fields = checkpointed(fields.groupBy(F.col("type_id").alias("holder"), F.col("name").alias("field")).agg(F.min("erased").alias("field_type")))
+        self.fields = self.own_fields if context is None else checkpointed(self.own_fields.unionByName(context.field_types))
         local = self._meant(declared.where("owner = 'local' and callable_id is not null").select("file_key", "callable_id", "name", "first", "equals_n", "initializer", F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
         given = self._meant(params.select("file_key", "callable_id", F.col("p.name").alias("name"), F.lit(-1).alias("first"), F.lit(None).cast("long").alias("equals_n"), F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), "spelling"))
         held = self._meant(bound.select("file_key", "callable_id", "name", "first", F.lit(None).cast("long").alias("equals_n"), F.lit(None).cast("string").alias("initializer"), F.col("callable_id").alias("owner"), F.col("type").alias("spelling")))
