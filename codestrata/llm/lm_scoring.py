@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .text_arrays import Block, blocks, mix
+from .text_arrays import Block, SortedHashes, blocks, mix
 
 CLASSES = 16
 SLOTS = 24
@@ -37,6 +37,10 @@ ROUNDS = 3
 SHARD_TOKENS = 4_000_000
 MINIBATCH = 16_384
 RATE = 0.15
+#: So many mentions of a row are added by n-th mention.
+MENTIONS = 16
+#: Exponents up to this size neither overflow nor vanish, nor do sums of them.
+EXPONENT = 60
 ADD = 0.1
 #: Counts of at most so many frequent tokens are broadcast; the others are joined.
 TOP = 1 << 18
@@ -101,33 +105,74 @@ def table_rows(hashed: np.ndarray, cls: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def slots_of(model: Model, token: np.ndarray) -> np.ndarray:
-    if not len(model.words):
-        return np.zeros(len(token), np.uint8)
-    at = np.minimum(np.searchsorted(model.words, token), len(model.words) - 1)
-    return np.where(model.words[at] == token, model.word_slots[at], 0).astype(np.uint8)
+    at = SortedHashes(model.words).find(token)
+    return np.r_[model.word_slots, 0][at].astype(np.uint8)  # the last for words without a place
 
 
-def log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Natural log of the softmax of ``bias`` and the summed rows of weights, ``(n, choices)``."""
-    score = bias + weights[0][rows[0]]
+def logits(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``bias`` and the summed rows of weights, ``(n, choices)``; lowered by the largest of its row where exponents might overflow or vanish."""
+    score = weights[0].take(rows[0], axis=0, mode="clip")
+    score += bias
     for k in range(1, KINDS):
-        score += weights[k][rows[k]]
-    score -= score.max(1, keepdims=True)
-    score -= np.log(np.exp(score).sum(1, keepdims=True))
+        score += weights[k].take(rows[k], axis=0, mode="clip")
+    if len(score) and max(score.max(), -score.min()) > EXPONENT:
+        score -= score.max(1, keepdims=True)
     return score
 
 
+def _row_totals(x: np.ndarray) -> np.ndarray:
+    """Sum of each row, the same wherever the row is."""
+    return np.einsum("ij->i", x)
+
+
+def log_odds(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """Natural log of the share of the wanted choice in the softmax of each row."""
+    score = logits(weights, bias, rows)
+    wanted = score[np.arange(len(want)), want]
+    return wanted - np.log(_row_totals(np.exp(score, out=score)))
+
+
+def sums_by_row(slope: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` (of at most ``MINIBATCH``), and the sum of ``slope`` over the mentions of each.
+
+    The n-th mentions of all rows are added at once; what a row has beyond ``MENTIONS`` is added row by row.
+    """
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    times = np.diff(begin, append=len(rows))
+    most_first = np.argsort(times.astype(np.uint16), kind="stable")[::-1]
+    begin, times = begin[most_first], times[most_first]
+    total = slope[order[begin]]
+    with_more = len(times) - np.cumsum(np.bincount(np.minimum(times, MENTIONS + 1)))
+    for nth in range(1, min(MENTIONS, times[0])):
+        some = with_more[nth]
+        total[:some] += slope.take(order[begin[:some] + nth], axis=0, mode="clip")
+    if some := int(np.count_nonzero(times > MENTIONS)):
+        rest = times[:some] - MENTIONS
+        first = np.cumsum(rest) - rest
+        place = np.arange(rest.sum()) + np.repeat(begin[:some] + MENTIONS - first, rest)
+        # Two choices at a time, as one complex number.
+        pairs = slope.take(order[place], axis=0, mode="clip").view(np.complex64)
+        total[:some] += np.add.reduceat(pairs, first, axis=0).view(np.float32)
+    return ordered[begin], total
+
+
 def _step(weights: np.ndarray, bias: np.ndarray, state: np.ndarray, rows: np.ndarray, want: np.ndarray, rate: float) -> None:
     """One gradient step (scaled by past squares) over a minibatch, in place."""
-    slope = np.exp(log_odds(weights, bias, rows))
+    slope = logits(weights, bias, rows)
+    np.exp(slope, out=slope)
+    slope *= (1 / _row_totals(slope))[:, None]
     slope[np.arange(len(want)), want] -= 1
     for k in range(KINDS):
-        order = np.argsort(rows[k], kind="stable")
-        sorted_rows = rows[k][order]
-        begin = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
-        used, step = sorted_rows[begin], np.add.reduceat(slope[order], begin, axis=0)
-        state[k][used] += step * step
-        weights[k][used] -= rate * step / np.sqrt(state[k][used] + 1)
+        used, step = sums_by_row(slope, rows[k])
+        squares = state[k].take(used, axis=0, mode="clip")
+        squares += step * step
+        state[k][used] = squares
+        squares += 1
+        step *= rate
+        step /= np.sqrt(squares, out=squares)
+        weights[k][used] -= step
 
 
 def train_locally(model: Model, state: tuple[np.ndarray, np.ndarray], token: np.ndarray, cls: np.ndarray, first: np.ndarray, rate: float = RATE) -> None:
@@ -145,10 +190,9 @@ def log_probabilities(model: Model, token: np.ndarray, cls: np.ndarray, first: n
     hashed, slot, out = features(token, cls, first), slots_of(model, token), np.empty(len(token))
     for at in range(0, len(token), MINIBATCH):
         part = slice(at, at + MINIBATCH)
-        nth = np.arange(len(cls[part]))
         class_rows, slot_rows = table_rows(hashed[:, part], cls[part], model.bits)
-        out[part] = log_odds(model.classes, model.class_bias, class_rows)[nth, cls[part]]
-        out[part] += log_odds(model.slots, model.slot_bias[cls[part]], slot_rows)[nth, slot[part]]
+        out[part] = log_odds(model.classes, model.class_bias, class_rows, cls[part])
+        out[part] += log_odds(model.slots, model.slot_bias[cls[part]], slot_rows, slot[part])
     return out / np.log(10), slot
 
 
@@ -244,14 +288,14 @@ def start_model(frequent: pd.DataFrame, by_class: dict[int, tuple[int, int]]) ->
 def _score_rows(broadcast):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, log_rest, top, top_log = broadcast.value
+        places, log_count = SortedHashes(top), np.r_[top_log, 0.0]
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
             for block in blocks(batch.column("text")):
                 token, cls, first = tokens(block)
                 log_p, slot = log_probabilities(model, token, cls, first)
-                found = np.minimum(np.searchsorted(top, token), len(top) - 1)
-                known = top[found] == token
-                counted = np.where(known, top_log[found], 0.0)
+                found = places.find(token)
+                known, counted = found >= 0, log_count[found]
                 log_p += np.where(slot == 0, counted - log_rest[cls], 0.0)
                 starts = first[:-1]
                 owner = np.repeat(np.arange(block.rows), np.diff(first))

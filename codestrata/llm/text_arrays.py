@@ -54,6 +54,32 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(size)
 
 
+class SortedHashes:
+    """Sorted, distinct hashes of 64 bits, with the place where each range of their high bits begins."""
+
+    def __init__(self, values: np.ndarray):
+        bits = len(values).bit_length() + 1
+        self.values, self.shift = values, np.uint64(64 - bits)
+        self.starts = np.searchsorted(values >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The place of each wanted hash, -1 of those that are not there."""
+        if not len(self.values):
+            return np.full(len(wanted), -1, np.int32)
+        cell = (wanted >> self.shift).astype(np.int64)
+        at = self.starts[cell]
+        left = self.starts[cell + 1] - at
+        out = np.where(self.values.take(at, mode="clip") == wanted, at, -1)
+        more, nth = np.flatnonzero((out < 0) & (left > 1)), 1
+        while len(more):
+            place = at[more] + nth
+            hit = self.values[place] == wanted[more]
+            out[more[hit]] = place[hit]
+            nth += 1
+            more = more[~hit & (left[more] > nth)]
+        return out
+
+
 class Block:
     """Some consecutive texts of a batch as one byte array."""
 

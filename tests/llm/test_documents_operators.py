@@ -444,6 +444,72 @@ def test_lm_scores_do_not_depend_on_partitions(documents):
     assert one == pytest.approx(many, abs=1e-9)
 
 
+def plain_step(weights, bias, state, rows, want, rate):
+    """The step of ``lm_scoring`` with a softmax by row maxima and sums over sorted rows; also the log of each wanted share."""
+    import numpy as np
+
+    score = bias + sum(weights[k][rows[k]] for k in range(lm_scoring.KINDS))
+    score -= score.max(1, keepdims=True)
+    score -= np.log(np.exp(score).sum(1, keepdims=True))
+    slope, nth = np.exp(score), np.arange(len(want))
+    slope[nth, want] -= 1
+    for k in range(lm_scoring.KINDS):
+        order = np.argsort(rows[k], kind="stable")
+        ordered = rows[k][order]
+        begin = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        used, step = ordered[begin], np.add.reduceat(slope[order], begin, axis=0)
+        state[k][used] += step * step
+        weights[k][used] -= rate * step / np.sqrt(state[k][used] + 1)
+    return score[nth, want]
+
+
+def test_lm_step_equals_a_plain_step_in_less_time():
+    import time
+
+    import numpy as np
+
+    rng, n = np.random.default_rng(3), lm_scoring.MINIBATCH
+    for choices, far in ((lm_scoring.CLASSES, 0), (lm_scoring.SLOTS, 0), (lm_scoring.SLOTS, 150)):
+        # Rows as words are: some in thousands of places, most in one or two; ``far``: a choice whose exponent overflows or vanishes.
+        rows = np.stack([np.minimum(rng.zipf(1.3, n), 1 << 14) % (1 << 14), rng.integers(0, 1 << 14, n), rng.integers(0, 1 << 14, n), np.zeros(n, int)]).astype(np.uint16)
+        want = rng.integers(0, choices, n)
+        start = rng.normal(0, 1, (lm_scoring.KINDS, 1 << 14, choices)).astype(np.float32)
+        start[3, :, 0] += far
+        start[1, ::2] -= np.float32(far)
+        bias, zero = np.log(np.full(choices, 1 / choices, np.float32)), np.zeros_like(start)
+        spent, ends = {}, {}
+        for step in (plain_step, lm_scoring._step):
+            times = []
+            for _ in range(5):
+                weights, state = start.copy(), zero.copy()
+                at = time.process_time()
+                step(weights, bias, state, rows, want, 0.15)
+                times.append(time.process_time() - at)
+            spent[step], ends[step] = min(times), (weights, state)
+        for plain, mine in zip(*ends.values()):
+            assert np.allclose(plain, mine, rtol=1e-3, atol=1e-4)
+        wanted = plain_step(start.copy(), bias, zero.copy(), rows, want, 0.15)
+        assert np.allclose(lm_scoring.log_odds(start, bias, rows, want), wanted, rtol=1e-4, atol=1e-4)
+        assert far or spent[lm_scoring._step] < 0.75 * spent[plain_step]
+    few = lm_scoring.log_odds(start, bias, rows[:, :3], want[:3])
+    assert (few == lm_scoring.log_odds(start, bias, rows, want)[:3]).all()
+
+
+def test_sorted_hashes_are_found():
+    import numpy as np
+
+    from codestrata.llm.text_arrays import SortedHashes
+
+    rng = np.random.default_rng(5)
+    spread = rng.integers(0, 1 << 64, 3000, np.uint64)
+    close = np.arange(700, dtype=np.uint64) * np.uint64(3)  # all in one range of high bits
+    for values in (spread, close, np.r_[spread, close, np.uint64((1 << 64) - 1)], close[:1], close[:0]):
+        values = np.unique(values)
+        wanted = np.r_[values[::-1], values + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)]
+        place = {v: i for i, v in enumerate(values.tolist())}
+        assert SortedHashes(values).find(wanted).tolist() == [place.get(v, -1) for v in wanted.tolist()]
+
+
 def test_toxicity_held_out(documents, spark):
     import random
 
