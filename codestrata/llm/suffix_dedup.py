@@ -63,11 +63,9 @@ def anchor_runs(block: Block, length: int, step: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if n < length:
         return none.astype(np.uint64), none, none, none, none.astype(bool)
-    sums = block.prefix_sums()
-    at = np.arange(n - step + 1)
-    value = block.span_hashes(sums, at, at + step)
+    value = block.window_hashes(block.prefix_sums(), step)
     ends = np.repeat(block.offsets[1:], np.diff(block.offsets))
-    value[at + step > ends[: len(at)]] = _NONE
+    value[np.arange(step, n + 1) > ends[: len(value)]] = _NONE
     low = _sliding(value, width, np.minimum)
     start = np.arange(len(low))
     ok = start + length <= ends[: len(low)]
@@ -177,30 +175,35 @@ def merge_transforms(transforms: list[np.ndarray], depths: tuple[int, ...]) -> l
     """Interleave of the shards in the order of so many symbols, and the block (common prefix) of each place; one of each for each of the rising ``depths``."""
     sizes = np.array([len(t) for t in transforms])
     joined = np.concatenate(transforms).astype(np.int32)
-    shard = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+    shard = np.repeat(np.arange(len(sizes), dtype=np.uint8 if len(sizes) <= 1 << 8 else np.uint32), sizes)  # small numbers are dealt in fewer passes
     block = np.zeros(len(joined), np.int32)
+    place = np.arange(len(joined), dtype=np.int32)  # the shards lie one behind the other as yet
     found = []
     for done in range(1, depths[-1] + 1):
-        before = joined[_shard_places(shard)]
+        before = joined[place]
         order = _deal(before)
         shard, block, before = shard[order], block[order], before[order]
         border = np.r_[True, (before[1:] != before[:-1]) | (block[1:] != block[:-1])]
         block = np.cumsum(border, dtype=np.int32) - np.int32(1)
+        place = _shard_places(shard)
         if done in depths:
-            found.append((_shard_places(shard), block))
+            found.append((place, block))
     return found
 
 
-def repeated_starts(pieces: list[bytes], weight: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...], step: int, shard_bytes: int = SHARD_BYTES) -> list[list[np.ndarray]]:
-    """For each length and piece, which of its first ``starts`` places begin a string of that length that occurs twice among all of them."""
+def repeated_places(pieces: list[bytes], weight: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...], step: int, shard_bytes: int = SHARD_BYTES) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where each piece begins in the joined pieces; and for each length a flag for each place there, set if it is one of the first ``starts`` of a piece and begins a string of that length that occurs twice among all.
+
+    The place behind a piece is free, and its flag is not set.
+    """
     sizes = np.array([len(p) for p in pieces])
     end = np.cumsum(sizes + 1) - 1
     begin = end - sizes
     data = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
     block = Block(data, np.array([0, len(data)]), 0)
-    at = np.arange(len(data) - step + 1)
     symbol = np.zeros(len(data), np.int32)
-    symbol[: len(at)] = np.unique(block.span_hashes(block.prefix_sums(), at, at + step), return_inverse=True)[1]
+    known = np.unique(block.window_hashes(block.prefix_sums(), step), return_inverse=True)[1]
+    symbol[: len(known)] = known
     depths = tuple(length // step for length in lengths)
     orders, transforms, first = [], [], 0
     while first < len(pieces):
@@ -209,16 +212,24 @@ def repeated_starts(pieces: list[bytes], weight: np.ndarray, starts: np.ndarray,
         orders.append(order), transforms.append(transform)
         first = last
     joined = np.concatenate(orders)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
     out = []
     for length, (rank, group) in zip(lengths, merge_transforms(transforms, depths), strict=True):
+        # A place counts with the weight of its piece, unless it begins no string of the length there.
+        full = np.arange(len(data)) < np.repeat(np.minimum(begin + starts, end - length + 1), sizes + 1)
+        counted = np.where(full, np.asarray(weight, np.float64)[owner], 0)
         place = joined[rank]
-        owner = np.searchsorted(end, place, "left")
-        full = (place + length <= end[owner]) & (place < (begin + starts)[owner])
-        times = np.bincount(group, weights=np.where(full, weight[owner], 0))
+        times = np.bincount(group, weights=counted[place])
         found = np.zeros(len(data), bool)
-        found[place[full & (times[group] > 1)]] = True
-        out.append([found[b : b + n] for b, n in zip(begin, starts, strict=True)])
-    return out
+        found[place] = times[group] > 1
+        out.append(found & full)
+    return begin, out
+
+
+def repeated_starts(pieces: list[bytes], weight: np.ndarray, starts: np.ndarray, lengths: tuple[int, ...], step: int, shard_bytes: int = SHARD_BYTES) -> list[list[np.ndarray]]:
+    """For each length and piece, which of its first ``starts`` places begin a string of that length that occurs twice among all of them."""
+    begin, found = repeated_places(pieces, weight, starts, lengths, step, shard_bytes)
+    return [[flags[b : b + n] for b, n in zip(begin, starts, strict=True)] for flags in found]
 
 
 def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -228,19 +239,22 @@ def _intervals(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _merge_pack(lengths: tuple[int, ...], step: int):
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        alike: dict[tuple[bytes, int], list[int]] = {}
-        for i, piece in enumerate(zip(frame["piece"], frame["size"].tolist(), strict=True)):
-            alike.setdefault(piece, []).append(i)
-        starts = np.array([n for _, n in alike])
-        found = repeated_starts([p for p, _ in alike], np.array([len(x) for x in alike.values()]), starts, lengths, step)
+        alike: dict[tuple[bytes, int], int] = {}
+        piece_of = np.array([alike.setdefault(x, len(alike)) for x in zip(frame["piece"], frame["size"].tolist(), strict=True)])
+        times = np.bincount(piece_of)
+        begin, found = repeated_places([p for p, _ in alike], times, np.array([n for _, n in alike]), lengths, step)
         tids, firsts = frame["tid"].to_numpy(), frame["first"].to_numpy()
-        out: list[np.ndarray] = [np.zeros((4, 0), np.int64)]
+        row_of, row_begin = np.argsort(piece_of, kind="stable"), np.cumsum(times) - times
+        out = []
         for length, flags in zip(lengths, found, strict=True):
-            for rows, flag in zip(alike.values(), flags, strict=True):
-                lo, hi = _intervals(flag)
-                if len(lo):
-                    for i in rows:
-                        out.append(np.stack([np.full(len(lo), tids[i]), np.full(len(lo), length), firsts[i] + lo, firsts[i] + hi - 1 + length]))
+            lo, hi = _intervals(flags)
+            piece = np.searchsorted(begin, lo, "right") - 1
+            # Each interval of a piece stands in all rows that have the piece.
+            copies = times[piece]
+            nth = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+            row = row_of[np.repeat(row_begin[piece], copies) + nth]
+            a, b = (firsts[row] + np.repeat(x - begin[piece], copies) for x in (lo, hi))
+            out.append(np.stack([tids[row], np.full(len(row), length), a, b - 1 + length]))
         tid, size, a, b = np.concatenate(out, axis=1)
         return pd.DataFrame({"tid": tid, "size": size, "a": a, "b": b})
 

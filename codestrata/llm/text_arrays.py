@@ -98,6 +98,13 @@ class Block:
         raw = (sums[end] - sums[start]) * powers(len(self.data) + 1)[1][start]
         return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
+    def window_hashes(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """``span_hashes`` of the ``width`` bytes from each place where as many follow."""
+        raw = sums[width:] - sums[:-width]
+        raw *= powers(len(self.data) + 1)[1][: len(raw)]
+        raw += np.uint64(width * 0xD6E8FEB86659FD93 % (1 << 64))
+        return mix(raw)
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and text number of each word; white space is 0x20 and 0x09-0x0D."""
         n = len(self.data)

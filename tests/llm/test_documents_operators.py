@@ -192,6 +192,53 @@ def test_suffix_dedup_shards_merge():
                 assert flags.tolist() == [i + length <= len(p) and seen[p[i : i + length]] > 1 for i in range(len(p) - 59)]
 
 
+def test_suffix_dedup_merge_of_alike_pieces():
+    """Rows of equal pieces all get the ranges, and writing them costs little beside the merge."""
+    import random
+    import time
+
+    import numpy as np
+    import pandas as pd
+
+    rng = random.Random(8)
+    passages = [bytes(rng.randrange(97, 123) for _ in range(240 + 60 * (k % 5))) for k in range(40)]
+    pieces = [bytes(rng.randrange(97, 123) for _ in range(rng.randrange(5, 90))) + rng.choice(passages) + bytes([65 + k % 7]) * (k % 30 + 1) for k in range(2500)]
+    rows = [(tid, k % 11, len(p) - 239, p) for tid, (k, p) in enumerate((k, p) for k, p in enumerate(pieces) for _ in range(1 + k % 6))]
+    rng.shuffle(rows)
+    frame = pd.DataFrame(rows, columns=["tid", "first", "size", "piece"])
+
+    seen = collections.Counter(p[i : i + n] for _, _, _, p in rows for n in (240, 400) for i in range(len(p) - n + 1))
+    wanted = []
+    for tid, first, size, p in rows:
+        for n in (240, 400):
+            starts = [i for i in range(size) if i + n <= len(p) and seen[p[i : i + n]] > 1]
+            runs = [i for i in starts if i - 1 not in starts], [i for i in starts if i + 1 not in starts]
+            wanted += [(tid, n, first + a, first + b + n) for a, b in zip(*runs)]
+    merge = suffix_dedup._merge_pack((240, 400), 80)
+    assert sorted(merge(frame).itertuples(index=False, name=None)) == sorted(wanted)
+
+    one_each = list({(p, n): None for _, _, n, p in rows})
+    starts, ones = np.array([n for _, n in one_each]), np.ones(len(one_each))
+    works = {"all": lambda: merge(frame), "merge": lambda: suffix_dedup.repeated_starts([p for p, _ in one_each], ones, starts, (240, 400), 80)}
+    spent = collections.defaultdict(list)
+    for _ in range(4):
+        for name, work in works.items():
+            at = time.process_time()
+            work()
+            spent[name].append(time.process_time() - at)
+    assert min(spent["all"]) < 1.15 * min(spent["merge"])
+
+
+def test_window_hashes_are_span_hashes():
+    import numpy as np
+
+    block = suffix_dedup.Block(np.frombuffer(b"the quick brown fox" * 9, np.uint8), np.array([0, 171]), 0)
+    sums = block.prefix_sums()
+    for width in (1, 80, 171, 172, 400):
+        at = np.arange(max(0, 172 - width))
+        assert (block.window_hashes(sums, width) == block.span_hashes(sums, at, at + width)).all()
+
+
 def test_stripped_documents(documents, corpus):
     docs = documents(corpus, ("sha", "rest"))
     out = suffix_dedup.stripped_documents(docs)
