@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def present(value: Column, kind: str) -> Column:
     """Whether a property counts as given: not null, and not an empty list."""
@@ -52,18 +54,18 @@ def number_within(rows: DataFrame, owner: list[str], order: list, name: str = "o
 
 
 def in_batches(rows: DataFrame, group: list[str], order: list, size: int = 500, name: str = "batch", spread: int = 100_000) -> DataFrame:
-    """Batches of ``size`` rows in each group, all full but the last.
+    """Batches of ``size`` rows in each group, in the order of ``order`` (nulls last), all full but the last.
 
-    Rows are ordered in buckets of about ``spread`` rows by hash, so that a group
-    of any size is spread over tasks; a bucket's first place is the sum of the
-    buckets before it. ``order`` tells the rows of a group apart.
+    Rows are dealt by ranges of about ``spread`` rows, so that a group of any size
+    is spread over tasks; a range's first place in a group is the sum of the ranges
+    before it. The deal is written, as another one would have other ranges.
+    ``order`` tells the rows of a group apart.
     """
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("__n"))
-    part = F.pmod(F.xxhash64(*order), F.ceil(F.col("__n") / F.lit(spread)))
+    by = [F.col(c).asc_nulls_last() for c in order]
+    ranges = max(1, -(-rows.count() // spread))
+    dealt = checkpointed(rows.repartitionByRange(ranges, *group, *by).withColumn("__part", F.spark_partition_id()))
     alike = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
-    sizes = sizes.select(*[F.col(c).alias(f"__{c}") for c in group], "__n")
-    dealt = rows.join(sizes, alike).withColumn("__part", part).drop("__n", *[f"__{c}" for c in group])
-    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order)) - 1
+    place = F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*by)) - 1
     before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy(*group, "__part").agg(F.count("*").alias("__k")).withColumn("__first", F.coalesce(F.sum("__k").over(before), F.lit(0)))
     parts = parts.select(*[F.col(c).alias(f"__{c}") for c in group], F.col("__part").alias("__p"), "__first")

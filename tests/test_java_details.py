@@ -166,6 +166,16 @@ def test_batches_are_full_across_buckets(spark):
     assert sum(sizes) == 1000 and sizes.count(70) == 2 * (333 // 2 // 70) + 2 * (666 // 2 // 70)
 
 
+def test_batches_follow_the_order_across_ranges(spark):
+    from codestrata.operators import merge
+
+    rows = spark.range(1000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") < 998, F.col("id") * 7919 % 1009).alias("k"), "id")
+    found = merge.in_batches(rows, ["g"], ["k", "id"], 70, spread=40).collect()
+    for g in (0, 1):
+        keys = sorted((r for r in found if r.g == g), key=lambda r: (r.k is None, r.k or 0, r.id))
+        assert [r.batch for r in keys] == [i // 70 for i in range(500)]
+
+
 def test_closure_of_a_long_chain(spark):
     from codestrata.operators import closure
 
