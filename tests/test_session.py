@@ -12,6 +12,6 @@ def test_driver_garbage_is_collected_once_the_heap_is_half_of_what_it_may_be(spa
     for size in [400] * 20 + [600] * 20:
         heap[0] = size
         session._spared(context)
-    assert settings == {"spark.broadcast.blockSize": session.PIECE} and collected == [600] * (20 // (session.SPARED + 1))
+    assert settings == {"spark.broadcast.blockSize": session.PIECE} and collected == [600] * -(-20 // (session.SPARED + 1))
     assert checkpointed(spark.range(3)).count() == 3
     assert spark.sparkContext._jsc.sc().conf().get("spark.broadcast.blockSize") == session.PIECE
